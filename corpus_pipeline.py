@@ -2,17 +2,44 @@
 
 from __future__ import annotations
 
-from attestra.llm import toxicity
-from attestra.llm.common import materialize, table
 from pyspark.sql import DataFrame, SparkSession
 
+from attestra.llm import decontamination, jaccard, pii, sentencepiece, toxicity
+from attestra.llm.common import materialize, table
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity reaches the cut go."""
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES = [("toxicity", drop_toxic)]
+def keep_one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word Jaccard similarity of 0.8 or more, that of the least id stays."""
+    return jaccard.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data are replaced in the texts; n_chars follows."""
+    return pii.redacted(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_pieces, ids) of each document."""
+    return sentencepiece.encode(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", keep_one_of_a_kind),
+    ("benchmark decontamination", drop_contaminated),
+    ("PII", redact_personal_data),
+    ("SentencePiece encoding and decoding", tokenize),
+]
 
 #: No SQL states the stages' models; tests hold each against a brute-force version.
 ORACLE_SQL = None
