@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, jaccard, pii, sentencepiece, toxicity
+from . import decontamination, fingerprints, jaccard, language_model, pii, sentencepiece, toxicity
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted")
@@ -43,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_fingerprints": op3_fingerprints,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op7_pii": op7_pii,
+        "op8_lm_scoring": op8_lm_scoring,
         "op9_toxicity": op9_toxicity,
         "op10_sentencepiece": op10_sentencepiece,
     }
