@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, jaccard, language_model, pii, quality, sentencepiece, toxicity
+from . import decontamination, fingerprints, jaccard, language_model, pii, quality, sentencepiece, token_counts, toxicity
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "text_id", "n_links", "n_copies")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.recount(token_counts.with_edits(table(spark, sf_dir, "documents")))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontamination": op2_decontamination,
         "op3_fingerprints": op3_fingerprints,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+        "op6_token_counts": op6_token_counts,
         "op7_pii": op7_pii,
         "op8_lm_scoring": op8_lm_scoring,
         "op9_toxicity": op9_toxicity,
