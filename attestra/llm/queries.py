@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, jaccard, language_model, pii, quality, sentencepiece, token_counts, toxicity
+from . import decontamination, extraction, fingerprints, jaccard, language_model, pii, quality, sentencepiece, token_counts, toxicity
 from .common import table
 
 
@@ -15,6 +15,11 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "text_id", "n_links", "n_copies")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extraction.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.recount(token_counts.with_edits(table(spark, sf_dir, "documents")))
 
@@ -55,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontamination": op2_decontamination,
         "op3_fingerprints": op3_fingerprints,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+        "op5_html_extraction": op5_html_extraction,
         "op6_token_counts": op6_token_counts,
         "op7_pii": op7_pii,
         "op8_lm_scoring": op8_lm_scoring,
