@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,12 @@ def row_key() -> Column:
     return F.struct(F.col("doc_id").alias("id"), F.xxhash64(text_of()).alias("h"))
 
 
+def lists(lengths: list[int], **columns: pa.Array) -> pa.ListArray:
+    """Rows of structs from flat columns, without a Python object for each struct."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(list(columns.values()), names=list(columns)))
+
+
 def components(edges: DataFrame, name: str, most: int = 60) -> DataFrame:
     """(node, root) of every node in edges (a, b): root is the smallest node of its component.
 
