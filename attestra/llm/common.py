@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,13 @@ def row_key() -> Column:
     return F.struct(F.col("doc_id").alias("id"), F.xxhash64(text_of()).alias("h"))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches in smaller parts, so that a task holds few texts as Python objects; empty batches come along."""
+    for batch in batches:
+        for lo in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(lo, rows)
+
+
 def lists(lengths: list[int], **columns: pa.Array) -> pa.ListArray:
     """Rows of structs from flat columns, without a Python object for each struct."""
     offsets = pa.array(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), pa.int32())

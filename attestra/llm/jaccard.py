@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, text_of, words_of
+from .common import components, materialize, slices, text_of, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 48, 12, 0.9995
@@ -81,7 +81,7 @@ def minima(hashes: np.ndarray, seeds: tuple[np.ndarray, np.ndarray]) -> np.ndarr
 
 def _prefixes(depth: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known, seeds = _Words(), _seeds(TREES * depth)
-    for batch in batches:
+    for batch in slices(batches):
         keys: list = []
         for text in batch.column("text").to_pylist():
             s = shingles(text, known)
@@ -101,7 +101,7 @@ def _prefixes(depth: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = _Words()
-    for batch in batches:
+    for batch in slices(batches):
         found = [np.unique(shingles(t, known)).tobytes() for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "shingles"])
 

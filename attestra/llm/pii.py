@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "national_id", "local_phone")
 LINE, NEAR = 0.5, 40
@@ -141,7 +143,7 @@ _SPAN = "array<struct<kind: string, start: int, end: int, score: double>>"
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-    for batch in batches:
+    for batch in slices(batches):
         found = [[s._asdict() for s in spans(t)] for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], names=["doc_id", "spans"])
 
@@ -157,7 +159,7 @@ def _told(found: list[Span]) -> str:
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for text in batch.column("text").to_pylist():
             found = spans(text)
@@ -183,7 +185,7 @@ def redacted(documents: DataFrame) -> DataFrame:
     at = documents.schema.fieldNames().index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             cols = list(batch.columns)
             cols[at] = pa.array([redact(t) for t in cols[at].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import slices, text_of
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the rank file's vocabulary splits texts before its merges (a fixed value of that vocabulary).
@@ -126,7 +126,7 @@ class Counts:
 def _work(ranks, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     encoder = Encoder(ranks.value)
     names = ["n_chars", "n_pretokens", "n_tokens", "n_edits", "n_encoded_again", "edited_chars", "edited_tokens"]
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for text, edits in zip(batch.column("text").to_pylist(), batch.column("edits").to_pylist(), strict=True):
             tree = Counts(text, encoder)

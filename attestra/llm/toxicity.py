@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, text_of, words_of
+from .common import fold_of, slices, text_of, words_of
 
 FOLDS, HELD_OUT, CUT = 4, 2, 0.3
 #: Labelled rows of each class that the models are fitted on at most, those of the smallest hash; a fifth calibrates.
@@ -100,7 +100,7 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, folds: int, he
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         counts: Counter = Counter()
         for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
             words = words_of(text)
@@ -187,7 +187,7 @@ def _constant(rows: DataFrame) -> Models:
 
 
 def _evidence(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         found = [model.value.evidence(t) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column("y"), batch.column("weight"), pa.array(found, pa.float64())], names=["y", "weight", "x"]
@@ -217,7 +217,7 @@ def _calibrate(model: Models, rows: DataFrame) -> Models:
 
 
 def _scores(model, cut: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         found = np.array([model.value.score(t) for t in batch.column("text").to_pylist()], np.float64)
         yield pa.RecordBatch.from_arrays(
             [
@@ -246,7 +246,7 @@ def keep_clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep = [shared.value.score(t) < CUT for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
