@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import tables
+from . import audit, cohorts, tables
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "flagship"]
+__all__ = ["QUERIES", "SQL", "audit", "cohorts", "flagship", "tables"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

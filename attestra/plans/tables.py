@@ -192,7 +192,7 @@ def linkage_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH a AS (SELECT row_number() OVER (ORDER BY doc_id) AS p, doc_id AS a FROM documents), b AS (SELECT row_number() OVER (ORDER BY doc_id) AS p, doc_id AS b FROM labels)
 SELECT count(a) AS left_n, count(b) AS right_n, count_if(a IS DISTINCT FROM b)::BIGINT AS mismatch_n, count_if(a IS DISTINCT FROM b) = 0 AS order_agreement FROM a FULL JOIN b USING (p)""")
 def order_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .positions import positions
+    from ..operators.positions import positions
 
     a = positions(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
     b = positions(table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
