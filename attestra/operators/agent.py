@@ -1,8 +1,9 @@
 """The bounded decision loop: a predictor proposes, tools answer, the gate decides; and its evidence cards.
 
 A turn is a column expression over one row a case, so that the loop is budget + 2 narrow steps and no
-shuffle. Predictors are functions (cases, turn) -> cases with a column raw; one that calls a model would
-be a mapInArrow.
+shuffle. Each turn's state is written to the shared folder: a lost executor repeats one turn, and a
+model behind the predictor isn't asked again. Predictors are functions (cases, turn) -> cases with a
+column raw; one that calls a model would be a mapInArrow.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions import vocabulary as V
+from ..session import materialize
 from . import gate
 
 Predictor = Callable[[DataFrame, int], DataFrame]
@@ -139,7 +141,7 @@ def play(cases: DataFrame, predictor: Predictor, budget: int = 4) -> DataFrame:
     start = F.lit(None).cast("struct<action: string, label: string, repair: string, flag: boolean>")
     cases = cases.withColumns({"called": none, "observed": none, "history": none, "turns": F.lit(0), "parse_success": F.lit(True), "done": F.lit(False), "decided": start})
     for turn in range(budget + 2):
-        cases = _turn(predictor(cases, turn), budget)
+        cases = materialize(_turn(predictor(cases, turn), budget), "agent-turn")
     given = F.col("decided").isNotNull()
     governance, fixed = F.col("task") == "T-GOV", F.col("task").isin("T-VAL", "T-ID", "T-GOV")
     cases = cases.withColumns(

@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import agent, linkage, profile
+from ..session import scratch, table
 from ..sources import files
 from ..streaming import stream
 from . import audit
 from .registry import query
-from ..session import table
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path below the shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "attestra-checkpoint")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 @query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
@@ -60,7 +50,7 @@ def merge_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.merge_shards(spark.read.parquet(path), oracle).select(F.col("case_id").alias("doc_id"), F.col("shard_id").cast("bigint").alias("shard_id"))
 
 
-@query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, count(*) FILTER (value < 1) AS refused_n FROM events GROUP BY ALL")
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, count(*) FILTER (value < 1) AS refused_n FROM events GROUP BY ALL")
 def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream in daily windows; one late and last row closes the last window."""
     source = f"{sf_dir}/events.parquet"

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -15,3 +19,24 @@ def session(app: str = "attestra", **conf: str) -> SparkSession:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where the session names none."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given:
+        given = os.path.join(tempfile.gettempdir(), "attestra-checkpoint")
+        spark.conf.set("spark.checkpoint.dir", given)
+    return given
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write df once to the shared folder and read it back."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
