@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize, table
+
+__all__ = ["components", "fold_of", "lists", "materialize", "slices", "table", "text_of", "words_of"]
+
 #: ASCII that separates words; digits, letters and everything beyond ASCII make words up.
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: For bytes.translate: A-Z to a-z, separators to a space. UTF-8's bytes of other characters stay.
@@ -20,27 +21,6 @@ FOLD = bytes(
 )
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if not given:
-        given = os.path.join(tempfile.gettempdir(), "attestra-checkpoint")
-        spark.conf.set("spark.checkpoint.dir", given)
-    return given
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df once to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Lower-case words of a text as UTF-8; the same words that WORD_GAP separates."""
     return (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
@@ -57,11 +37,6 @@ def fold_of(doc_id: Column | str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def row_key() -> Column:
-    """Tells rows apart by id and text; repeated rows share it, and so share their results."""
-    return F.struct(F.col("doc_id").alias("id"), F.xxhash64(text_of()).alias("h"))
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Batches in smaller parts, so that a task holds few texts as Python objects; empty batches come along."""
     for batch in batches:
