@@ -1,0 +1,258 @@
+"""Operators against brute force, exact round trips and planted cases."""
+
+import collections
+import hashlib
+import html
+import math
+import random
+import re
+import zlib
+
+import pytest
+from helpers import connect, plain
+
+from attestra.llm import decontamination, extraction, fingerprints, jaccard, language_model, pii, quality, queries, sentencepiece, token_counts, toxicity
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words(text):
+    return WORD.findall(text.translate({c: c + 32 for c in range(65, 91)}))
+
+
+def shingles(text):
+    w = words(text)
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(corpus):
+    return {r["doc_id"]: r["text"] for r in corpus.collect()}
+
+
+def test_contamination_is_what_its_sql_says(spark, sf):
+    got, want = plain(queries.queries()["op2_decontamination"](spark, sf).toPandas()), plain(connect(sf).sql(queries.OP2_SQL).df())
+    assert got == want
+
+
+def test_short_and_single_word_items(spark, docs):
+    items = spark.createDataFrame([(1, "Stop"), (2, "two words"), (3, " ".join(map(str, range(12))))], "item_id bigint, text string")
+    d = docs([(1, "please STOP now"), (2, "two  words, stop"), (3, "x " + ".".join(map(str, range(11)))), (4, "two word s"), (5, "École stop"), (6, "école")])
+    got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontamination.contamination(d, items).collect()}
+    assert got == {1: (1, ["1"]), 2: (3, ["1", "2"]), 3: (11, ["3"]), 4: (0, []), 5: (1, ["1"]), 6: (0, [])}
+
+
+def test_fingerprints(spark, sf, texts):
+    got = {r["doc_id"]: r for r in queries.queries()["op3_fingerprints"](spark, sf).collect()}
+    ids, off, same = sorted(texts), [], collections.defaultdict(set)
+    for i, nxt in zip(ids, ids[1:] + ids[:1], strict=True):
+        t, k = texts[i], len(texts[i]) // 4
+        edited = t[: len(t) - k] + texts[nxt][:k]
+        assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        a, b = shingles(t.lower()), shingles(edited.lower())
+        if len(a) > 20:
+            off.append(abs(len(a & b) / len(a | b) - got[i]["near_edited"]))
+        same[t].add(got[i]["fingerprint"])
+    assert sum(off) / len(off) < 0.05 and all(len(f) == 1 for f in same.values())
+
+
+def test_successors_wrap_around(spark):
+    keys = [-(1 << 62), -5, 0, 1, 65_535, 65_536, 1 << 40, (1 << 62) + 3]
+    got = {r["k"]: r["next"] for r in fingerprints.successors(spark.createDataFrame([(k,) for k in keys], "k bigint")).collect()}
+    assert got == dict(zip(keys, keys[1:] + keys[:1], strict=True))
+
+
+def test_jaccard_links_are_those_of_brute_force(spark, docs):
+    rng = random.Random(5)
+    base = [" ".join(f"w{rng.randrange(400)}" for _ in range(60)) for _ in range(12)]
+    rows = []
+    for b in base:
+        for _ in range(rng.randrange(1, 40)):
+            w = b.split()
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(60)] = f"x{rng.randrange(9)}"
+            rows.append(" ".join(w))
+    rows += rows[:5] + ["", "!!", "one", "one"]
+    got = {r["doc_id"]: r for r in jaccard.join(docs(list(enumerate(rows)))).collect()}
+    first = {t: rows.index(t) for t in rows}
+    sets = {t: shingles(t) for t in first}
+    near = {t: [u for u in first if u != t and sets[t] and len(sets[t] & sets[u]) / len(sets[t] | sets[u]) >= 0.8] for t in first}
+    for i, t in enumerate(rows):
+        seen, todo = {t}, [t]
+        while todo:
+            fresh = [u for u in near[todo.pop()] if u not in seen]
+            seen.update(fresh)
+            todo += fresh
+        assert got[i]["n_links"] == len(near[t]) and got[i]["text_id"] == first[t] and got[i]["class_id"] == min(first[u] for u in seen)
+    kept = jaccard.keep_one(docs(list(enumerate(rows)))).count()
+    assert kept == len({r["class_id"] for r in got.values()})
+    assert 1 - (1 - 0.8 ** jaccard.depth_for()) ** jaccard.TREES >= jaccard.RECALL
+
+
+def test_extraction(spark):
+    page = '<html><head><title>T</title><style>x</style></head><body><nav><ul><li><a href="/">Home</a></ul></nav><header>Site</header><div class="ad">Buy</div><article><h1>A&amp;B</h1><p>One<br>two <b>three</b><p>Four<ul><li>five</ul><aside>x</aside><div class="comments"><p>nice</div></article><div id="cookie-notice">ok</div><form>f</form><footer>c</footer></body></html>'
+    plain_page = "<body><div class='menu'>m</div><div class='x1'><p>{}</p><p>more words of it</p></div><div><a href=1>l1</a> <a href=2>l2</a></div><p>All rights</p></body>"
+    rows = [(1, "http://a.com/1", page)] + [(2 + i, f"http://b.com/{i}", plain_page.format("long text number %d " % i * 5)) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in extraction.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[1] == "A&B\n\nOne two three\n\nFour\n\nfive"
+    assert got[3] == " ".join(("long text number 1 " * 5).split()) + "\n\nmore words of it"
+
+
+def test_wrappers_generalise():
+    a, b = extraction.tree(["nav/ul/li", "article/h1", "article/p"]), extraction.tree(["article/h1", "article/p", "article/p", "footer"])
+    both = extraction.merged(a, b)
+    assert extraction.slots(both) == {"nav/ul/li", "article/h1", "article/p", "footer"}
+    shown = extraction.expression(both)
+    assert "(<nav>" in shown and ")?" in shown and "(<p> # </p>)+" in shown
+    assert extraction.merged(both, a) == extraction.merged(both, both)
+
+
+def test_pages_of_the_corpus(spark, sf):
+    got = {r["page_id"]: r["text"] for r in queries.queries()["op5_html_extraction"](spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        body = re.sub("<br>", " ", re.search(r"<article>(.*?)</article>", r["html"], re.S)[1])
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1|ul|li)>", body)]
+        assert got[r["page_id"]] == "\n\n".join(b for b in blocks if b)
+
+
+def test_edited_counts_are_those_of_encoding_anew(texts):
+    encoder, rng = token_counts.Encoder(token_counts.load()), random.Random(3)
+    alphabet = "ab '\n  1.é漢s　t's've12"
+    for k in range(600):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) if k % 3 else texts[rng.randrange(len(texts))][:400]
+        tree = token_counts.Counts(text, encoder)
+        for _ in range(4):
+            a = rng.randint(0, len(text))
+            b, new = min(len(text), a + rng.choice([0, 0, 1, 3, 9])), "".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 2, 7])))
+            tree.edit(a, b, new)
+            text = text[:a] + new + text[b:]
+            assert tree.text == text and tree.total == len(encoder.whole.encode_ordinary(text))
+
+
+def test_base_spans_are_those_of_the_patterns():
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    rng = random.Random(2)
+    for k in range(6000):
+        text = "".join(rng.choice("a1.@-+ 2b3()4é" if k % 2 else "1.2 3-+4") for _ in range(70))
+        want = [("email", *m.span()) for m in email.finditer(text)] + [("ip", *m.span()) for m in ip.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+        want += [("card", *m.span()) for m in card.finditer(text) if 12 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and pii.luhn(d)]
+        want += [("phone", *m.span()) for m in phone.finditer(text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+        assert [s[:3] for s in pii.spans(text) if s.kind in pii.BASE] == sorted(want, key=lambda s: (s[1], pii.BASE.index(s[0])))
+
+
+def test_checks_and_context():
+    assert pii.luhn("4539578763621486") and not pii.luhn("4539578763621487") and pii.mod97("GB82 WEST 1234 5698 7654 32")
+    kinds = [s.kind for s in pii.spans("ssn 123-45-6789, again 123-45-6789 far away from any such word; iban GB82 WEST 1234 5698 7654 32")]
+    assert kinds[0] == "national_id" and "iban" in kinds
+    assert pii.redact("to me@x.org!") == "to [EMAIL]!" and pii.redact(None) is None
+    assert len(pii.spans("1" * 50_000 + "a" * 50_000 + "@")) == 0
+
+
+def test_language_model_is_its_definition(corpus, texts):
+    got = {r["doc_id"]: r for r in language_model.score(corpus).collect()}
+    train = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    count = collections.Counter(w for t in train for w in [*t.encode().lower().split(), "end"])
+    total, kinds = sum(count.values()), len(count)
+    order = language_model.ORDER
+    pad = bytes([255]) * order
+    seen = [collections.defaultdict(collections.Counter) for _ in range(order + 1)]
+    for t in train:
+        b = pad + t.encode() + b"\xff"
+        for i in range(order, len(b)):
+            for j in range(order + 1):
+                seen[j][b[i - j : i]][b[i]] += 1
+
+    def ppm(text):
+        b, out = pad + text.encode() + b"\xff", 0.0
+        for i in range(order, len(b)):
+            gone: set = set()
+            for j in range(order, -1, -1):
+                if not (c := seen[j].get(b[i - j : i])):
+                    continue
+                rest = {s: n for s, n in c.items() if s not in gone}
+                if b[i] in c:
+                    out += math.log10(c[b[i]] / (sum(rest.values()) + len(rest)))
+                    break
+                if rest:
+                    out += math.log10(len(rest) / (sum(rest.values()) + len(rest)))
+                gone = set(c)
+            else:
+                out -= math.log10(256 - len(gone))
+        return out
+
+    for i in list(texts)[:25]:
+        t, r = texts[i], got[i]
+        tokens = [*t.encode().lower().split(), "end"]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(tokens), sum(count[w] > 0 for w in tokens), total)
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 7 == 2)
+        assert r["base_score"] == pytest.approx(sum(math.log10((count[w] + 1) / (total + kinds + 1)) for w in tokens), rel=1e-9)
+        assert r["score"] == pytest.approx(ppm(t), rel=1e-9)
+
+
+def test_pruned_models_still_sum_to_one(corpus):
+    import numpy as np
+
+    trie = language_model.fit(corpus, kept=500)
+    for context in (b"ation", b"\xff" * 5, b"qqqqq"):
+        code = np.array([int.from_bytes(context + bytes([s]), "big") for s in range(256)], np.int64)
+        assert (10 ** trie.log10(code)).sum() == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("module", ["quality", "toxicity"])
+def test_held_out_accuracy(spark, module):
+    folder = "/root/testdata/sf0.01"
+    d, lab = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    got = {"quality": quality, "toxicity": toxicity}[module].score(d, lab).join(lab, "doc_id").collect()
+    held = [r for r in got if r["held_out"]]
+    if module == "quality":
+        assert sum(r["predicted"] == r["quality"] for r in held) / len(held) > 0.95
+    else:
+        bad = [r for r in held if r["predicted"]]
+        assert bad and all(r["toxic"] for r in bad) and len(bad) >= 0.5 * sum(r["toxic"] for r in held)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= (0.5 if module == "quality" else 0.3)) for r in got)
+
+
+def test_sentencepiece_is_the_library(corpus, texts, docs):
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=sentencepiece.MODEL)
+    odd = {5001: "a  b\nc é 漢\U0001f600 x　y\t  ", 5002: " ", 5003: "     lead 12345 ab", 5004: "x" * 200, 5005: "      seven       "}
+    want = {**texts, **odd}
+    rows = corpus.select("doc_id", "text").unionByName(docs(list(odd.items())).select("doc_id", "text"))
+    got = {r["doc_id"]: r["ids"] for r in sentencepiece.encode(rows, kept=300).collect()}
+    assert all(got[i] == model.encode(t) for i, t in want.items())
+    pieces = sentencepiece.load()
+    back = sentencepiece.decode(sentencepiece.encode(rows), "doc_id", pieces)
+    assert {r["doc_id"]: r["text"] for r in back.collect()} == {i: "▁" + t.replace(" ", "▁") for i, t in want.items() if t}
+    a, b = ({r["doc_id"]: tuple(r) for r in sentencepiece.summarize(rows, kept=k).collect()} for k in (300, 1 << 18))
+    assert a == b and all(r[4] for r in a.values()) and all(a[i][2] == len(got[i]) for i in got)
+
+
+def test_best_paths_are_those_of_brute_force(spark):
+    table = [("▁a", 300, -1.0), ("b", 301, -2.0), ("ab", 302, -0.5), ("▁", 303, -1.5), ("a", 304, -1.1), ("bb", 305, -3.5), ("▁ab", 306, -1.9)]
+    pieces = sentencepiece.Pieces(table, 3, False)
+    units = ["▁a", "▁ab", "▁abb", "abab", "▁bba"]
+    got = {r["unit"]: r["ids"] for r in sentencepiece.segment(spark.createDataFrame([(u, 1) for u in units], "unit string, n bigint"), pieces).collect()}
+    score, number = {p: s for p, _, s in table}, {p: i for p, i, _ in table}
+
+    def best(u):
+        return max(((score[u[:k]] + s, [number[u[:k]], *ids]) for k in range(1, len(u) + 1) if u[:k] in score for s, ids in [best(u[k:])]), default=(0.0, []) if not u else (-1e9, []))
+
+    assert {u: best(u)[1] for u in units} == got
+
+
+def test_pipeline(spark, sf):
+    import corpus_pipeline as p
+
+    assert [n for n, _ in p.STAGES] == ["toxicity", "n-gram Jaccard join", "benchmark decontamination", "PII", "SentencePiece encoding and decoding"]
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    got = p.run(spark, sf).collect()
+    kept = {r["doc_id"] for r in got}
+    clean = {r["doc_id"] for r in decontamination.contamination(d, spark.read.parquet(f"{sf}/benchmark.parquet")).collect() if not r["contaminated"]}
+    assert kept <= clean and len(kept) > 0.5 * d.count() and all(len(r["ids"]) == r["n_pieces"] for r in got)
