@@ -204,6 +204,12 @@ def test_pruned_models_still_sum_to_one(corpus):
         assert (10 ** trie.log10(code)).sum() == pytest.approx(1.0)
 
 
+def test_scores_leave_no_rare_bytes_out(corpus):
+    """What is broadcast bounds memory only: a tiny share of the n-grams gives the same scores."""
+    a, b = ({r["doc_id"]: r for r in language_model.score(corpus, kept=k).collect()} for k in (50, language_model.KEPT))
+    assert a.keys() == b.keys() and all(a[i]["score"] == pytest.approx(b[i]["score"], rel=1e-9) for i in a)
+
+
 @pytest.mark.parametrize("module", ["quality", "toxicity"])
 def test_held_out_accuracy(spark, module):
     folder = "/root/testdata/sf0.01"
