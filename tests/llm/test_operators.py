@@ -112,6 +112,20 @@ def test_wrappers_generalise():
     assert extraction.merged(both, a) == extraction.merged(both, both)
 
 
+def extracted(spark, pages):
+    rows = [(i, u, h) for i, (u, h) in enumerate(pages)]
+    return {r["page_id"]: r["text"] for r in extraction.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+
+
+def test_places_in_the_wrapper_are_slots(spark):
+    """The p before the table is the template's; the one after it has the same path and is text."""
+    page = "<body><p>constant notice of the site</p><table><tr><td>a{0}</td></tr></table><p>main text {0} of this page</p></body>"
+    got = extracted(spark, [("http://w.com/", page.format(i)) for i in range(6)])
+    assert got[2] == "a2\n\nmain text 2 of this page"
+    a, b = extraction.tree(["p", "table/td", "p"]), extraction.tree(["table/td", "p"])
+    assert extraction.aligned(b, extraction.merged(a, b)) == ["table@1/td@0/#@0", "p@2/#@0"]
+
+
 def test_pages_of_the_corpus(spark, sf):
     got = {r["page_id"]: r["text"] for r in queries.queries()["op5_html_extraction"](spark, sf).collect()}
     for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
