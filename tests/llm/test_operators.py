@@ -126,6 +126,20 @@ def test_places_in_the_wrapper_are_slots(spark):
     assert extraction.aligned(b, extraction.merged(a, b)) == ["table@1/td@0/#@0", "p@2/#@0"]
 
 
+def test_minority_templates_and_copies_keep_their_text(spark):
+    marked = [("http://m.com/", f"<article><p>story {i}</p></article>") for i in range(6)]
+    plain_page = ("http://m.com/", "<div class='x'><p>page without an article</p></div>")
+    large = [("http://t.com/", f"<div class='a'><p>{f'large template {i} ' * 40}</p></div>") for i in range(9)]
+    small = ("http://t.com/", "<div class='b'><p>the other template</p></div>")
+    copies = [("http://c.com/", "<div class='a'><h1>Title</h1><p>one copied text</p></div>")] * 9
+    alone = [("http://c.com/", f"<div class='a'><h1>Title {i}</h1><p>text {i}</p></div>") for i in range(2)]
+    pages = [*marked, plain_page, *large, small, *copies, *alone]
+    got = extracted(spark, pages)
+    assert got[0] == "story 0" and got[6] == "page without an article"
+    assert got[16] == "the other template" and got[7] == " ".join(("large template 0 " * 40).split())
+    assert got[17] == "Title\n\none copied text" and got[26] == "Title 0\n\ntext 0"
+
+
 def test_pages_of_the_corpus(spark, sf):
     got = {r["page_id"]: r["text"] for r in queries.queries()["op5_html_extraction"](spark, sf).collect()}
     for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
