@@ -268,6 +268,20 @@ def test_sentencepiece_is_the_library(corpus, texts, docs):
     assert a == b and all(r[4] for r in a.values()) and all(a[i][2] == len(got[i]) for i in got)
 
 
+def test_summaries_are_of_the_ids_of_whole_documents(docs):
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=sentencepiece.MODEL)
+    texts = {1: "a plain text of words, é 漢", 2: "a literal ▁ is lost", 3: "  two  spaces ", 4: "", 5: "a plain text of words"}
+    for kept in (0, 1 << 18):
+        got = {r["doc_id"]: r for r in sentencepiece.summarize(docs(list(texts.items())), kept=kept).collect()}
+        for i, t in texts.items():
+            ids = model.encode(t)
+            digest = hashlib.blake2b(b"".join(k.to_bytes(4, "little") for k in ids), digest_size=8).digest()
+            assert (got[i]["n_pieces"], got[i]["ids_digest"]) == (len(ids), int.from_bytes(digest, "little", signed=True))
+            assert got[i]["round_trip"] == (model.decode(ids) == t) == ("▁" not in t)
+
+
 def test_best_paths_are_those_of_brute_force(spark):
     table = [("▁a", 300, -1.0), ("b", 301, -2.0), ("ab", 302, -0.5), ("▁", 303, -1.5), ("a", 304, -1.1), ("bb", 305, -3.5), ("▁ab", 306, -1.9)]
     pieces = sentencepiece.Pieces(table, 3, False)
