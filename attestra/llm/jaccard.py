@@ -1,9 +1,8 @@
-"""N-gram Jaccard join: MinHash LSH forest for candidates, exact verification of each.
+"""N-gram Jaccard join: banded MinHash LSH for candidates, exact verification of each.
 
-Documents with the same text are one class. Each class has TREES sorted prefix tries of MinHash
-values. Two texts meet in a tree if they share a prefix; starting from DEPTH, prefixes are shortened
-level by level until a pair at the threshold is expected to meet in some tree with the target recall.
-All texts under one prefix are linked to its smallest member, and the components of these links are
+Documents with the same text are one class. Each class has TREES bands of MinHash values, DEPTH at most,
+as many as leave a pair at the threshold the target recall of sharing some band. Pairs that share none
+are not candidates by themselves. All texts with one band in common are linked to its smallest member, and the components of these links are
 the sets within which every pair is verified on its whole shingle sets. Sets of any size are split
 into blocks by hash, and each pair of blocks is one unit of work, so that a task holds at most two
 blocks; a unit returns the number of links of each of its texts and a spanning forest of them, never
