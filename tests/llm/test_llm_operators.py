@@ -238,6 +238,55 @@ def test_scores_leave_no_rare_bytes_out(corpus):
     assert a.keys() == b.keys() and all(a[i]["score"] == pytest.approx(b[i]["score"], rel=1e-9) for i in a)
 
 
+def test_class_models_are_kneser_ney_by_brute_force(spark):
+    """Ratios of two spelled class models, counted and smoothed here in plain loops."""
+    rng = random.Random(11)
+    stems, bad = ["pla", "tor", "mi", "sen", "ka", "lu"], ["grob", "zwik"]
+    made = lambda y: " ".join(rng.choice(bad) + rng.choice(stems) if y and rng.random() < 0.3 else "".join(rng.choices([*stems, chr(rng.randrange(97, 123))], k=2)) for _ in range(30))
+    rows = [(made(y), y) for y in (0, 1) for _ in range(30)]
+    got = {r["gram"]: r["ratio"] for r in toxicity.ratios(spark.createDataFrame(rows, "text string, y int")).collect()}
+    n, per = collections.defaultdict(lambda: [0, 0]), [[], []]
+    for text, y in rows:
+        own = collections.Counter(g for w in {w.encode() for w in words(text)} for g in toxicity.grams(w))
+        per[y].append(own)
+        for g, k in own.items():
+            n[g][y] += k
+
+    def discount(counts):
+        once, twice = (sum(c == k for c in counts) for k in (1, 2))
+        return max(0.1, min(1.0, once / (once + 2 * twice))) if once + twice else 1.0
+
+    d = discount([c for v in n.values() for c in v])
+    tails = {g[-k:] for g in n for k in range(2, len(g) + 1)}
+    lower = collections.Counter(t[1:] for t in tails)
+    low_d = discount(lower.values())
+
+    def shared(g):
+        p = 1 / (1 + sum(len(x) == 1 for x in lower))
+        for k in range(1, len(g)):
+            same = [c for x, c in lower.items() if len(x) == k and x[:-1] == g[-k:-1]]
+            p = (max(lower[g[-k:]] - low_d, 0) + low_d * len(same) * p) / sum(same)
+        return p
+
+    def apart(g, total):
+        p = (sum(n[g]) + 1) / (sum(total) + 2)
+        error = 0
+        for y in (0, 1):
+            between = sum((o[g] - p * sum(k for x, k in o.items() if x[:-1] == g[:-1])) ** 2 for o in per[y]) / total[y] ** 2
+            error += max(between, p * (1 - p) / total[y])
+        return abs(n[g][1] / total[1] - n[g][0] / total[0]) / error**0.5
+
+    total = {g: [sum(v[y] for x, v in n.items() if x[:-1] == g[:-1]) for y in (0, 1)] for g in n}
+    away = {g: apart(g, total[g]) for g in n if min(total[g]) > 0}
+    loud = {g for g, z in away.items() if z >= toxicity.APART}
+    want = {g for g, z in away.items() if z >= toxicity.NEAR and any(g[i:j] in loud for i in range(len(g)) for j in range(i + 2, len(g) + 1))}
+    assert got.keys() == want and any(g.startswith("\x01g") for g in got)
+    for g in got:
+        kinds = [sum(v[y] > 0 for x, v in n.items() if x[:-1] == g[:-1]) for y in (0, 1)]
+        p = [(max(n[g][y] - d, 0) + d * kinds[y] * shared(g)) / total[g][y] for y in (0, 1)]
+        assert got[g] == pytest.approx(math.log(p[1] / p[0]), rel=1e-9)
+
+
 @pytest.mark.parametrize("module", ["quality", "toxicity"])
 def test_held_out_accuracy(spark, module):
     folder = "/root/testdata/sf0.01"
