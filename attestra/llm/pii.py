@@ -96,7 +96,7 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
     if not _ANY_DIGIT.search(text):
         return
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (p.lstrip("0") for p in m[0].split("."))):
             yield "ip", m.start(), m.end()
     for m in _CARD.finditer(text):
         digits = _only_digits(m[0])
