@@ -22,11 +22,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Only a local session, which has no other machines, may go without."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
-        given = os.path.join(tempfile.gettempdir(), "attestra-checkpoint")
-        spark.conf.set("spark.checkpoint.dir", given)
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        given = os.path.join(tempfile.gettempdir(), f"attestra-{uuid.uuid5(uuid.NAMESPACE_OID, spark.sparkContext.applicationId).hex}")
     return given
 
 
