@@ -321,16 +321,39 @@ def test_summaries_are_of_the_ids_of_whole_documents(docs):
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=sentencepiece.MODEL)
+    step = 0x9E3779B97F4A7C15
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % (1 << 64)
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % (1 << 64)
+        return x ^ (x >> 31)
+
     texts = {1: "a plain text of words, é 漢", 2: "a literal ▁ is lost", 3: "  two  spaces ", 4: "", 5: "a plain text of words"}
     for kept in (0, 1 << 18):
         got = {r["doc_id"]: r for r in sentencepiece.summarize(docs(list(texts.items())), kept=kept).collect()}
         for i, t in texts.items():
             ids = model.encode(t)
-            digest = hashlib.blake2b(b"".join(k.to_bytes(4, "little") for k in ids), digest_size=8).digest()
-            assert (got[i]["n_pieces"], got[i]["ids_digest"]) == (len(ids), int.from_bytes(digest, "little", signed=True))
+            total = sum(mixed(k + step) * pow(step, at, 1 << 64) for at, k in enumerate(ids)) % (1 << 64)
+            assert (got[i]["n_pieces"], got[i]["ids_digest"]) == (len(ids), total - (1 << 64) * (total >> 63))
             assert got[i]["round_trip"] == (model.decode(ids) == t) == ("▁" not in t)
 
 
+def test_long_units_are_the_library_s(spark):
+    from sentencepiece import SentencePieceProcessor
+
+    model, pieces = SentencePieceProcessor(model_file=sentencepiece.MODEL), sentencepiece.load()
+    rng = random.Random(8)
+    letters = [p for p, _, _ in pieces.table if len(p) > 1 and sentencepiece.SPACE not in p]
+    texts = ["=" * 1_000_000, "ab" * 5_000, " " * 333 + "x" + "-" * 77, "".join(rng.choices(letters, k=300))]
+    texts += ["".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["ids"] for r in sentencepiece.encode(rows).collect()}
+    assert all(got[i] == model.encode(t) for i, t in enumerate(texts))
+    cut = pieces.cutter()
+    units = cut("a word " * 200_000)
+    assert "".join(units) == "▁" + "a▁word▁" * 200_000 and set(units) == set(cut("a word a "))
+
+
 def test_best_paths_are_those_of_brute_force(spark):
     table = [("▁a", 300, -1.0), ("b", 301, -2.0), ("ab", 302, -0.5), ("▁", 303, -1.5), ("a", 304, -1.1), ("bb", 305, -3.5), ("▁ab", 306, -1.9)]
     pieces = sentencepiece.Pieces(table, 3, False)
@@ -353,3 +376,34 @@ def test_pipeline(spark, sf):
     kept = {r["doc_id"] for r in got}
     clean = {r["doc_id"] for r in decontamination.contamination(d, spark.read.parquet(f"{sf}/benchmark.parquet")).collect() if not r["contaminated"]}
     assert kept <= clean and len(kept) > 0.5 * d.count() and all(len(r["ids"]) == r["n_pieces"] for r in got)
+
+
+def test_names_inside_articles_do_not_drop_their_text(spark):
+    page = "<article><div class='comment-policy'>on policy</div><p class='notice-text'>text</p><div class='share-price'>price</div><section class='header'>head</section><div class='comments'><p>nice</p></div><ul class='share'><li>x</li></ul></article>"
+    wrap = "<div class='page-header-wrap'><div><p>all of it {0}</p><p>and more {0}</p></div></div>"
+    got = extracted(spark, [("http://n.com/", page), *[("http://o.com/", wrap.format(i)) for i in range(3)]])
+    assert got[0] == "on policy\n\ntext\n\nprice\n\nhead"
+    assert got[2] == "all of it 1\n\nand more 1"
+
+
+def test_deep_and_wide_pages(spark):
+    rng = random.Random(4)
+    deep = "".join(f"<div>t{i} " for i in range(5_000))
+    mixed = "".join(f"<{t} class=c{i % 7}>m{i}</{t}>" for i in range(4_000) for t in ["section" if i % 3 else "table"])
+    pairs = "<dl>" + "".join(f"<dt>k{i}</dt><dd>v{i}</dd>" for i in range(20_000)) + "</dl>"
+    odd = lambda: "".join(f"<{t}>{t}{i}</{t}>" for i in range(5_000) for t in [rng.choice(["p", "h2", "table", "blockquote", "ul"])])
+    pages = [("http://d.com/1", deep), ("http://d.com/2", mixed), ("http://e.com/1", pairs), ("http://e.com/2", pairs + "<p>x</p>"), ("http://f.com/1", odd()), ("http://f.com/2", odd())]
+    got = extracted(spark, pages)
+    # what stands beside the element that holds most of the text is not part of it
+    assert got[0].endswith("\n\n".join(f"t{i}" for i in range(64, 5_000))) and got[2] == "\n\n".join(f"{x}{i}" for i in range(20_000) for x in "kv")
+    assert len(got[1]) > 10_000 and len(got[4]) > 10_000
+    groups = extraction.tree(["dl/dt", "dl/dd"] * 5)
+    assert extraction.expression(groups) == "<dl> (<dt> # </dt>)+ (<dd> # </dd>)+ </dl>"
+
+
+def test_without_its_wrapper_a_page_keeps_the_template(spark):
+    """What pages of a host share is known from their alignment only: one page alone can't tell it."""
+    page = "<body><p>About this site and its makers</p><table><tr><td>cell {0}</td></tr></table><p>text {0} of the page</p></body>"
+    many = extracted(spark, [("http://w.com/", page.format(i)) for i in range(6)])
+    one = extracted(spark, [("http://w.com/", page.format(2))])
+    assert many[2] == "cell 2\n\ntext 2 of the page" and one[0] == "About this site and its makers\n\n" + many[2]
