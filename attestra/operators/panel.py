@@ -70,7 +70,7 @@ def file_cases(files: DataFrame) -> DataFrame:
     """
     scenario = F.explode(F.array(*map(F.lit, ("clean_role", "role_misclassification", "parser_failure_with_tempting_name")))).alias("error_family")
     rows = files.select("*", scenario).filter((F.col("error_family") != "parser_failure_with_tempting_name") | (F.col("kind") == "workbook"))
-    wrong = S.first_match([(F.col("role") == k, v) for k, v in V.WRONG_ROLE.items()], "demographics")
+    wrong = S.first_match([(F.col("role") == k, v) for k, v in V.WRONG_ROLE.items()], V.OTHER_WRONG_ROLE)
     clean = F.col("error_family") == "clean_role"
     failed = F.col("error_family") == "parser_failure_with_tempting_name"
     return rows.select(
@@ -86,11 +86,13 @@ def file_cases(files: DataFrame) -> DataFrame:
     )
 
 
-def column_cases(columns: DataFrame, wrong: str = "imaging_feature") -> DataFrame:
+def column_cases(columns: DataFrame) -> DataFrame:
     """Clean and substituted concepts; columns: artifact_id, study, sheet, column_name, concept.
 
-    The sheet is part of the id, so that one column on two sheets makes two cases.
+    The sheet is part of the id, so that one column on two sheets makes two cases. Concepts without a substitute make none.
     """
+    wrong = F.coalesce(*[F.when(F.col("concept") == k, v) for k, v in V.WRONG_CONCEPT.items()])
+    columns = columns.filter(F.col("concept").isin(*V.WRONG_CONCEPT))
     rows = columns.select("*", F.explode(F.array(F.lit("clean_concept"), F.lit("concept_substitution"))).alias("error_family"))
     clean = F.col("error_family") == "clean_concept"
     sensitive = F.col("concept").isin(*V.SENSITIVE_CONCEPTS)
@@ -153,6 +155,38 @@ def lineage_cases(pairs: DataFrame) -> DataFrame:
     )
 
 
+def governance_cases(definitions: DataFrame) -> DataFrame:
+    """Proposals that only people may decide; definitions: artifact_id, study, concept, proposal, reason."""
+    return definitions.select(
+        S.case_id(F.lit("T-GOV"), "artifact_id", "concept").alias("case_id"), "study", F.lit("T-GOV").alias("task"), F.col("concept").alias("error_family"), F.col("artifact_id").alias("base_artifact"),
+        "proposal", F.lit(True).alias("corruption_present"), F.lit("escalate").alias("correct_action"), F.col("concept").alias("correct_label"), F.lit(None).cast("string").alias("correct_repair"),
+        F.array(F.array(F.lit("escalate_to_human"))).alias("required"), F.lit("procedural_human_owned").alias("oracle_status"), F.col("reason").alias("evidence_basis"),
+    )
+
+
+PANEL_COLUMNS = ("case_id", "study", "task", "error_family", "base_artifact", "corruption_present", "correct_action", "correct_label", "correct_repair", "required", "oracle_status")
+
+
+def build(parts: Sequence[DataFrame]) -> DataFrame:
+    """One panel of several kinds of cases; a case id that occurs twice is an error, found while the rows are read.
+
+    The count of each id travels with its cases, so that no separate job is needed.
+    """
+    whole = None
+    for part in parts:
+        part = part.select(*[F.col(c) if c in part.columns else F.lit(None).cast("string").alias(c) for c in PANEL_COLUMNS])
+        whole = part if whole is None else whole.unionByName(part)
+    again = whole.groupBy("case_id").agg(F.first(F.struct(*PANEL_COLUMNS[1:])).alias("c"), F.count("*").alias("times"))
+    once = F.when(F.col("times") > 1, F.raise_error(F.concat(F.lit("case_id occurs twice: "), "case_id")).cast("boolean")).otherwise(True)
+    return again.filter(once).select("case_id", "c.*")
+
+
+def card_index(cards: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, n, state) of cards: which keys name one card and which are ambiguous."""
+    state = F.when(F.col("n") > 1, "duplicate").otherwise("unique")
+    return cards.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("state", state)
+
+
 # --- the synthetic panel's tables, closed forms of a row number
 
 

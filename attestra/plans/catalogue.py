@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, cohorts, flows, tables
+from . import audit, cohorts, flows, panels, tables
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "audit", "cohorts", "flagship", "flows", "tables"]
+__all__ = ["QUERIES", "SQL", "audit", "cohorts", "flagship", "flows", "panels", "tables"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

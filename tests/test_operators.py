@@ -164,3 +164,17 @@ def test_text_parsing_and_redaction():
     assert agent.first_object_text('so {bad} then {"a": {"b": 1}} end') == '{"a": {"b": 1}}'
     assert agent.first_object_text("none") is None
     assert agent.redacted_text('{"x":[{"proposed_concept":1,"y":2}],"component_hints":3}') == '{"x": [{"y": 2}]}'
+
+
+def test_a_panel_has_each_case_once(spark):
+    files = spark.createDataFrame([("a", "s", "workbook", "mixed"), ("b", "s", "table", "scanner_or_site_metadata")], "artifact_id string, study string, kind string, role string")
+    cases = panel.file_cases(files)
+    got = {(r["base_artifact"], r["error_family"]): r["proposal"] for r in cases.collect()}
+    assert len(got) == 5 and got["a", "role_misclassification"] == "demographics" and got["b", "role_misclassification"] == "unknown"
+    assert panel.build([cases]).count() == 5
+    with pytest.raises(Exception, match="case_id occurs twice"):
+        panel.build([cases, cases]).collect()
+    columns = spark.createDataFrame([("a", "s", "1", "x", "cognitive_domain"), ("a", "s", "1", "y", "imaging_feature")], "artifact_id string, study string, sheet string, column_name string, concept string")
+    assert sorted(r["proposal"] for r in panel.column_cases(columns).collect()) == ["clinical_scale", "cognitive_domain"]
+    public, oracle = panel.split_oracle(cases, ["correct_label", "correct_action"], ["case_id"])
+    assert "correct_label" not in public.columns and oracle.columns == ["case_id", "correct_label", "correct_action"]
