@@ -18,6 +18,8 @@ from .positions import positions
 
 FOLDS, MOST_FEATURES, STRENGTH, TOP = 5, 200, 0.1, 50
 BUCKETS = 1024
+#: Sites of an adjusted model at most: each is a column of its design.
+SITES = 64
 
 
 def valid(cohort: DataFrame) -> DataFrame:
@@ -80,26 +82,39 @@ def compare(clean: DataFrame, altered: DataFrame, by: Sequence[str] = (), top: i
     )
 
 
-def adjusted_coefficient(cohort: DataFrame) -> DataFrame:
-    """(feature, coefficient) of the diagnosis in a linear model with age, sex and site.
+def adjusted_coefficient(cohort: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, feature, coefficient) of the diagnosis in a linear model with age, sex and site, for each group of by.
 
-    Spark sums the moments of the design and of design times feature; the driver sees these alone, a few
-    numbers for each feature, and solves them with the pseudo-inverse, as sites may be collinear.
+    Spark sums the moments of the design and of design times feature; a task gets the moments of one group, a few
+    numbers for each feature, and solves them with the pseudo-inverse, as sites may be collinear. The sites' list
+    is a row of distinct values, SITES at most.
     """
-    s = cohort.agg(F.avg("age").alias("ma"), F.stddev_pop("age").alias("sa"), F.avg("sex").alias("ms"), F.stddev_pop("sex").alias("ss")).first()
-    sites = sorted(r[0] for r in cohort.select("site").filter("site IS NOT NULL").distinct().collect())
-    z = lambda c, m, d: F.coalesce((F.col(c) - (m or 0.0)) / d if d else F.lit(0.0), F.lit(0.0))
-    design = [F.lit(1.0), F.coalesce((F.col("diagnosis") == 1).cast("double"), F.lit(0.0)), z("age", s["ma"], s["sa"]), z("sex", s["ms"], s["ss"])]
+    by = list(by)
+    sites = sorted(r[0] for r in cohort.select("site").filter("site IS NOT NULL").distinct().limit(SITES + 1).collect())
+    if len(sites) > SITES:
+        raise ValueError(f"more than {SITES} sites")
+    keys = [F.col(c) for c in by] or [F.lit(0).alias("__all")]
+    names = by or ["__all"]
+    rows = cohort.select(*keys, "diagnosis", "age", "sex", "site", "features")
+    moments = rows.groupBy(*names).agg(F.avg("age").alias("ma"), F.stddev_pop("age").alias("sa"), F.avg("sex").alias("ms"), F.stddev_pop("sex").alias("ss"))
+    z = lambda c, m, d: F.coalesce(F.try_divide(F.col(c) - F.col(m), F.when(F.col(d) > 0, F.col(d))), F.lit(0.0))
+    design = [F.lit(1.0), F.coalesce((F.col("diagnosis") == 1).cast("double"), F.lit(0.0)), z("age", "ma", "sa"), z("sex", "ms", "ss")]
     design += [F.coalesce((F.col("site") == v).cast("double"), F.lit(0.0)) for v in sites[1:]]
     q = len(design)
-    rows = cohort.select("features", F.array(*design).alias("d"))
-    gram = rows.agg(*[F.sum(F.get("d", F.lit(i)) * F.get("d", F.lit(j))).alias(f"g{i}_{j}") for i in range(q) for j in range(q)]).first()
-    cross = rows.select("d", F.posexplode("features").alias("feature", "x")).groupBy("feature")
-    cross = cross.agg(*[F.sum(F.get("d", F.lit(i)) * F.col("x")).alias(f"c{i}") for i in range(q)]).toPandas()
-    inverse = np.linalg.pinv(np.array([[gram[f"g{i}_{j}"] for j in range(q)] for i in range(q)], float))
-    beta = cross[[f"c{i}" for i in range(q)]].to_numpy(float) @ inverse[1]
-    found = list(zip(cross["feature"].tolist(), beta.tolist(), strict=True))
-    return cohort.sparkSession.createDataFrame(found, "feature int, coefficient double")
+    rows = rows.join(F.broadcast(moments), names).select(*names, "features", F.array(*design).alias("d"))
+    products = F.flatten(F.transform("d", lambda x: F.transform(F.col("d"), lambda y: x * y)))
+    gram = rows.select(*names, F.posexplode(products).alias("at", "g")).groupBy(*names, "at").agg(F.sum("g").alias("g"))
+    gram = gram.groupBy(*names).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "g"))), lambda x: x["g"]).alias("gram"))
+    cross = rows.select(*names, "d", F.posexplode("features").alias("feature", "x")).groupBy(*names, "feature")
+    cross = cross.agg(F.array(*[F.sum(F.get("d", F.lit(i)) * F.col("x")) for i in range(q)]).alias("cross")).join(F.broadcast(gram), names)
+
+    def solve(group):
+        inverse = np.linalg.pinv(np.array(group["gram"].iloc[0], float).reshape(q, q))
+        return group[[*names, "feature"]].assign(coefficient=np.stack(group["cross"].to_numpy()).astype(float) @ inverse[1])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", feature int, coefficient double"
+    return cross.groupBy(*names).applyInPandas(solve, schema).select(*by, "feature", "coefficient")
 
 
 def folds(cohort: DataFrame, seed: int, n: int = FOLDS) -> DataFrame:
@@ -147,21 +162,55 @@ def inverted(c: str) -> Column:
     return 3 - F.col(c)
 
 
-def sensitivity(cohort: DataFrame, grid: Sequence[tuple[float, int]]) -> DataFrame:
-    """(family, rate, seed, n, changed_n, comparison of effects) for both corruptions and the inversion control."""
+METRICS = ("correlation", "rmse", "sign_flip_rate", "top_k_jaccard")
+
+
+def sensitivity(cohort: DataFrame, grid: Sequence[tuple[float, int]], aucs: bool = False) -> DataFrame:
+    """(family, rate, seed, n, changed_n, comparisons) for both corruptions and both null controls.
+
+    Compared with the clean cohort are the effects and, as adjusted_<metric>, the coefficients adjusted for age, sex
+    and site. With aucs come clean_auc, altered_auc and auc_delta, cross-validated anew for each cell of the grid.
+    """
     cells = F.explode(F.array(*[F.struct(F.lit(r).alias("rate"), F.lit(s).alias("seed")) for r, s in grid])).alias("c")
     rows = cohort.select("*", cells).select(*cohort.columns, "c.rate", "c.seed")
-    by = ["rate", "seed"]
-    clean = smd(cohort)
-    turned = label_inversion(rows, by).select(F.lit("diagnosis_inversion").alias("family"), *by, "features", F.col("new_diagnosis").alias("diagnosis"), F.col("chosen").cast("int").alias("changed"))
-    moved = row_order(rows, by)
-    shifted = F.coalesce((F.col("chosen") & (F.col("k") > 1)), F.lit(False))
-    moved = moved.select(F.lit("row_order").alias("family"), *by, "features", F.col("new_diagnosis").alias("diagnosis"), shifted.cast("int").alias("changed"))
-    control = cohort.select(F.lit("global_diagnosis_inversion_control").alias("family"), F.lit(1.0).alias("rate"), F.lit(grid[0][1]).alias("seed"), "features", inverted("diagnosis").alias("diagnosis"), F.lit(1).alias("changed"))
-    every = turned.unionByName(moved).unionByName(control)
+    by, shared = ["rate", "seed"], ["pos", "features"]
+    covariates = ("diagnosis", "age", "sex", "site")
+    turned = label_inversion(rows, by)
+    turned = turned.select(F.lit("diagnosis_inversion").alias("family"), *by, *shared, F.col("new_diagnosis").alias("diagnosis"), "age", "sex", "site", F.col("chosen").cast("int").alias("changed"))
+    shifted = F.coalesce((F.col("chosen") & (F.col("k") > 1)), F.lit(False)).cast("int").alias("changed")
+    moved = row_order(rows, by).select(F.lit("row_order").alias("family"), *by, *shared, *[F.col(f"new_{c}").alias(c) for c in covariates], shifted)
+    seeds = sorted({s for _, s in grid})
+    every_seed = cohort.select("*", F.explode(F.array(*map(F.lit, seeds))).alias("seed")).withColumn("rate", F.lit(1.0))
+
+    def control(family: str, **changed: Column) -> DataFrame:
+        return every_seed.select(F.lit(family).alias("family"), *by, *shared, *[changed.get(c, F.col(c)).alias(c) for c in covariates], F.lit(1).alias("changed"))
+
+    every = turned.unionByName(moved)
+    every = every.unionByName(control("global_diagnosis_inversion_control", diagnosis=inverted("diagnosis")))
+    every = every.unionByName(control("global_sex_recode_control", sex=inverted("sex")))
     keys = ["family", *by]
     sizes = every.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("changed").alias("changed_n"))
-    return sizes.join(compare(clean, smd(every, keys), keys), keys)
+    effect = compare(smd(cohort), smd(every, keys), keys)
+    adjusted = lambda df, k: adjusted_coefficient(df, k).withColumnRenamed("coefficient", "effect")
+    other = compare(adjusted(cohort, []), adjusted(every, keys), keys)
+    other = other.select(*keys, *[F.col(m).alias(f"adjusted_{m}") for m in METRICS])
+    found = sizes.join(effect, keys).join(other, keys)
+    if not aucs:
+        return found
+    clean = None
+    for s in seeds:
+        own = auc(cross_validated(cohort, s)).select(F.lit(s).alias("seed"), F.col("auc").alias("clean_auc"))
+        clean = own if clean is None else clean.unionByName(own)
+    altered = None
+    cells = [(f, r, s) for f in ("diagnosis_inversion", "row_order") for r, s in grid] + [("global_diagnosis_inversion_control", 1.0, s) for s in seeds]
+    for f, r, s in cells:
+        part = every.filter((F.col("family") == f) & (F.col("rate") == r) & (F.col("seed") == s))
+        own = auc(cross_validated(part, s)).select(F.lit(f).alias("family"), F.lit(r).alias("rate"), F.lit(s).alias("seed"), F.col("auc").alias("altered_auc"))
+        altered = own if altered is None else altered.unionByName(own)
+    found = found.join(F.broadcast(clean), "seed").join(F.broadcast(altered), keys, "left")
+    # a recoded sex is no feature of the classifier
+    found = found.withColumn("altered_auc", F.coalesce("altered_auc", F.when(F.col("family") == "global_sex_recode_control", F.col("clean_auc"))))
+    return found.withColumn("auc_delta", F.col("altered_auc") - F.col("clean_auc"))
 
 
 def summarize(replicates: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -170,6 +219,16 @@ def summarize(replicates: DataFrame, keys: Sequence[str], metrics: Sequence[str]
     return replicates.groupBy(*keys).agg(F.count("*").alias("replicates"), *each)
 
 
+def evaluate_bundle(labelled: DataFrame, reference: DataFrame, seed: int = 101, least: int = 10) -> DataFrame:
+    """evaluate_labels, and auc: cross-validated over the labelled rows, if `least` or more of both classes are."""
+    found = evaluate_labels(labelled, reference)
+    rows = reference.drop("diagnosis").join(labelled.select("pos", "diagnosis").filter(F.col("diagnosis").isin(1, 2)), "pos")
+    sizes = {r["diagnosis"]: r["count"] for r in rows.groupBy("diagnosis").count().collect()}
+    if len(sizes) < 2 or sum(sizes.values()) < least:
+        return found.withColumn("auc", F.lit(None).cast("double"))
+    return found.crossJoin(F.broadcast(auc(cross_validated(rows, seed)).select("auc")))
+
+
 def evaluate_labels(labelled: DataFrame, reference: DataFrame) -> DataFrame:
     """Coverage of labels (pos, diagnosis) and their agreement with a reference, by position."""
     both = reference.select("pos", F.col("diagnosis").alias("r")).join(labelled.select("pos", "diagnosis"), "pos", "left")

@@ -84,7 +84,20 @@ def cv_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def sensitivity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = effects.sensitivity(cohort(spark, sf_dir), _GRID)
-    return _r(effects.summarize(found, ["family", "rate"], ["changed_n", "correlation", "rmse", "sign_flip_rate", "top_k_jaccard"]))
+    return _r(effects.summarize(found, ["family", "rate"], ["changed_n", *effects.METRICS, "adjusted_correlation", "adjusted_rmse"]))
+
+
+@query()
+def sensitivity_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One rate and seed of the grid with cross-validated AUCs, and both null controls."""
+    return _r(effects.sensitivity(cohort(spark, sf_dir), [(0.5, 11)], aucs=True))
+
+
+@query()
+def bundle_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels 1 and 2 as a bundle's diagnoses against the reference, with the AUC of the labelled rows."""
+    labelled = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), F.col("label").alias("diagnosis"))
+    return _r(effects.evaluate_bundle(labelled, cohort(spark, sf_dir)))
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (label IN (1, 2)) AS labelled_n, round(avg((label IN (1, 2))::INT), 6) AS coverage, count(*) FILTER (label = 1 OR label = 2) AS agree_n, count(*) FILTER (label = 1) AS class_1, count(*) FILTER (label = 2) AS class_2 FROM embeddings")

@@ -166,6 +166,32 @@ def test_text_parsing_and_redaction():
     assert agent.redacted_text('{"x":[{"proposed_concept":1,"y":2}],"component_hints":3}') == '{"x": [{"y": 2}]}'
 
 
+def test_adjusted_coefficients_and_controls_by_brute_force(spark, sf):
+    import numpy as np
+
+    c = cohorts.cohort(spark, sf).withColumn("site", (F.col("pos") % 3).cast("int"))
+    rows = c.orderBy("pos").collect()
+    x = np.array([r["features"] for r in rows])
+    std = lambda v: (v - v.mean()) / v.std()
+    design = np.stack([np.ones(len(rows)), [float(r["diagnosis"] == 1) for r in rows], std(np.array([r["age"] for r in rows])), std(np.array([float(r["sex"]) for r in rows])),
+                       *[[float(r["site"] == k) for r in rows] for k in (1, 2)]], 1)
+    want = (np.linalg.pinv(design) @ x)[1]
+    got = {r["feature"]: r["coefficient"] for r in effects.adjusted_coefficient(c).collect()}
+    assert np.allclose([got[k] for k in range(len(want))], want, atol=1e-8)
+    found = {(r["family"], r["rate"]): r for r in effects.sensitivity(c, [(0.0, 3), (0.5, 3)]).collect()}
+    assert len(found) == 6 and found["row_order", 0.0]["rmse"] == pytest.approx(0) and found["diagnosis_inversion", 0.5]["adjusted_rmse"] > 0
+    sex, turned = found["global_sex_recode_control", 1.0], found["global_diagnosis_inversion_control", 1.0]
+    assert sex["adjusted_rmse"] == pytest.approx(0, abs=1e-9) and turned["correlation"] == pytest.approx(-1) and turned["adjusted_correlation"] == pytest.approx(-1)
+
+
+def test_bundle_evaluation_needs_enough_labels(spark, sf):
+    c = cohorts.cohort(spark, sf)
+    few = c.select("pos", "diagnosis").limit(6)
+    assert effects.evaluate_bundle(few, c).first()["auc"] is None
+    whole = effects.evaluate_bundle(c.select("pos", "diagnosis"), c).first()
+    assert whole["agree_n"] == whole["n"] and 0 <= whole["auc"] <= 1
+
+
 def test_a_panel_has_each_case_once(spark):
     files = spark.createDataFrame([("a", "s", "workbook", "mixed"), ("b", "s", "table", "scanner_or_site_metadata")], "artifact_id string, study string, kind string, role string")
     cases = panel.file_cases(files)
