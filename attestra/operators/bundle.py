@@ -95,3 +95,71 @@ def derive_mappings(chosen: DataFrame, targets: Sequence[str]) -> DataFrame:
     return wanted.join(hits, ["study", "target"], "left").select(
         "study", "target", F.when(F.col("n") == 1, F.col("first")).alias("column_name"), F.coalesce("n", F.lit(0)).alias("n"), state.alias("state")
     )
+
+
+#: Column of an agent's bundle that each target fills. Fixed values.
+AGENT_FIELDS = {"current_age": "age", "sex_or_gender": "sex", "diagnosis": "diagnosis", "panss_total": "source_panss_total", "cognitive_domain": "source_cminds_composite"}
+
+
+def mapping_of(ledger: DataFrame, study: str) -> dict[str, str]:
+    """Target to column of one study's authorised mappings: a row for each target at most."""
+    return {r["target"]: r["column_name"] for r in ledger.filter((F.col("study") == study) & (F.col("state") == "mapped")).select("target", "column_name").collect()}
+
+
+def agent_bundle(subjects: DataFrame, source: DataFrame, mapping: dict[str, str], study: str, artifact: str, salt: str, codes: dict[str, dict[str, str]]) -> DataFrame:
+    """Subjects (pos, analysis_id, age, sex, diagnosis, site, features) with values from the source columns that decisions chose.
+
+    What the analysis artifact says stays beside them for comparison only. Without a mapped identifier no row is
+    joined, and a key that repeats in the source gives no values; fields without a mapping stay empty.
+    """
+    norm, key = S.normalized_identifier, mapping.get("subject_identifier")
+    chosen = {t: c for t, c in mapping.items() if t in AGENT_FIELDS}
+    joined = subjects.withColumn("__k", norm("analysis_id"))
+    if key:
+        found = source.select(norm(key).alias("__k"), F.struct(F.lit(0).alias("__"), *[F.col(c).cast("string").alias(t) for t, c in chosen.items()]).alias("s")).filter("__k <> ''")
+        joined = joined.join(found.groupBy("__k").agg(F.count("*").alias("__n"), F.first("s").alias("s")), "__k", "left")
+    else:
+        joined = joined.withColumns({"__n": F.lit(None).cast("bigint"), "s": F.struct(*[F.lit(None).cast("string").alias(t) for t in chosen or {"__": ""}])})
+    once = F.col("__n") == 1
+
+    def value(target: str, c: Column) -> Column:
+        if target in ("sex_or_gender", "diagnosis"):
+            return S.canonical_code(c, codes.get(AGENT_FIELDS[target], {}))
+        return S.output_number(S.as_number(c))
+
+    filled = {AGENT_FIELDS[t]: F.coalesce(F.when(once, value(t, F.col("s")[t])), F.lit("")) for t in chosen}
+    empty = F.lit("")
+    reference = {"age": S.output_number(S.as_number("age")), "sex": S.canonical_code(F.col("sex"), codes.get("sex", {})), "diagnosis": S.canonical_code(F.col("diagnosis"), codes.get("diagnosis", {}))}
+    return joined.select(
+        F.lit(study).alias("cohort"),
+        S.masked_key(study, "analysis_id", salt).alias("subject_key"),
+        *[filled.get(f, empty).alias(f) for f in FIELDS],
+        S.output_number(S.as_number("site")).alias("site"),
+        F.lit("exact_id_order").alias("bridge_status"),
+        F.when(S.finite_vector("features"), "yes").otherwise("no").alias("sfnc_available"),
+        F.lit(artifact).alias("agent_source_artifact"),
+        F.when(once, "matched_unique").when(F.col("__n") > 1, "duplicate_key").otherwise("not_in_source").alias("agent_join_status"),
+        *[c.alias(f"analysis_reference_{f}") for f, c in reference.items()],
+        *[empty.alias(f"source_{f}") for f in FIELDS],
+        *[filled.get(f, empty).alias(f) for f in ("source_panss_total", "source_cminds_composite")],
+    )
+
+
+def agent_unresolved(ledger: DataFrame, subjects: DataFrame, artifact: str) -> DataFrame:
+    """(issue_id, cohort, scope, affected_n, source_artifact, severity, action) of each target without an authorised column."""
+    n = F.broadcast(subjects.agg(F.count("*").alias("affected_n")))  # one row
+    severe = F.col("target").isin("subject_identifier", "diagnosis")
+    rows = ledger.filter("state <> 'mapped'").crossJoin(n)
+    return rows.select(
+        F.concat(F.lower("study"), F.lit("_"), "target", F.lit("_mapping")).alias("issue_id"), F.col("study").alias("cohort"), F.col("target").alias("scope"), "affected_n",
+        F.lit(artifact).alias("source_artifact"), F.when(severe, "high").otherwise("medium").alias("severity"), F.lit("human_review_or_add_evidence").alias("action"),
+    )
+
+
+def agent_summary(bundle: DataFrame) -> DataFrame:
+    """Counts of an agent's bundle by cohort: joins and filled fields."""
+    filled = lambda c: F.count_if(F.col(c) != "")
+    return bundle.groupBy("cohort").agg(
+        F.count("*").alias("n_subjects"), F.count_if(F.col("agent_join_status") == "matched_unique").alias("source_matched_n"), F.count_if(F.col("agent_join_status") == "duplicate_key").alias("source_duplicate_n"),
+        filled("age").alias("age_coverage_n"), filled("sex").alias("sex_coverage_n"), filled("diagnosis").alias("diagnosis_coverage_n"),
+    )

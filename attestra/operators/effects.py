@@ -219,6 +219,19 @@ def summarize(replicates: DataFrame, keys: Sequence[str], metrics: Sequence[str]
     return replicates.groupBy(*keys).agg(F.count("*").alias("replicates"), *each)
 
 
+def downstream_report(summary: DataFrame) -> DataFrame:
+    """One row of what a summary of replicates with AUCs says: the clean AUC, the losses at half the rows, the controls.
+
+    row_order_fraction_of_gap is the share of the clean AUC's distance from one half that row order takes away.
+    """
+    at = lambda family, rate, c: F.max(F.when((F.col("family") == family) & (F.col("rate") == rate), F.col(c)))
+    loss, clean = F.abs(at("row_order", 0.5, "auc_delta_mean")), at("row_order", 0.0, "altered_auc_mean")
+    return summary.agg(
+        clean.alias("clean_auc"), (-loss).alias("row_order_50_delta"), F.try_divide(loss, clean - 0.5).alias("row_order_fraction_of_gap"), at("diagnosis_inversion", 0.5, "auc_delta_mean").alias("diagnosis_flip_50_delta"),
+        *[at(f, 1.0, "auc_delta_mean").alias(f) for f in ("global_diagnosis_inversion_control", "global_sex_recode_control")],
+    )
+
+
 def evaluate_bundle(labelled: DataFrame, reference: DataFrame, seed: int = 101, least: int = 10) -> DataFrame:
     """evaluate_labels, and auc: cross-validated over the labelled rows, if `least` or more of both classes are."""
     found = evaluate_labels(labelled, reference)

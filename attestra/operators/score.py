@@ -151,3 +151,27 @@ def contradictory_approvals(metrics: DataFrame) -> DataFrame:
     rows = metrics.filter(F.col("task").isin("T-FILE", "T-COL") & F.col("gold_corruption"))
     accepted = F.col("action").eqNullSafe(F.lit("accept_provisionally")) & F.col("label").isNotNull() & ~F.col("label").eqNullSafe(F.col("proposal"))
     return rows.agg(F.count("*").alias("n"), F.count_if(accepted).alias("contradictory"))
+
+
+def _long(df: DataFrame, section: str, *keys: str) -> DataFrame:
+    """(section, arm, metric, value) of one row for each arm."""
+    metrics = [c for c in df.columns if c not in keys]
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("x")
+    arm = F.col(keys[0]) if keys else F.lit("hidden_visible")
+    return df.select(F.lit(section).alias("section"), arm.alias("arm"), each).select("section", "arm", "x.*")
+
+
+def report(arms: DataFrame, hidden: str = "hidden", visible: str = "visible") -> DataFrame:
+    """(section, arm, metric, value): metrics of every arm, flags and contradictory approvals, and what both arms leave unresolved.
+
+    arms: scored rows of all arms with a column `arm` (for several models, model and arm in one name).
+    """
+    by = lambda f: f(arms.groupBy("arm"))
+    flag = F.col("matches_flag")
+    contract = by(lambda g: g.agg(F.count("*").alias("n"), F.count_if(flag.isNotNull()).alias("present"), F.count_if(flag).alias("true_n")))
+    semantic = F.col("task").isin("T-FILE", "T-COL") & F.col("gold_corruption")
+    accepted = F.col("action").eqNullSafe(F.lit("accept_provisionally")) & F.col("label").isNotNull() & ~F.col("label").eqNullSafe(F.col("proposal"))
+    approvals = by(lambda g: g.agg(F.count_if(semantic).alias("n"), F.count_if(semantic & accepted).alias("contradictory")))
+    both = ucr_intersection(arms.filter(F.col("arm") == hidden), arms.filter(F.col("arm") == visible))
+    parts = [_long(arm_metrics(arms, "arm"), "arms", "arm"), _long(contract, "contract", "arm"), _long(approvals, "contradictory_approvals", "arm"), _long(both, "ucr_intersection")]
+    return reduce(DataFrame.unionByName, parts)

@@ -177,6 +177,19 @@ def ucr_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.ucr_intersection(metrics_of(spark, sf_dir), metrics_of(spark, sf_dir, True))
 
 
+_NUMBERS = f"""SELECT 'arms' AS section, arm, metric, value FROM (UNPIVOT (SELECT arm, COLUMNS(* EXCLUDE arm)::DOUBLE FROM (SELECT 'hidden' AS arm, {_ARM} FROM h UNION ALL SELECT 'visible' AS arm, {_ARM} FROM v)) ON COLUMNS(* EXCLUDE arm) INTO NAME metric VALUE value)
+UNION ALL SELECT 'contract', arm, metric, value FROM (UNPIVOT (SELECT arm, count(*)::DOUBLE AS n, count(matches_flag)::DOUBLE AS present, count(*) FILTER (matches_flag)::DOUBLE AS true_n FROM (SELECT 'hidden' AS arm, matches_flag FROM h UNION ALL SELECT 'visible', matches_flag FROM v) GROUP BY arm) ON n, present, true_n INTO NAME metric VALUE value)
+UNION ALL SELECT 'contradictory_approvals', arm, metric, value FROM (UNPIVOT (SELECT arm, count(*) FILTER (s)::DOUBLE AS n, count(*) FILTER (s AND action = 'accept_provisionally' AND label <> proposal)::DOUBLE AS contradictory FROM (SELECT 'hidden' AS arm, action, label, proposal, task IN ('T-FILE', 'T-COL') AND gold_corruption AS s FROM h UNION ALL SELECT 'visible', action, label, proposal, task IN ('T-FILE', 'T-COL') AND gold_corruption FROM v) GROUP BY arm) ON n, contradictory INTO NAME metric VALUE value)
+UNION ALL SELECT 'ucr_intersection', 'hidden_visible', metric, value FROM (UNPIVOT (SELECT count(*)::DOUBLE AS n, count(*) FILTER (h.action IS DISTINCT FROM 'recover' AND h.label IS DISTINCT FROM h.proposal)::DOUBLE AS hidden, count(*) FILTER (v.action IS DISTINCT FROM 'recover' AND v.label IS DISTINCT FROM v.proposal)::DOUBLE AS visible FROM h JOIN v USING (case_id) WHERE h.task IN ('T-FILE', 'T-COL') AND h.gold_corruption AND h.label_correct AND v.label_correct) ON n, hidden, visible INTO NAME metric VALUE value)"""
+
+
+@query(_HV + _NUMBERS)
+def report_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All numbers of both arms in one table."""
+    both = metrics_of(spark, sf_dir).withColumn("arm", F.lit("hidden")).unionByName(metrics_of(spark, sf_dir, True).withColumn("arm", F.lit("visible")))
+    return _r(score.report(both))
+
+
 @query(_H + "SELECT count(*) AS n, count(*) FILTER (action = 'accept_provisionally' AND label <> proposal) AS contradictory FROM h WHERE task IN ('T-FILE', 'T-COL') AND gold_corruption")
 def contradictory_approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.contradictory_approvals(metrics_of(spark, sf_dir))

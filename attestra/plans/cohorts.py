@@ -88,9 +88,10 @@ def sensitivity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def sensitivity_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One rate and seed of the grid with cross-validated AUCs, and both null controls."""
-    return _r(effects.sensitivity(cohort(spark, sf_dir), [(0.5, 11)], aucs=True))
+def downstream_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a sensitivity run with AUCs: no corruption and half the rows, one seed, both null controls."""
+    found = effects.sensitivity(cohort(spark, sf_dir), [(0.0, 11), (0.5, 11)], aucs=True)
+    return _r(effects.downstream_report(effects.summarize(found, ["family", "rate"], ["altered_auc", "auc_delta"])))
 
 
 @query()
@@ -170,3 +171,42 @@ def mapping_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("n_chars") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("open"))).alias("unresolved"),
     )
     return bundle.derive_mappings(bundle.selected_decisions(decided, True), ["current_age", "diagnosis", "sex_or_gender"])
+
+
+# --- an agent's bundle: customers as subjects, suppliers' columns as decisions chose them
+
+_MAPPED = {"subject_identifier": "key", "current_age": "balance", "sex_or_gender": "code"}
+
+
+def _agent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    subjects = c.select(
+        F.col("c_custkey").alias("pos"), F.col("c_custkey").cast("string").alias("analysis_id"), F.floor(F.abs("c_acctbal")).alias("age"), (F.col("c_nationkey") % 2 + 1).cast("string").alias("sex"),
+        F.when(F.col("c_mktsegment") == "HOUSEHOLD", "1").otherwise("2").alias("diagnosis"), F.col("c_nationkey").alias("site"), F.array(F.col("c_acctbal"), F.when(F.col("c_custkey") % 7 != 0, F.lit(1.0)).otherwise(F.lit(float("nan")))).alias("features"),
+    )
+    copies = F.explode(F.sequence(F.lit(1), F.when(F.col("s_suppkey") % 10 == 0, 2).otherwise(1)))
+    source = s.select(F.concat(F.lit("00"), F.col("s_suppkey").cast("string")).alias("key"), F.floor(F.abs("s_acctbal")).alias("balance"), (F.col("s_nationkey") % 3).cast("string").alias("code"), copies.alias("copy"))
+    return bundle.agent_bundle(subjects, source, _MAPPED, "ALPHA", "supplier", "pepper", _CODES)
+
+
+_AGENT = """q AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 10 = 0 THEN 2 ELSE 1 END AS n, floor(abs(s_acctbal))::BIGINT::VARCHAR AS balance, CASE s_nationkey % 3 WHEN 0 THEN 'UNRESOLVED:0' WHEN 1 THEN 'male' ELSE 'female' END AS code FROM supplier),
+a AS (SELECT 'ALPHA' AS cohort, 'alpha_' || substr(sha256('pepper|ALPHA|' || c_custkey::VARCHAR), 1, 20) AS subject_key, CASE WHEN n = 1 THEN balance ELSE '' END AS age, CASE WHEN n = 1 THEN code ELSE '' END AS sex, '' AS diagnosis, c_nationkey::VARCHAR AS site, 'exact_id_order' AS bridge_status,
+ CASE WHEN c_custkey % 7 <> 0 THEN 'yes' ELSE 'no' END AS sfnc_available, 'supplier' AS agent_source_artifact, CASE WHEN n = 1 THEN 'matched_unique' WHEN n > 1 THEN 'duplicate_key' ELSE 'not_in_source' END AS agent_join_status, floor(abs(c_acctbal))::BIGINT::VARCHAR AS analysis_reference_age,
+ CASE c_nationkey % 2 WHEN 0 THEN 'male' ELSE 'female' END AS analysis_reference_sex, CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'case' ELSE 'control' END AS analysis_reference_diagnosis, '' AS source_age, '' AS source_sex, '' AS source_diagnosis, '' AS source_panss_total, '' AS source_cminds_composite FROM customer LEFT JOIN q ON k = c_custkey)"""
+
+
+@query(f"WITH {_AGENT} SELECT * FROM a")
+def agent_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _agent(spark, sf_dir)
+
+
+@query(f"WITH {_AGENT} SELECT cohort, count(*) AS n_subjects, count(*) FILTER (agent_join_status = 'matched_unique') AS source_matched_n, count(*) FILTER (agent_join_status = 'duplicate_key') AS source_duplicate_n, count(*) FILTER (age <> '') AS age_coverage_n, count(*) FILTER (sex <> '') AS sex_coverage_n, count(*) FILTER (diagnosis <> '') AS diagnosis_coverage_n FROM a GROUP BY cohort")
+def agent_bundle_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bundle.agent_summary(_agent(spark, sf_dir))
+
+
+@query("""WITH c AS (SELECT lang AS study, CASE WHEN n_chars % 2 = 0 THEN ['current_age', 'diagnosis', 'panss_total'][(doc_id % 3 + 1)::INT] END AS label FROM documents),
+w AS (SELECT DISTINCT study, unnest(['current_age', 'diagnosis', 'sex_or_gender']) AS target FROM c), h AS (SELECT study, label AS target, count(*) AS n FROM c WHERE label IS NOT NULL GROUP BY ALL)
+SELECT study || '_' || target || '_mapping' AS issue_id, study AS cohort, target AS scope, (SELECT count(*) FROM customer) AS affected_n, 'documents' AS source_artifact, CASE WHEN target = 'diagnosis' THEN 'high' ELSE 'medium' END AS severity, 'human_review_or_add_evidence' AS action FROM w LEFT JOIN h USING (study, target) WHERE n IS DISTINCT FROM 1""")
+def agent_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bundle.agent_unresolved(mapping_ledger(spark, sf_dir), table(spark, sf_dir, "customer"), "documents")
