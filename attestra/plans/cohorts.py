@@ -87,13 +87,6 @@ def sensitivity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(effects.summarize(found, ["family", "rate"], ["changed_n", *effects.METRICS, "adjusted_correlation", "adjusted_rmse"]))
 
 
-@query()
-def downstream_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report of a sensitivity run with AUCs: no corruption and half the rows, one seed, both null controls."""
-    found = effects.sensitivity(cohort(spark, sf_dir), [(0.0, 11), (0.5, 11)], aucs=True)
-    return _r(effects.downstream_report(effects.summarize(found, ["family", "rate"], ["altered_auc", "auc_delta"])))
-
-
 @query()
 def bundle_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels 1 and 2 as a bundle's diagnoses against the reference, with the AUC of the labelled rows."""

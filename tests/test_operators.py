@@ -184,6 +184,12 @@ def test_adjusted_coefficients_and_controls_by_brute_force(spark, sf):
     assert sex["adjusted_rmse"] == pytest.approx(0, abs=1e-9) and turned["correlation"] == pytest.approx(-1) and turned["adjusted_correlation"] == pytest.approx(-1)
 
 
+def test_downstream_report_reads_the_summary(spark):
+    rows = [("row_order", 0.0, 0.75, 0.0), ("row_order", 0.5, 0.6, -0.15), ("diagnosis_inversion", 0.5, 0.5, -0.25), ("global_diagnosis_inversion_control", 1.0, 0.75, 0.0), ("global_sex_recode_control", 1.0, 0.75, 0.0)]
+    got = effects.downstream_report(spark.createDataFrame(rows, "family string, rate double, altered_auc_mean double, auc_delta_mean double")).first()
+    assert got["clean_auc"] == 0.75 and got["row_order_50_delta"] == -0.15 and got["row_order_fraction_of_gap"] == pytest.approx(0.6) and got["diagnosis_flip_50_delta"] == -0.25
+
+
 def test_bundle_evaluation_needs_enough_labels(spark, sf):
     c = cohorts.cohort(spark, sf)
     few = c.select("pos", "diagnosis").limit(6)
