@@ -48,16 +48,21 @@ def windows(items: DataFrame, length: int = WINDOW) -> DataFrame:
     return each.select(F.array_join(F.slice("w", F.col("s"), length), " ").alias("window"), "item_id").distinct()
 
 
-def _positions(docs: DataFrame) -> DataFrame:
-    """Every word of every document with its place; the words travel along by reference."""
-    return docs.select("doc_id", "h", "words", F.posexplode("words").alias("at", "word"))
+def _places(docs: DataFrame, length: int, near: bool) -> DataFrame:
+    """Every word of every document with its place and the pair it begins, and words to compare a window with.
 
+    Where the other side is broadcast, the whole word array travels along by reference; where rows are shuffled,
+    they carry the words around their place only.
+    """
+    each = docs.select("doc_id", "h", "words", F.size("words").alias("n_words"), F.posexplode("words").alias("at", "word"))
+    each = each.withColumn("follows", F.get("words", F.col("at") + 1))
+    if not near:
+        return each.withColumn("base", F.lit(0))
+    each = each.withColumn("base", F.greatest(F.col("at") - (length - 1), F.lit(0)))
+    return each.withColumn("words", F.slice("words", F.col("base") + 1, 2 * length))
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
-
-def hits(documents: DataFrame, items: DataFrame, length: int = WINDOW) -> DataFrame:
+def hits(documents: DataFrame, items: DataFrame, length: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, h, start, n, window) wherever a window of items stands in a document."""
     docs = documents.select("doc_id", F.xxhash64(text_of()).alias("h"), _raw_words(text_of()).alias("words"))
     found = materialize(windows(items, length).select("window").distinct(), "decontamination-windows")
@@ -65,13 +70,12 @@ def hits(documents: DataFrame, items: DataFrame, length: int = WINDOW) -> DataFr
     count = found.count()
     pairs = split.filter("n > 1").select("window", "n", "w", F.explode(F.sequence(F.lit(0), F.col("n") - 2)).alias("offset"))
     pairs = pairs.select("window", "n", "offset", _pair(F.get("w", F.col("offset")), F.get("w", F.col("offset") + 1)).alias("pair"))
-
-    def met(side: DataFrame, rows: int, single: bool) -> DataFrame:
-        place = _positions(docs)
-        second = F.lit(None).cast("string") if single else F.get("words", F.col("at") + 1)
-        return place.withColumn("pair", _pair(F.col("word"), second)).join(_sized(side, rows), "pair")
-
-    rarity = met(pairs.select("pair").distinct(), count * (length - 1), False).groupBy("pair").agg(F.count("*").alias("seen"))
+    wanted = pairs.select("pair").distinct()
+    place = _places(docs, length, False).select(_pair(F.col("word"), F.col("follows")).alias("pair"))
+    if count * (length - 1) <= broadcast_rows:
+        rarity = place.join(F.broadcast(wanted), "pair").groupBy("pair").agg(F.count("*").alias("seen"))
+    else:  # counted where they stand before anything is shuffled
+        rarity = place.groupBy("pair").agg(F.count("*").alias("seen")).join(wanted, "pair")
     # a window with an unseen pair stands nowhere; of the others the rarest pair is the prefix
     rarest = (
         pairs.join(rarity, "pair", "left")
@@ -80,14 +84,21 @@ def hits(documents: DataFrame, items: DataFrame, length: int = WINDOW) -> DataFr
         .filter("p.seen > 0")
         .select("window", "n", F.col("p.pair").alias("pair"), F.col("p.offset").alias("offset"))
     )
+    near = count > broadcast_rows
+
+    def met(side: DataFrame, second: Column) -> DataFrame:
+        each = _places(docs, length, near).withColumn("pair", _pair(F.col("word"), second))
+        return each.join(side if near else F.broadcast(side), "pair")
+
     start = F.col("at") - F.col("offset")
-    fits = (start >= 0) & (start + F.col("n") <= F.size("words"))
-    same = _fold(F.array_join(F.slice("words", start + 1, F.col("n")), " ")) == F.col("window")
+    fits = (start >= 0) & (start + F.col("n") <= F.col("n_words"))
+    same = _fold(F.array_join(F.slice("words", start - F.col("base") + 1, F.col("n")), " ")) == F.col("window")
     out = ("doc_id", "h", start.alias("start"), "n", "window")
-    result = met(materialize(rarest, "decontamination-prefixes"), count, False).filter(fits).filter(same).select(*out)
+    result = met(materialize(rarest, "decontamination-prefixes"), F.col("follows")).filter(fits).filter(same).select(*out)
     if not split.filter("n = 1").isEmpty():
-        ones = split.filter("n = 1").select("window", "n", F.lit(0).alias("offset"), _pair(F.col("window"), F.lit(None).cast("string")).alias("pair"))
-        result = result.unionByName(met(ones, count, True).filter(same).select(*out))
+        none = F.lit(None).cast("string")
+        ones = split.filter("n = 1").select("window", "n", F.lit(0).alias("offset"), _pair(F.col("window"), none).alias("pair"))
+        result = result.unionByName(met(ones, none).filter(same).select(*out))
     return result
 
 

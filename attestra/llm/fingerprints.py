@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD_GAP, text_of
+from .common import WORD_GAP, materialize, text_of
 
 SHINGLE, BINS, BITS, PROBES = 5, 256, 4, 8
 #: No hash of a shingle but one in 2^56 has these low bits; they mark an empty bin.
@@ -143,12 +143,14 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     signed = rows.select("*", signature(F.col("text")).alias("sig"))
     order = Window.partitionBy("bucket").orderBy("at", "text")
     near = signed.select(
-        "*", F.lead("text").over(order).alias("after"), F.lead("sig").over(order).alias("after_sig"), F.row_number().over(order).alias("place")
+        "*", F.lead("text").over(order).alias("after"), F.lead("sig").over(order).alias("after_sig")
     )
-    # the first document of the following bucket comes after the last of this one
-    first = near.filter("place = 1").select(F.col("bucket").alias("next"), F.col("text").alias("first"), F.col("sig").alias("first_sig"))
-    following = successors(rows.select(F.col("bucket").alias("k")).distinct())
-    opening = following.join(first, "next").select(F.col("k").alias("bucket"), "first", "first_sig")
+    # the first document of the following bucket comes after the last of this one; only the few first ones are signed again
+    first = rows.groupBy("bucket").agg(F.min(F.struct("at", "text")).alias("f"))
+    first = materialize(first.select("bucket", F.col("f.text").alias("first")), "fingerprints-buckets")
+    following = successors(first.select(F.col("bucket").alias("k")))
+    named = first.select(F.col("bucket").alias("next"), "first", signature(F.col("first")).alias("first_sig"))
+    opening = following.join(named, "next").select(F.col("k").alias("bucket"), "first", "first_sig")
     n, edge = F.char_length("text"), F.col("after").isNull()
     cut = F.floor(n / 4).cast("int")
     chained = near.join(opening, "bucket").select(

@@ -10,7 +10,7 @@ are averaged with their similarities as weights.
 
 Null and empty texts have the zero vector, no similarities, and the share of label 1 as their score;
 so has every text if the sample is empty (0.5 without labels). Ties between neighbours go to the
-smaller hash of the id. Null ids belong to fold 0. Repeated rows get equal scores, an empty table gives
+smaller hash of the id; of labelled rows with one id the least text counts. Null ids belong to fold 0. Repeated rows get equal scores, an empty table gives
 an empty result, and columns besides doc_id and text are not read.
 """
 
@@ -93,7 +93,7 @@ class Neighbours:
         x = self.latent(rows)
         for lo in range(0, len(x), BLOCK):
             near = x[lo : lo + BLOCK] @ self.vectors.T
-            at = np.argpartition(-near, k - 1, axis=1)[:, :k]
+            at = nearest(near, k)
             weight = np.maximum(np.take_along_axis(near, at, 1), 0).astype(np.float64) ** 4
             total = weight.sum(1)
             vote = (weight * self.labels[at]).sum(1)
@@ -101,6 +101,14 @@ class Neighbours:
         return np.clip(out, 0.0, 1.0)
 
 
+def nearest(near: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest numbers of each row; of equal ones the first."""
+    least = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
+    above, ties = near > least, near == least
+    picked = above | (ties & (np.cumsum(ties, axis=1) <= k - above.sum(1, keepdims=True)))
+    return np.nonzero(picked)[1].reshape(-1, k)
+
+
 def _scaled(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
@@ -127,8 +135,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Neighb
         .select("doc_id", "y", order)
     )
     chosen = known.orderBy("order", "doc_id").limit(sample)
-    rows = documents.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("y", "order", "text")
-    got = rows.mapInArrow(_vectors, "y int, order bigint, v binary").toArrow().sort_by("order")
+    rows = documents.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "y", "order").agg(F.min("text").alias("text")).select("y", "order", "text")
+    got = rows.mapInArrow(_vectors, "y int, order bigint, v binary").toArrow().sort_by([("order", "ascending"), ("v", "ascending")])
     y = got["y"].to_numpy().astype(np.float64)
     x = np.frombuffer(b"".join(got["v"].to_pylist()), np.float32).reshape(len(y), WORDS + SHAPES)
     share = float(y.mean()) if len(y) else 0.5

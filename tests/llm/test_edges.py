@@ -51,3 +51,16 @@ def test_pages(spark):
     pages = spark.createDataFrame([(1, "http://a/x", None), (2, None, "<p>x"), (2, None, "<p>x"), (3, "http://b/", "<nav>n</nav>")], "page_id bigint, url string, html string").withColumn("blocks", F.lit(1))
     assert sorted((r["page_id"], r["text"]) for r in extraction.extract(pages).collect()) == [(1, ""), (2, "x"), (2, "x"), (3, "")]
     assert extraction.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_fitted_models_meet_edge_rows(spark, docs, labels, module):
+    """With labels of both classes, on edge rows and on ids that occur twice, every row still gets a score."""
+    told = [(100 + i, "a fine text of words" if i % 2 else "grob und zwik zwik words") for i in range(60)]
+    d = docs([*EDGES, *told, *told[:5]])
+    lab = labels([*[(i, i % 2, 1 - i % 2) for i, _ in told], (3, 1, 0), (3, 0, 1), (4, 1, 0), (0, 0, 0), (None, 1, 1), (7777, 1, 1)])
+    got = module.score(d, lab).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _ in [*EDGES, *told, *told[:5]])
+    assert all(0 <= r["score"] <= 1 for r in got) and module.score(docs([]), lab).count() == 0
+    empty = {r["score"] for r in got if r["doc_id"] in (0, 1)}
+    assert len(empty) == 1

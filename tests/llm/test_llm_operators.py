@@ -40,6 +40,13 @@ def test_contamination_is_what_its_sql_says(spark, sf):
     assert got == want
 
 
+def test_shuffled_windows_give_the_same_hits(spark, sf, corpus):
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    few = corpus.filter("doc_id < 120")
+    a, b = (sorted(map(tuple, decontamination.hits(few, items, broadcast_rows=k).collect())) for k in (0, decontamination.BROADCAST_ROWS))
+    assert a == b and a
+
+
 def test_short_and_single_word_items(spark, docs):
     items = spark.createDataFrame([(1, "Stop"), (2, "two words"), (3, " ".join(map(str, range(12))))], "item_id bigint, text string")
     d = docs([(1, "please STOP now"), (2, "two  words, stop"), (3, "x " + ".".join(map(str, range(11)))), (4, "two word s"), (5, "École stop"), (6, "école")])
@@ -287,6 +294,23 @@ def test_class_models_are_kneser_ney_by_brute_force(spark):
         assert got[g] == pytest.approx(math.log(p[1] / p[0]), rel=1e-9)
 
 
+def test_votes_are_those_of_brute_force(spark):
+    import numpy as np
+
+    folder = "/root/testdata/sf0.001"
+    d, lab = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = quality.fit(d, lab)
+    got = {r["doc_id"]: r["score"] for r in quality.score(d, lab).collect()}
+    words, shapes = quality._Places(quality.WORDS), quality._Places(quality.SHAPES)
+    for r in d.orderBy("doc_id").limit(40).collect():
+        x = model.latent(quality.terms(r["text"], words, shapes)[None, :])[0].astype(float)
+        near = sorted(((float(x @ v), -k) for k, v in enumerate(model.vectors.astype(float))), reverse=True)[: quality.NEIGHBOURS]
+        weight = [max(s, 0) ** 4 for s, _ in near]
+        assert got[r["doc_id"]] == pytest.approx(sum(w * model.labels[-k] for w, (_, k) in zip(weight, near, strict=True)) / sum(weight), abs=1e-3)
+    ties = quality.nearest(np.array([[1.0, 3.0, 2.0, 2.0, 2.0], [0.0, 0.0, 0.0, 0.0, 0.0]]), 3)
+    assert ties.tolist() == [[1, 2, 3], [0, 1, 2]]
+
+
 @pytest.mark.parametrize("module", ["quality", "toxicity"])
 def test_held_out_accuracy(spark, module):
     folder = "/root/testdata/sf0.01"
