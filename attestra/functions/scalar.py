@@ -233,3 +233,26 @@ def field_lookup(fields: Column, exact: str, prefix: str) -> Column:
     return F.coalesce(F.get(F.filter(fields, lambda f: f == exact), F.lit(0)), F.get(F.filter(fields, lambda f: f.startswith(prefix)), F.lit(0)))
 
 
+
+
+def safe_scalar(c: Column | str, kind: str) -> Column:
+    """A value that JSON can hold: numbers that are none become null, times ISO text; kind is the column's type name."""
+    v = col(c)
+    if kind in ("double", "float"):
+        return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+    if kind.startswith("timestamp"):
+        return F.date_format(v, "yyyy-MM-dd'T'HH:mm:ss")
+    return v
+
+
+def attribute_text(c: Column | str) -> Column:
+    """Attribute bytes as text; what is not UTF-8 becomes the replacement character."""
+    return F.make_valid_utf8(col(c).cast("string"))
+
+
+def envelope(action: Column, label: Column, repair: Column, tools: Column, unresolved: Column | None = None) -> Column:
+    """A decision as one struct: lists that are null count as empty."""
+    none = F.array().cast("array<string>")
+    return F.struct(
+        action.alias("action"), F.coalesce(tools, none).alias("evidence_tools"), label.alias("label"), repair.alias("repair"), (F.coalesce(unresolved, none) if unresolved is not None else none).alias("unresolved")
+    )

@@ -74,11 +74,14 @@ def cells(cases: DataFrame, oracle: DataFrame) -> DataFrame:
     oracle: case_id, gold_action, gold_repair. Families are summed over in the rows 'all' and
     'mechanistic'.
     """
-    changed = mutated(cases)
-    gold = changed.select("case_id", "family", "strength", F.col("gold_action").alias("new_action"), F.col("gold_repair").alias("new_repair"))
-    before = rule_system(cases).select("case_id", F.col("action").alias("a0"), F.col("repair").alias("r0"))
-    after = rule_system(changed).select("case_id", F.col("action").alias("a1"), F.col("repair").alias("r1"))
-    joined = gold.join(oracle.select("case_id", "gold_action", "gold_repair"), "case_id").join(before, "case_id").join(after, "case_id")
+    # each case carries the answer of the rules through its change: they run before and after it on the row itself
+    known = cases.columns
+    before = rule_system(cases)
+    before = before.select(*known, F.struct(F.col("action").alias("a0"), F.col("repair").alias("r0")).alias("__before"))
+    changed = mutated(before)
+    changed = changed.select(*known, "__before", "family", "strength", F.struct(F.col("gold_action").alias("new_action"), F.col("gold_repair").alias("new_repair")).alias("__gold"))
+    after = rule_system(changed).select("case_id", "family", "strength", "__before.*", "__gold.*", F.col("action").alias("a1"), F.col("repair").alias("r1"))
+    joined = after.join(oracle.select("case_id", "gold_action", "gold_repair"), "case_id")
     ok = lambda a, r, ga, gr: F.col(a).eqNullSafe(F.col(ga)) & F.col(r).eqNullSafe(F.col(gr))
     systems = F.explode(
         F.array(

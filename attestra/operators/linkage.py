@@ -2,34 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 
 
-def overlap_card(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> DataFrame:
-    """One row of counts of two key columns' normalised, non-empty values, and the relationship they make.
+def overlap_cards(links: Sequence[tuple[str, DataFrame, str, DataFrame, str]]) -> DataFrame:
+    """A row for each (name, left, left key, right, right key): counts of both keys' normalised, non-empty values.
 
-    Both sides are counted by key first, so that a hot key is one row before anything is joined.
+    The keys of all cards are counted in one pass, by card and key, so that a hot key is one row before anything is
+    compared, and there is one shuffle for all cards together.
     """
-
-    def keys(df: DataFrame, name: str) -> DataFrame:
-        return df.select(S.normalized_identifier(name).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
-
-    a, b = keys(left, left_key).withColumnRenamed("n", "a"), keys(right, right_key).withColumnRenamed("n", "b")
-    both = a.join(b, "k", "full_outer")
-    here = F.col("k") != ""
-    counted = both.agg(
-        F.coalesce(F.sum("a"), F.lit(0)).alias("left_n"),
-        F.coalesce(F.sum("b"), F.lit(0)).alias("right_n"),
-        F.count_if(here & F.col("a").isNotNull()).alias("left_unique_n"),
-        F.count_if(here & F.col("b").isNotNull()).alias("right_unique_n"),
-        F.count_if(here & F.col("a").isNotNull() & F.col("b").isNotNull()).alias("overlap_n"),
-        F.coalesce(F.sum(F.when(here, F.col("a") - 1)), F.lit(0)).alias("duplicate_left_n"),
-        F.coalesce(F.sum(F.when(here, F.col("b") - 1)), F.lit(0)).alias("duplicate_right_n"),
+    sides = []
+    for name, left, left_key, right, right_key in links:
+        for df, key, is_left in ((left, left_key, True), (right, right_key, False)):
+            sides.append(df.select(F.lit(name).alias("card"), S.normalized_identifier(key).alias("k"), F.lit(int(is_left)).alias("l"), F.lit(int(not is_left)).alias("r")))
+    each = reduce(DataFrame.unionByName, sides).groupBy("card", "k").agg(F.sum("l").alias("a"), F.sum("r").alias("b"))
+    here, a, b = F.col("k") != "", F.col("a") > 0, F.col("b") > 0
+    counted = each.groupBy("card").agg(
+        F.sum("a").alias("left_n"),
+        F.sum("b").alias("right_n"),
+        F.count_if(here & a).alias("left_unique_n"),
+        F.count_if(here & b).alias("right_unique_n"),
+        F.count_if(here & a & b).alias("overlap_n"),
+        F.coalesce(F.sum(F.when(here & a, F.col("a") - 1)), F.lit(0)).alias("duplicate_left_n"),
+        F.coalesce(F.sum(F.when(here & b, F.col("b") - 1)), F.lit(0)).alias("duplicate_right_n"),
     )
-    return counted.withColumn("relationship", relationship())
+    named = F.explode(F.array(*[F.lit(x[0]) for x in links])).alias("card")
+    spark = links[0][1].sparkSession
+    found = spark.range(1).select(named).join(counted, "card", "left").fillna(0)  # empty tables have a card too
+    return found.withColumn("relationship", relationship())
+
+
+def overlap_card(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> DataFrame:
+    """One row of counts of two key columns' normalised, non-empty values, and the relationship they make."""
+    return overlap_cards([("", left, left_key, right, right_key)]).drop("card")
 
 
 def relationship() -> Column:
@@ -139,3 +150,19 @@ def satisfied(required: Column, observed: Column) -> Column:
 def with_name(name: str, df: DataFrame, column: str = "system") -> DataFrame:
     """For vertical concatenation: the name of the part as first column."""
     return df.select(F.lit(name).alias(column), "*")
+
+
+def row_counts(frames: dict[str, DataFrame], expected: dict[str, int] | DataFrame) -> DataFrame:
+    """(name, expected_n, n, as_expected) of tables whose numbers of rows are known beforehand; expected: by name, or (name, expected_n)."""
+    found = reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in frames.items()])
+    if isinstance(expected, dict):
+        expected = found.sparkSession.createDataFrame(list(expected.items()), "name string, expected_n bigint")
+    both = found.join(F.broadcast(expected), "name")  # a row for each table
+    return both.select("name", "expected_n", "n", (F.col("n") == F.col("expected_n")).alias("as_expected"))
+
+
+def require_row_counts(frames: dict[str, DataFrame], expected: dict[str, int]) -> None:
+    """Fail if a table has not the number of rows that is expected of it."""
+    wrong = row_counts(frames, expected).filter("NOT as_expected").first()
+    if wrong:
+        raise ValueError(f"expected {wrong['expected_n']} rows of {wrong['name']}, found {wrong['n']}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,48 +27,58 @@ def _text(df: DataFrame, name: str) -> Column:
     return F.trim(F.col(name).cast("string"))
 
 
+def _unpivoted(df: DataFrame, columns: list[str], value: Callable[[str], Column]) -> DataFrame:
+    """(column_name, v) of all columns, in one pass over the table."""
+    each = [F.struct(F.lit(c).alias("column_name"), value(c).alias("v")) for c in columns]
+    return df.select(F.explode(F.array(*each)).alias("x")).select("x.column_name", "x.v")
+
+
 def counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """A row for each column: n, missing, distinct values, identifier-likeness. One pass over the table."""
-    parts = []
-    for c in columns:
-        here = _present(df, c)
-        parts += [F.count_if(~here).alias(f"{c}__missing"), F.count_distinct(F.when(here, F.col(c))).alias(f"{c}__unique")]
-    row = df.agg(F.count("*").alias("__n"), *parts)
-    each = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
-            F.col("__n").alias("n"),
-            F.col(f"{c}__missing").alias("missing_n"),
-            F.coalesce(F.try_divide(f"{c}__missing", "__n"), F.lit(0.0)).alias("missing_fraction"),
-            F.col(f"{c}__unique").alias("unique_n"),
-            S.is_identifier_name(F.lit(c)).alias("is_identifier_like"),
-        )
-        for c in columns
-    ]
-    return row.select(F.explode(F.array(*each)).alias("r")).select("r.*")
+    """A row for each column: n, missing, distinct values, identifier-likeness. One pass over the table.
+
+    Values are counted where they stand before they are shuffled by column and value, so that a column of few
+    values moves few rows; then each column's distinct values are counted, in parts.
+    """
+    def value(c: str) -> Column:
+        # adding nothing makes one of the two zeros
+        typed = F.col(c) + F.lit(0.0) if isinstance(df.schema[c].dataType, T.DoubleType | T.FloatType) else F.col(c)
+        return F.when(_present(df, c), typed.cast("string"))
+
+    each = _unpivoted(df, columns, value).groupBy("column_name", "v").agg(F.count("*").alias("times"))
+    found = each.groupBy("column_name").agg(F.sum("times").alias("n"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("times"))), F.lit(0)).alias("missing_n"), F.count("v").alias("unique_n"))
+    facts = [(c, df.schema[c].dataType.simpleString()) for c in columns]
+    named = df.sparkSession.createDataFrame(facts, "column_name string, dtype string")
+    found = named.join(F.broadcast(found), "column_name", "left").fillna(0)  # a row for each column
+    share = F.coalesce(F.try_divide("missing_n", "n"), F.lit(0.0))
+    return found.select("column_name", "dtype", "n", "missing_n", share.alias("missing_fraction"), "unique_n", S.is_identifier_name("column_name").alias("is_identifier_like"))
 
 
 def numeric(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Share of values that are numbers and, if it reaches 0.95, their summary; one row a column."""
-    out = None
-    for c in columns:
-        if isinstance(df.schema[c].dataType, T.NumericType):
-            value = F.col(c).cast("double")
-        else:
-            value = S.as_number(c)
-        rows = df.filter(_present(df, c)).select(value.alias("x"))
-        quart = [F.percentile("x", F.lit(q)).alias(n) for q, n in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))]
-        one = rows.agg(
-            F.count("*").alias("present_n"),
-            F.coalesce(F.avg(F.col("x").isNotNull().cast("int")), F.lit(0.0)).alias("numeric_fraction"),
-            F.min("x").alias("min"), *quart, F.max("x").alias("max"), F.avg("x").alias("mean"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("std"),
-        )
-        enough = F.col("numeric_fraction") >= NUMERIC_SHARE
-        names = ("min", "q25", "median", "q75", "max", "mean", "std")
-        one = one.select(F.lit(c).alias("column_name"), "present_n", "numeric_fraction", *[F.when(enough, F.col(n)).alias(n) for n in names])
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Share of values that are numbers and, if it reaches 0.95, their summary; one row a column, one pass over the table.
+
+    Quartiles are exact: equal values are counted before they meet in the one state that a column has.
+    """
+    def value(c: str) -> Column:
+        numbers = F.col(c).cast("double") if isinstance(df.schema[c].dataType, T.NumericType) else S.as_number(c)
+        return F.when(_present(df, c), F.struct(numbers.alias("x")))
+
+    each = _unpivoted(df, columns, value).filter("v IS NOT NULL").select("column_name", F.col("v.x").alias("x"))
+    each = each.groupBy("column_name", "x").agg(F.count("*").alias("times"))
+    n, x = F.sum("times"), F.col("x")
+    one = each.groupBy("column_name").agg(
+        n.alias("present_n"), F.coalesce(F.sum(F.when(x.isNotNull(), F.col("times"))), F.lit(0)).alias("numbers"), F.min("x").alias("min"), F.max("x").alias("max"),
+        F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("times")).alias("q"),
+        F.try_divide(F.sum(x * F.col("times")), F.sum(F.when(x.isNotNull(), F.col("times")))).alias("mean"),
+    )
+    # deviations from the mean itself, so that large numbers keep their digits
+    spread = each.join(F.broadcast(one.select("column_name", "mean", "numbers")), "column_name").groupBy("column_name")
+    spread = spread.agg(F.sqrt(F.try_divide(F.sum((x - F.col("mean")) * (x - F.col("mean")) * F.col("times")), F.nullif(F.max("numbers") - 1, F.lit(0)))).alias("std"))
+    named = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    found = named.join(F.broadcast(one.join(spread, "column_name", "left")), "column_name", "left").fillna(0, ["present_n", "numbers"])
+    found = found.withColumn("numeric_fraction", F.coalesce(F.try_divide("numbers", "present_n"), F.lit(0.0)))
+    enough = F.col("numeric_fraction") >= NUMERIC_SHARE
+    shown = {"min": F.col("min"), "q25": F.get("q", F.lit(0)), "median": F.get("q", F.lit(1)), "q75": F.get("q", F.lit(2)), "max": F.col("max"), "mean": F.col("mean"), "std": F.coalesce("std", F.lit(0.0))}
+    return found.select("column_name", "present_n", "numeric_fraction", *[F.when(enough, c).alias(k) for k, c in shown.items()])
 
 
 def categories(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -152,3 +164,32 @@ def resolve_column_cards(requests: DataFrame, cards: DataFrame) -> DataFrame:
     return requests.join(found, ["artifact_id", "column_name"], "left").select(
         "artifact_id", "column_name", state.alias("state"), F.when(F.col("n") == 1, F.col("card_id")).alias("card_id")
     )
+
+
+def column_cards(artifact: str, study: str, sheets: dict[str, DataFrame], columns: list[str] | None = None) -> DataFrame:
+    """(card_id, artifact_id, study, sheet, column_name, concept, signature columns) of the wanted columns of each sheet.
+
+    One pass over each sheet; identifier-like columns show counts only, and no card shows a value.
+    """
+    out = None
+    for sheet, df in sheets.items():
+        wanted = [c for c in (columns or df.columns) if c in df.columns]
+        facts, numbers = counts(df, wanted), numeric(df, wanted).select("column_name", "numeric_fraction")
+        one = facts.join(F.broadcast(numbers), "column_name").select(
+            F.concat(F.lit(f"column:{artifact}:"), S.stable_digest(F.concat(F.lit(f"{sheet}:"), "column_name"))).alias("card_id"), F.lit(artifact).alias("artifact_id"), F.lit(study).alias("study"),
+            F.lit(sheet).alias("sheet"), "column_name", S.infer_column_concept("column_name").alias("concept"), "dtype", "n", "missing_n", "unique_n", "numeric_fraction", "is_identifier_like",
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def reference_cards(dictionary: DataFrame, artifact: str, study: str, scope: str) -> DataFrame:
+    """(card_id, artifact_id, study, reference_scope, variable, verified_fields) of a dictionary (variable, code, meaning).
+
+    Each variable's codes are one text, in their order: the codes of a dictionary are few by their nature.
+    """
+    pairs = F.transform(F.array_sort(F.collect_set(F.struct("code", "meaning"))), lambda p: F.concat(p["code"], F.lit("="), p["meaning"]))
+    return dictionary.groupBy("variable").agg(pairs.alias("__p")).select(
+        F.concat(F.lit(f"reference:{artifact}:"), S.stable_digest("variable")).alias("card_id"), F.lit(artifact).alias("artifact_id"), F.lit(study).alias("study"), F.lit(scope).alias("reference_scope"),
+        "variable", F.concat("variable", F.lit(":"), F.array_join("__p", ",")).alias("verified_fields"),
+    )

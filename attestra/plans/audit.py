@@ -331,3 +331,12 @@ def order_corruption_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.corruption_grid(keys, _GRID)
 
 
+
+
+@query(f"""WITH {_PANEL}, {_RULES}, w AS (SELECT *, CASE task WHEN 'T-FILE' THEN 'reparse_artifact' WHEN 'T-VAL' THEN CASE WHEN k % 3 <> 0 THEN 'get_dictionary_entry' ELSE 'profile_values' END
+ WHEN 'T-ID' THEN CASE WHEN scope = 'identifier_linkage' THEN 'check_id_overlap' WHEN scope = 'source_independence' THEN 'check_lineage' ELSE 'check_imaging_order' END WHEN 'T-GOV' THEN 'escalate_to_human' ELSE 'profile_values' END AS tool FROM r)
+SELECT case_id, '{{"action":"' || rule_action || '","evidence_tools":[' || CASE WHEN calls = 1 THEN '"' || tool || '"' ELSE '' END || '],"label":"' || rule_label || '","unresolved":[]}}' AS decision FROM w""")
+def decision_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules' decisions as envelopes, without their repairs."""
+    found = gate.rule_system(typed_cases(spark, sf_dir))
+    return found.select("case_id", F.to_json(S.envelope(F.col("action"), F.col("label"), F.lit(None).cast("string"), F.col("called"))).alias("decision"))

@@ -89,10 +89,10 @@ def fingerprint_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.fingerprint(table(spark, sf_dir, "customer"), "c_name", "c_custkey")
 
 
-@query(f"""WITH w AS (SELECT DISTINCT word FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) WHERE length(word) BETWEEN 1 AND 12 AND regexp_matches(word, '^[A-Za-z_]+$'))
+@query(f"""WITH w AS (SELECT DISTINCT word FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents))
 SELECT word, {_ID_SQL.format(c='word')} AS is_identifier_like FROM w""")
 def identifier_name_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("word")).filter(F.col("word").rlike("^[A-Za-z_]{1,12}$")).distinct()
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("word")).distinct()
     return words.select("word", S.is_identifier_name("word").alias("is_identifier_like"))
 
 
@@ -182,11 +182,7 @@ SELECT '{a}:{b}' AS card, (SELECT count(*) FROM {a}) AS left_n, (SELECT count(*)
 
 @query(" UNION ALL ".join(_card_sql(*x) for x in _LINKS))
 def linkage_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for a, ak, b, bk in _LINKS:
-        one = linkage.with_name(f"{a}:{b}", linkage.overlap_card(table(spark, sf_dir, a), ak, table(spark, sf_dir, b), bk), "card")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return linkage.overlap_cards([(f"{a}:{b}", table(spark, sf_dir, a), ak, table(spark, sf_dir, b), bk) for a, ak, b, bk in _LINKS])
 
 
 @query("""WITH a AS (SELECT row_number() OVER (ORDER BY doc_id) AS p, doc_id AS a FROM documents), b AS (SELECT row_number() OVER (ORDER BY doc_id) AS p, doc_id AS b FROM labels)
@@ -231,3 +227,49 @@ def metadata_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     again = docs.select("doc_id", "lang", "source", F.char_length("text").cast("bigint").alias("n_chars"))
     return linkage.inconsistent_metadata(docs, again, ["lang", "source", "n_chars"], "doc_id")
+
+
+_CARD_COLUMNS = {"orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"], "customer": ["c_custkey", "c_name", "c_acctbal"]}
+_KINDS = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "c_custkey": "bigint", "c_name": "string", "c_acctbal": "double"}
+
+
+def _column_card_sql(sheet: str, c: str) -> str:
+    share = "1.0::DOUBLE" if _KINDS[c] != "string" else "0.0::DOUBLE"
+    key = "regexp_replace(lower(column_name), '[^a-z0-9]', '', 'g')"
+    return f"""SELECT 'column:shop:' || substr(sha256('{sheet}:{c}'), 1, 16) AS card_id, 'shop' AS artifact_id, 'ALPHA' AS study, '{sheet}' AS sheet, column_name, {_CONCEPT_SQL.replace('(c,', f'({key},').replace('c IN', f'{key} IN').replace('c =', f'{key} =').replace('c LIKE', f'{key} LIKE')} AS concept,
+'{_KINDS[c]}' AS dtype, n, missing_n, unique_n, {share} AS numeric_fraction, {_ID_SQL.format(c='column_name')} AS is_identifier_like FROM (SELECT '{c}' AS column_name, count(*) AS n, count(*) - count({c}) AS missing_n, count(DISTINCT {c}) AS unique_n FROM {sheet})"""
+
+
+@query(" UNION ALL ".join(_column_card_sql(t, c) for t, names in _CARD_COLUMNS.items() for c in names))
+def column_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sheets = {t: table(spark, sf_dir, t) for t in _CARD_COLUMNS}
+    return profile.column_cards("shop", "ALPHA", sheets, [c for names in _CARD_COLUMNS.values() for c in names])
+
+
+@query("""SELECT 'reference:nations:' || substr(sha256(n_regionkey::VARCHAR), 1, 16) AS card_id, 'nations' AS artifact_id, 'ALPHA' AS study, 'nation codes' AS reference_scope, n_regionkey::VARCHAR AS variable,
+n_regionkey::VARCHAR || ':' || string_agg(n_nationkey::VARCHAR || '=' || n_name, ',' ORDER BY n_nationkey::VARCHAR) AS verified_fields FROM nation GROUP BY n_regionkey""")
+def reference_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("string").alias("variable"), F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("meaning"))
+    return profile.reference_cards(words, "nations", "ALPHA", "nation codes")
+
+
+@query("""SELECT 'orders' AS name, (SELECT count(DISTINCT o_orderkey) FROM orders) AS expected_n, (SELECT count(*) FROM orders) AS n, (SELECT count(DISTINCT o_orderkey) = count(*) FROM orders) AS as_expected
+UNION ALL SELECT 'lineitem', (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)), (SELECT count(*) FROM lineitem), (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) = (SELECT count(*) FROM lineitem)""")
+def row_count_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many rows as keys?"""
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    keys = [o.agg(F.count_distinct("o_orderkey").alias("expected_n")).withColumn("name", F.lit("orders")), li.agg(F.count_distinct("l_orderkey", "l_linenumber").alias("expected_n")).withColumn("name", F.lit("lineitem"))]
+    return linkage.row_counts({"orders": o, "lineitem": li}, keys[0].unionByName(keys[1]))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 THEN o_totalprice END AS price, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS ordered, o_orderstatus AS status, o_orderpriority AS attribute FROM orders""")
+def safe_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices that are infinite or no numbers, times, and attribute bytes as JSON would hold them."""
+    k = F.col("o_orderkey")
+    price = F.when(k % 5 == 0, F.lit(float("inf"))).when(k % 7 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice"))
+    rows = table(spark, sf_dir, "orders")
+    kinds = dict(rows.dtypes)
+    return rows.select(
+        "o_orderkey", S.safe_scalar(price, "double").alias("price"), S.safe_scalar("o_orderdate", kinds["o_orderdate"]).alias("ordered"), S.safe_scalar("o_orderstatus", "string").alias("status"),
+        S.attribute_text(F.col("o_orderpriority").cast("binary")).alias("attribute"),
+    )
