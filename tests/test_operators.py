@@ -210,3 +210,17 @@ def test_a_panel_has_each_case_once(spark):
     assert sorted(r["proposal"] for r in panel.column_cases(columns).collect()) == ["clinical_scale", "cognitive_domain"]
     public, oracle = panel.split_oracle(cases, ["correct_label", "correct_action"], ["case_id"])
     assert "correct_label" not in public.columns and oracle.columns == ["case_id", "correct_label", "correct_action"]
+
+
+def test_row_counts_and_scalars(spark):
+    from attestra.functions import scalar as S
+
+    df = spark.range(5)
+    linkage.require_row_counts({"a": df}, {"a": 5})
+    with pytest.raises(ValueError, match="expected 4 rows of a, found 5"):
+        linkage.require_row_counts({"a": df}, {"a": 4})
+    rows = spark.createDataFrame([(bytearray(b"ab\xff"), float("nan"))], "b binary, x double")
+    got = rows.select(S.attribute_text("b").alias("b"), S.safe_scalar("x", "double").alias("x")).first()
+    assert got["b"] == "ab�" and got["x"] is None
+    cards = linkage.overlap_cards([("none", df.limit(0), "id", df.limit(0), "id"), ("some", df, "id", df, "id")]).collect()
+    assert {(r["card"], r["left_n"], r["relationship"]) for r in cards} == {("none", 0, "one_to_one_technical_overlap"), ("some", 5, "one_to_one_technical_overlap")}
