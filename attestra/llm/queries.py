@@ -54,6 +54,16 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.summarize(table(spark, sf_dir, "documents"))
 
 
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op3: the lengths and the digests of the edited texts."""
+    return op3_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op7: how many base spans of each kind a text has."""
+    return op7_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -66,6 +76,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_scoring": op8_lm_scoring,
         "op9_toxicity": op9_toxicity,
         "op10_sentencepiece": op10_sentencepiece,
+        "fingerprint_edits": fingerprint_edits,
+        "pii_base_counts": pii_base_counts,
     }
 
 
@@ -89,5 +101,22 @@ FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN m ON d.doc_id = m.doc_id
 """
 
 
+EDITS_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lead(coalesce(text, '')) OVER w AS after, first_value(coalesce(text, '')) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS first
+  FROM documents WINDOW w AS (ORDER BY doc_id NULLS FIRST, coalesce(text, '')))
+SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(left(t, length(t) - length(t) // 4) || left(coalesce(after, first), length(t) // 4)) AS edited_sha256 FROM d
+"""
+
+BASE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS n_email, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ips,
+  list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS cards, list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS phones FROM d)
+SELECT doc_id, n_email, len(list_filter(ips, lambda x: len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR length(ltrim(p, '0')) = 3 AND ltrim(p, '0') > '255')) = 0)) AS n_ip,
+  len(list_filter(list_filter(cards, lambda x: length(x) BETWEEN 12 AND 19),
+    lambda x: list_sum(list_transform(range(0, length(x)), lambda i: CASE WHEN i % 2 = 0 THEN substr(x, length(x) - i, 1)::INT ELSE 2 * substr(x, length(x) - i, 1)::INT - CASE WHEN substr(x, length(x) - i, 1) > '4' THEN 9 ELSE 0 END END)) % 10 = 0)) AS n_card,
+  len(list_filter(phones, lambda x: length(x) BETWEEN 9 AND 15)) AS n_phone FROM m
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL}
+    return {"op2_decontamination": OP2_SQL, "fingerprint_edits": EDITS_SQL, "pii_base_counts": BASE_SQL}

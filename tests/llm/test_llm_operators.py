@@ -40,6 +40,12 @@ def test_contamination_is_what_its_sql_says(spark, sf):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["fingerprint_edits", "pii_base_counts"])
+def test_exact_columns_are_what_their_sql_says(spark, sf, name):
+    got, want = plain(queries.queries()[name](spark, sf).toPandas()), plain(connect(sf).sql(queries.oracle_sql()[name]).df())
+    assert got == want
+
+
 def test_shuffled_windows_give_the_same_hits(spark, sf, corpus):
     items = spark.read.parquet(f"{sf}/benchmark.parquet")
     few = corpus.filter("doc_id < 120")
@@ -169,6 +175,32 @@ def test_edited_counts_are_those_of_encoding_anew(texts):
             assert tree.text == text and tree.total == len(encoder.whole.encode_ordinary(text))
 
 
+def test_stored_trees_take_further_edits(spark, docs):
+    """Leaves that are stored and read again take edits without encoding the rest; they are the pre-tokens of the new text."""
+    encoder = token_counts.Encoder(token_counts.load())
+    texts = {i: f"some words, {i} numbers and  more of it's text " * 30 for i in range(5)} | {7: ""}
+    kept, kind = token_counts.trees(docs(list(texts.items()))), "array<struct<start:int,stop:int,text:string>>"
+    for batch in ("array(struct(10, 12, 'xy z'), struct(11, 11, '!!! a b c'))", "array(struct(10, 40, ''))", "null"):
+        found = token_counts.edited(kept.selectExpr("doc_id", "text", "chars", "tokens", f"cast({batch} as {kind}) edits"))
+        for r in found.collect():
+            pieces = encoder.split.findall(r["text"])
+            assert r["chars"] == [len(p) for p in pieces] and r["tokens"] == [encoder.size(p) for p in pieces]
+            assert r["edited_tokens"] == sum(r["tokens"]) and r["n_encoded_again"] < 40
+        kept = found.select("doc_id", "text", "chars", "tokens")
+
+
+def test_counts_of_the_query_are_those_of_encoding_anew(spark, corpus):
+    encoder = token_counts.Encoder(token_counts.load())
+    rows = {r["doc_id"]: r for r in token_counts.with_edits(corpus).collect()}
+    for r in token_counts.recount(token_counts.with_edits(corpus)).collect():
+        text = rows[r["doc_id"]]["text"]
+        assert (r["n_chars"], r["n_tokens"]) == (len(text), len(encoder.whole.encode_ordinary(text)))
+        for e in rows[r["doc_id"]]["edits"]:
+            start = min(e["start"], len(text))
+            text = text[:start] + e["text"] + text[max(start, min(e["stop"], len(text))) :]
+        assert (r["edited_chars"], r["edited_tokens"]) == (len(text), len(encoder.whole.encode_ordinary(text)))
+
+
 def test_base_spans_are_those_of_the_patterns():
     email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
     card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -431,3 +463,21 @@ def test_without_its_wrapper_a_page_keeps_the_template(spark):
     many = extracted(spark, [("http://w.com/", page.format(i)) for i in range(6)])
     one = extracted(spark, [("http://w.com/", page.format(2))])
     assert many[2] == "cell 2\n\ntext 2 of the page" and one[0] == "About this site and its makers\n\n" + many[2]
+
+
+def test_pipeline_on_edge_rows(spark, docs, labels, tmp_path):
+    """Nulls, empty and very long texts, ties and repeated rows, clashing columns; and empty tables."""
+    import corpus_pipeline as p
+    from test_edges import EDGES
+
+    folder = str(tmp_path)
+    items = spark.createDataFrame([(1, "b c d"), (2, None)], "item_id bigint, text string")
+    for name, df in {"documents": docs([*EDGES, (8, "mail me@x.org")]), "labels": labels([(None, 1, 1)]), "benchmark": items}.items():
+        df.write.parquet(f"{folder}/{name}.parquet")
+    got = {r["doc_id"]: r["n_pieces"] for r in p.run(spark, folder).collect()}
+    # of the empty texts 0 and 1 that of the least id stays, 3 holds a benchmark item
+    assert set(got) == {0, 2, 4, None, 5, 6, 8} and got[0] == 0
+    empty = str(tmp_path / "empty")
+    for name, df in {"documents": docs([]), "labels": labels([]), "benchmark": items.limit(0)}.items():
+        df.write.parquet(f"{empty}/{name}.parquet")
+    assert p.run(spark, empty).count() == 0
