@@ -1,4 +1,9 @@
-"""A cleaned and tokenised corpus from raw documents, stage by stage."""
+"""A cleaned and tokenised corpus from raw documents, stage by stage.
+
+Every stage takes any columns beside doc_id and text, whatever their names, and all but the last return them as
+they were. A null text counts as empty and stays null; rows with a null id are rows like others; an empty table
+gives an empty table with the same columns.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +14,30 @@ from attestra.llm.common import materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity reaches the cut go."""
+    """Documents whose toxicity reaches the cut go. Empty texts have the score of no evidence; without labels all stay."""
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word Jaccard similarity of 0.8 or more, that of the least id stays."""
+    """Of documents linked by five-word Jaccard similarity of 0.8 or more, that of the least id stays.
+
+    Empty and null texts are copies of each other; of rows that share id and text one stays.
+    """
     return jaccard.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go. Without items all stay."""
     return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data are replaced in the texts; n_chars follows."""
+    """Spans of personal data are replaced in the texts; n_chars follows. Null texts stay null."""
     return pii.redacted(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_pieces, ids) of each document."""
+    """(doc_id, n_pieces, ids) of each document; empty and null texts have no ids."""
     return sentencepiece.encode(docs)
 
 
