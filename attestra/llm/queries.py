@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, extraction, fingerprints, jaccard, language_model, pii, quality, sentencepiece, token_counts, toxicity
+from . import conversation, decontamination, divergence, extraction, fingerprints, jaccard, language_model, pii, quality, sentencepiece, simhash, token_counts, toxicity
 from .common import table
 
 
@@ -54,6 +54,19 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.summarize(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = table(spark, sf_dir, "conversations")
+    return conversation.audit(conversation.damaged(whole), whole)
+
+
 def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op3: the lengths and the digests of the edited texts."""
     return op3_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
@@ -76,6 +89,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_scoring": op8_lm_scoring,
         "op9_toxicity": op9_toxicity,
         "op10_sentencepiece": op10_sentencepiece,
+        "op11_divergence": op11_divergence,
+        "op12_simhash": op12_simhash,
+        "op13_conversation_repair": op13_conversation_repair,
         "fingerprint_edits": fingerprint_edits,
         "pii_base_counts": pii_base_counts,
     }
@@ -118,5 +134,75 @@ SELECT doc_id, n_email, len(list_filter(ips, lambda x: len(list_filter(string_sp
 """
 
 
+DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(n)::HUGEINT AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN k ON t.lang = k.lang AND t.term = k.term GROUP BY t.lang, t.source, t.term),
+f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total, k.n AS all_n
+  FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT f.lang, f.source, f.term, f.n, (1 + (1000000000::HUGEINT * (f.n + 1)) // (f.total + v.v))::BIGINT AS p, (1 + (1000000000::HUGEINT * (f.all_n + 1)) // (v.n + v.v))::BIGINT AS q
+  FROM f JOIN v ON f.lang = v.lang),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+e AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM e) WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def _taken(states: str, edit: str, cost: str, line: str = "''") -> str:
+    """Audits of some states, with one more edit."""
+    return f"list_transform({states}, lambda x: {{'c': x.c + {cost}, 't': x.t || '{edit}', 'r': x.r || {line}}})"
+
+
+def _step(states: str, initial: str, role: str) -> str:
+    """A row that takes states where rows of this role may follow: kept or with the role given to it; no audits if it must go."""
+    rerole = _taken(states, "R", "2 + w.cut", f"(chr(10) || '{role}:' || w.text)") if role != "system" else "[]"
+    return f"CASE WHEN w.gone THEN [] WHEN w.initial = '{initial}' THEN list_concat({_taken(states, 'K', 'w.cut', '(chr(10) || w.role || chr(58) || w.text)')}, {rerole}) ELSE {rerole} END"
+
+
+def _repair_sql() -> str:
+    user, both = "chr(10) || 'user:'", "chr(10) || 'user:' || chr(10) || 'assistant:'"
+    into = {
+        "eu": f"list_concat({_taken('[p.e, p.s, p.a]', 'I', '2', user)}, [p.u])",
+        "ea": f"list_concat({_taken('[p.u]', 'I', '2', "chr(10) || 'assistant:'")}, {_taken('[p.e, p.s]', 'II', '4', both)}, [p.a])",
+    }
+    far = "{'c': 1000000000, 't': '', 'r': ''}"
+    return rf"""
+WITH RECURSIVE bytes AS (SELECT list(list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS crc FROM range(256) b(i)),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT)),
+      lambda x, y: xor(x >> 8, crc[(xor(x, y) & 255) + 1])), 4294967295) % 20 AS kind FROM conversations, bytes),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM k WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, substr(role, 1, 1) AS initial, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS shown FROM d),
+b AS (SELECT *, shown = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again, right(shown, 1) IN ('.', '!', '?') AS ends,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial AS pair FROM o),
+r AS (SELECT conv_id, turn, pos, role, text, initial, blank, again AND NOT blank AS dup, NOT blank AND NOT again AND NOT ends AS short, blank OR again AS gone,
+    CASE WHEN blank OR again OR ends THEN 0 ELSE 1 END AS cut, coalesce(pair NOT IN ('su', 'ua', 'au'), false) AS odd FROM b),
+p AS (SELECT DISTINCT conv_id, 0::BIGINT AS pos, {{'c': 0, 't': '', 'r': ''}} AS e, {far} AS s, {far} AS u, {far} AS a FROM conversations
+  UNION ALL SELECT p.conv_id, w.pos,
+    list_min({_taken('[p.e]', 'D', '3')}),
+    list_min(list_concat({_taken('[p.s]', 'D', '3')}, {_step('[p.e]', 's', 'system')})),
+    list_min(list_concat({_taken(into['eu'], 'D', '3')}, {_step('[p.e, p.s, p.a]', 'u', 'user')}, {_step(_taken('[p.u]', 'I', '2', "chr(10) || 'assistant:'"), 'u', 'user')}, {_step(_taken('[p.e, p.s]', 'II', '4', both), 'u', 'user')})),
+    list_min(list_concat({_taken(into['ea'], 'D', '3')}, {_step(into['eu'], 'a', 'assistant')}))
+  FROM p JOIN r w ON w.conv_id IS NOT DISTINCT FROM p.conv_id AND w.pos = p.pos + 1),
+z AS (SELECT conv_id, list_min([p.e, p.a, {{'c': p.u.c + 2, 't': p.u.t || 'I', 'r': p.u.r || chr(10) || 'assistant:'}}, {{'c': p.s.c + 4, 't': p.s.t || 'II', 'r': p.s.r || {both}}}]) AS best
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) AS back FROM p) p WHERE back = 1),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS dup, count(*) FILTER (short) AS short, count(*) FILTER (odd) AS odd FROM r GROUP BY conv_id)
+SELECT z.conv_id, coalesce(n.gaps, 0)::BIGINT AS gaps, coalesce(n.blank, 0)::BIGINT AS blank, coalesce(n.dup, 0)::BIGINT AS duplicate, coalesce(n.short, 0)::BIGINT AS truncated, coalesce(n.odd, 0)::BIGINT AS illegal,
+  z.best.c::BIGINT AS cost, z.best.t AS audit, sha256(substr(z.best.r, 2)) AS repaired_sha256 FROM z LEFT JOIN n ON z.conv_id IS NOT DISTINCT FROM n.conv_id
+"""
+
+
+REPAIR_SQL = _repair_sql()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "fingerprint_edits": EDITS_SQL, "pii_base_counts": BASE_SQL}
+    return {
+        "op2_decontamination": OP2_SQL, "fingerprint_edits": EDITS_SQL, "pii_base_counts": BASE_SQL, "op11_divergence": DIVERGENCE_SQL, "op13_conversation_repair": REPAIR_SQL,
+    }
