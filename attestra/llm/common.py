@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, table
 
-__all__ = ["components", "fold_of", "lists", "materialize", "slices", "table", "text_of", "words_of"]
+__all__ = ["components", "fold_of", "lists", "materialize", "slices", "table", "text_of", "unused", "words_of"]
 
 #: ASCII that separates words; digits, letters and everything beyond ASCII make words up.
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -31,6 +31,14 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like this one that df does not have; names differ by more than case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold_of(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import materialize, text_of, unused
 
 WINDOW = 10
 #: Windows or pairs up to this many are broadcast (about 200 bytes each); more are shuffled.
@@ -151,6 +151,7 @@ def digest(found: DataFrame) -> DataFrame:
 def keep_clean(documents: DataFrame, items: DataFrame) -> DataFrame:
     """Documents without a window of the benchmark, with their own columns."""
     hit = materialize(hits(documents, items.select("item_id", "text")).select("doc_id", "h").distinct(), "decontamination-hits")
-    rows = documents.withColumn("__h", F.xxhash64(text_of()))
-    kept = rows.join(hit, rows["doc_id"].eqNullSafe(hit["doc_id"]) & (rows["__h"] == hit["h"]), "left_anti")
-    return kept.drop("__h")
+    h = unused(documents, "h")
+    rows = documents.withColumn(h, F.xxhash64(text_of()))
+    kept = rows.join(hit, rows["doc_id"].eqNullSafe(hit["doc_id"]) & (rows[h] == hit["h"]), "left_anti")
+    return kept.drop(h)

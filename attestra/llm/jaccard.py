@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, slices, text_of, words_of
+from .common import components, materialize, slices, text_of, unused, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 48, 12, 0.9995
@@ -232,6 +232,7 @@ def keep_one(documents: DataFrame) -> DataFrame:
     found = join(documents)
     alone = F.when(F.col("class_id").isNull(), F.col("h"))
     first = found.groupBy("class_id", alone.alias("alone")).agg(F.min(F.struct("doc_id", "h")).alias("f")).select("f.doc_id", "f.h")
-    rows = documents.withColumn("__h", F.md5(text_of()))
-    kept = rows.join(first, rows["doc_id"].eqNullSafe(first["doc_id"]) & (rows["__h"] == first["h"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__h"]).drop("__h")
+    h = unused(documents, "h")
+    rows = documents.withColumn(h, F.md5(text_of()))
+    kept = rows.join(first, rows["doc_id"].eqNullSafe(first["doc_id"]) & (rows[h] == first["h"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", h]).drop(h)

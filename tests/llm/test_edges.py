@@ -64,3 +64,33 @@ def test_fitted_models_meet_edge_rows(spark, docs, labels, module):
     assert all(0 <= r["score"] <= 1 for r in got) and module.score(docs([]), lab).count() == 0
     empty = {r["score"] for r in got if r["doc_id"] in (0, 1)}
     assert len(empty) == 1
+
+
+def test_stages_return_columns_of_any_name(spark, docs, labels):
+    """Also those that an operator might use inside."""
+    names = ["__h", "h", "H_", "node", "n_links", "text_id", "score_", "spans", "root", "items"]
+    d = docs(EDGES).selectExpr("*", *[f"cast(doc_id AS string) AS {n}" for n in names if n != "h"])
+    items = spark.createDataFrame([(1, "b c d")], "item_id bigint, text string")
+    stages = [lambda x: toxicity.keep_clean(x, labels([])), jaccard.keep_one, lambda x: decontamination.keep_clean(x, items), pii.redacted]
+    for stage in stages:
+        done = stage(d)
+        assert done.columns == d.columns
+        assert all(r["__h"] == (None if r["doc_id"] is None else str(r["doc_id"])) == r["H_"] for r in done.collect())
+
+
+PAGES = {
+    "comments in articles of their own": (
+        "<article><h1>Title</h1><p>story</p></article><section class='responses'><article class='comment'><p>nice post</p></article>"
+        "<article class='hentry reply' id='c2'><p>me too</p></article></section>", "Title\n\nstory"),
+    "comments inside the article": ("<article><p>story</p><section><article class='comment'><p>nice</p></article></section></article>", "story"),
+    "an opinion piece named comment is all there is": ("<article class='comment'><p>I think so.</p></article>", "I think so."),
+    "an article below seventy elements": ("<p>before</p>" + "<div>" * 70 + "<article><p>deep story</p></article>" + "</div>" * 70 + "<p>after</p>", "deep story"),
+    "a form around the page": ("<form><div>menu</div><article><p>story</p><form><p>your mail</p></form></article><p>below</p></form>", "story"),
+    "a form beside the text": ("<form><p>search here</p></form><p>story</p>", "story"),
+}
+
+
+def test_articles_comments_and_forms(spark):
+    rows = [(i, f"http://h{i}/", html) for i, (html, _) in enumerate(PAGES.values())]
+    got = {r["page_id"]: r["text"] for r in extraction.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert {name: got[i] for i, name in enumerate(PAGES)} == {name: want for name, (_, want) in PAGES.items()}
