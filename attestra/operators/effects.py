@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import ranks
+from .crossval import cross_validated
 from .panel import chosen_rows, rotate
-from .positions import positions
 
-FOLDS, MOST_FEATURES, STRENGTH, TOP = 5, 200, 0.1, 50
-BUCKETS = 1024
+TOP = 50
 #: Sites of an adjusted model at most: each is a column of its design.
 SITES = 64
 
@@ -50,37 +50,37 @@ def smd(cohort: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def auc(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, auc) of rows y (1 or 0) and x, ties counted half.
 
-    Equal scores are counted together, and what lies below a score is summed in two levels: buckets of the
-    range, then scores within a bucket. No window holds more than a bucket's distinct scores.
+    Equal scores are counted together; what lies below a score is a running count over ranges of scores of about equal
+    size, so that no window holds more than one range, however the scores are spread.
     """
     by = list(by)
-    tied = scores.groupBy(*by, "x").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
-    span = tied.groupBy(*by).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    tied = tied.join(F.broadcast(span), by) if by else tied.crossJoin(F.broadcast(span))  # a row for each scenario
-    place = F.coalesce(F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
-    tied = tied.withColumn("b", F.floor(place * BUCKETS))
-    boxes = tied.groupBy(*by, "b").agg(F.sum("q").alias("bq"))
-    boxes = boxes.select(*by, "b", (F.sum("bq").over(Window.partitionBy(*by, F.lit(0)).orderBy("b")) - F.col("bq")).alias("before"))
-    inside = F.sum("q").over(Window.partitionBy(*by, "b").orderBy("x")) - F.col("q")
-    ranked = tied.withColumn("inside", inside).join(boxes, [*by, "b"])
-    wins = F.sum(F.col("p") * (F.col("before") + F.col("inside") + F.col("q") / 2))
-    return ranked.groupBy(*by).agg((wins / (F.sum("p") * F.sum("q"))).alias("auc"))
+    tied = ranks.placed(scores.groupBy(*by, "x").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q")), ["x"], by)
+    ranked = ranks.before(tied, ["x"], F.col("q"), by)
+    wins = F.sum(F.col("p") * (F.col("before") + F.col("q") / 2))
+    return ranked.groupBy(*by).agg(F.try_divide(wins, F.sum("p") * F.sum("q")).alias("auc"))
 
 
 def compare(clean: DataFrame, altered: DataFrame, by: Sequence[str] = (), top: int = TOP) -> DataFrame:
     """(by, correlation, rmse, sign_flip_rate, top_k_jaccard) of two effect vectors (feature, effect)."""
-    by = list(by)
+    keys = list(by) or ["__all"]
     both = altered.withColumnRenamed("effect", "b").join(clean.select("feature", F.col("effect").alias("a")), "feature")
-    rank = lambda c: F.row_number().over(Window.partitionBy(*by, F.lit(0)).orderBy(F.abs(c).desc(), "feature")) <= top
-    both = both.select(*by, "a", "b", rank("a").alias("ta"), rank("b").alias("tb"))
+    both = both.select(*[F.lit(0).alias("__all")] * (not by), *by, "feature", "a", "b")
     either = (F.abs("a") > 1e-12) | (F.abs("b") > 1e-12)
-    return both.groupBy(*by).agg(
+    found = both.groupBy(*keys).agg(
         F.corr("a", "b").alias("correlation"),
         F.sqrt(F.avg((F.col("a") - F.col("b")) * (F.col("a") - F.col("b")))).alias("rmse"),
         F.avg(F.when(either, (F.signum("a") != F.signum("b")).cast("int"))).alias("sign_flip_rate"),
-        F.try_divide(F.count_if(F.col("ta") & F.col("tb")), F.count_if(F.col("ta") | F.col("tb"))).alias("top_k_jaccard"),
     )
 
+    def largest(c: str) -> DataFrame:
+        # tasks keep only so many rows of a scenario before they meet
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.abs(c).desc(), "feature"))
+        return both.select(*keys, "feature", rank.alias("rank")).filter(F.col("rank") <= top).drop("rank")
+
+    marked = largest("a").unionByName(largest("b")).groupBy(*keys, "feature").agg(F.count("*").alias("n"))
+    shared = marked.groupBy(*keys).agg((F.count_if(F.col("n") == 2) / F.count("*")).alias("top_k_jaccard"))
+    return found.join(shared, keys).drop("__all")
+
 
 def adjusted_coefficient(cohort: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, feature, coefficient) of the diagnosis in a linear model with age, sex and site, for each group of by.
@@ -117,36 +117,6 @@ def adjusted_coefficient(cohort: DataFrame, by: Sequence[str] = ()) -> DataFrame
     return cross.groupBy(*names).applyInPandas(solve, schema).select(*by, "feature", "coefficient")
 
 
-def folds(cohort: DataFrame, seed: int, n: int = FOLDS) -> DataFrame:
-    """Adds fold: rows of each class by hash rank, dealt in turn."""
-    rows = cohort.withColumns({"y": (F.col("diagnosis") == 1).cast("int"), "__h": F.xxhash64("pos", F.lit(seed))})
-    return positions(rows, "__h", "fold_rank", ["y"], 1 << 48).withColumn("fold", (F.col("fold_rank") % n).cast("int")).drop("__h", "fold_rank")
-
-
-def cross_validated(cohort: DataFrame, seed: int) -> DataFrame:
-    """Out-of-fold probabilities (y, x): scaling, the features of highest F, balanced logistic regression."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler, UnivariateFeatureSelector
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    rows = folds(cohort, seed).withColumn("v", array_to_vector(F.transform("features", lambda x: x.cast("double"))))
-    rows = rows.select("y", "fold", "v").persist()
-    out = None
-    for k in range(FOLDS):
-        train, test = rows.filter(F.col("fold") != k), rows.filter(F.col("fold") == k)
-        n = {r["y"]: r["count"] for r in train.groupBy("y").count().collect()}
-        total = sum(n.values())
-        weight = F.when(F.col("y") == 1, total / (2.0 * n[1])).otherwise(total / (2.0 * n[0]))
-        select = UnivariateFeatureSelector(featuresCol="s", labelCol="y", outputCol="f", selectionMode="numTopFeatures")
-        select = select.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(MOST_FEATURES)
-        model = LogisticRegression(featuresCol="f", labelCol="y", weightCol="w", regParam=1 / (STRENGTH * total), standardization=False, maxIter=200)
-        fitted = Pipeline(stages=[StandardScaler(inputCol="v", outputCol="s", withMean=True), select, model]).fit(train.withColumn("w", weight))
-        part = fitted.transform(test).select("y", F.get(vector_to_array("probability"), F.lit(1)).alias("x"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def label_inversion(cohort: DataFrame, by: Sequence[str], seed: str = "seed", rate: str = "rate") -> DataFrame:
     """Chosen rows get the other diagnosis."""
     rows = chosen_rows(cohort, "pos", by, seed, rate)
@@ -197,16 +167,12 @@ def sensitivity(cohort: DataFrame, grid: Sequence[tuple[float, int]], aucs: bool
     found = sizes.join(effect, keys).join(other, keys)
     if not aucs:
         return found
-    clean = None
-    for s in seeds:
-        own = auc(cross_validated(cohort, s)).select(F.lit(s).alias("seed"), F.col("auc").alias("clean_auc"))
-        clean = own if clean is None else clean.unionByName(own)
-    altered = None
-    cells = [(f, r, s) for f in ("diagnosis_inversion", "row_order") for r, s in grid] + [("global_diagnosis_inversion_control", 1.0, s) for s in seeds]
-    for f, r, s in cells:
-        part = every.filter((F.col("family") == f) & (F.col("rate") == r) & (F.col("seed") == s))
-        own = auc(cross_validated(part, s)).select(F.lit(f).alias("family"), F.lit(r).alias("rate"), F.lit(s).alias("seed"), F.col("auc").alias("altered_auc"))
-        altered = own if altered is None else altered.unionByName(own)
+    # the clean cohort is a family of its own; all models of all cells are fitted together, a recoded sex is in none
+    untouched = control("clean")
+    wanted = every.filter(F.col("family") != "global_sex_recode_control").unionByName(untouched).select(*keys, "pos", "features", "diagnosis")
+    scored = auc(cross_validated(wanted, F.col("seed"), keys), keys)
+    clean = scored.filter("family = 'clean'").select("seed", F.col("auc").alias("clean_auc"))
+    altered = scored.filter("family != 'clean'").withColumnRenamed("auc", "altered_auc")
     found = found.join(F.broadcast(clean), "seed").join(F.broadcast(altered), keys, "left")
     # a recoded sex is no feature of the classifier
     found = found.withColumn("altered_auc", F.coalesce("altered_auc", F.when(F.col("family") == "global_sex_recode_control", F.col("clean_auc"))))
@@ -239,7 +205,7 @@ def evaluate_bundle(labelled: DataFrame, reference: DataFrame, seed: int = 101,
     sizes = {r["diagnosis"]: r["count"] for r in rows.groupBy("diagnosis").count().collect()}
     if len(sizes) < 2 or sum(sizes.values()) < least:
         return found.withColumn("auc", F.lit(None).cast("double"))
-    return found.crossJoin(F.broadcast(auc(cross_validated(rows, seed)).select("auc")))
+    return found.crossJoin(F.broadcast(auc(cross_validated(rows, F.lit(seed)))))
 
 
 def evaluate_labels(labelled: DataFrame, reference: DataFrame) -> DataFrame:

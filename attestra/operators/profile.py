@@ -10,8 +10,12 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import scalar as S
+from . import ranks
 
 NUMERIC_SHARE, MOST_CATEGORIES, LONGEST_CATEGORY, MASKS = 0.95, 20, 80, 8
+QUARTERS = (1, 2, 3)
+#: Children of a node of the tree that a column's fingerprint is the root of.
+FAN = 256
 
 
 def _present(df: DataFrame, name: str) -> Column:
@@ -56,28 +60,36 @@ def counts(df: DataFrame, columns: list[str]) -> DataFrame:
 def numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """Share of values that are numbers and, if it reaches 0.95, their summary; one row a column, one pass over the table.
 
-    Quartiles are exact: equal values are counted before they meet in the one state that a column has.
+    Equal values are counted first. A quartile lies at a rank, or between two: the values in whose run of equals these
+    ranks fall are picked by running counts over ranges of values, so that no state holds a column's values.
     """
     def value(c: str) -> Column:
         numbers = F.col(c).cast("double") if isinstance(df.schema[c].dataType, T.NumericType) else S.as_number(c)
         return F.when(_present(df, c), F.struct(numbers.alias("x")))
 
     each = _unpivoted(df, columns, value).filter("v IS NOT NULL").select("column_name", F.col("v.x").alias("x"))
-    each = each.groupBy("column_name", "x").agg(F.count("*").alias("times"))
-    n, x = F.sum("times"), F.col("x")
+    each = ranks.placed(each.groupBy("column_name", "x").agg(F.count("*").alias("times")), ["x"], ["column_name"])
+    x, times = F.col("x"), F.col("times")
     one = each.groupBy("column_name").agg(
-        n.alias("present_n"), F.coalesce(F.sum(F.when(x.isNotNull(), F.col("times"))), F.lit(0)).alias("numbers"), F.min("x").alias("min"), F.max("x").alias("max"),
-        F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("times")).alias("q"),
-        F.try_divide(F.sum(x * F.col("times")), F.sum(F.when(x.isNotNull(), F.col("times")))).alias("mean"),
+        F.sum("times").alias("present_n"), F.coalesce(F.sum(F.when(x.isNotNull(), times)), F.lit(0)).alias("numbers"), F.min("x").alias("min"), F.max("x").alias("max"),
+        F.try_divide(F.sum(x * times), F.sum(F.when(x.isNotNull(), times))).alias("mean"),
     )
+    whole = F.broadcast(one.select("column_name", "mean", "numbers"))  # a row for each column
     # deviations from the mean itself, so that large numbers keep their digits
-    spread = each.join(F.broadcast(one.select("column_name", "mean", "numbers")), "column_name").groupBy("column_name")
-    spread = spread.agg(F.sqrt(F.try_divide(F.sum((x - F.col("mean")) * (x - F.col("mean")) * F.col("times")), F.nullif(F.max("numbers") - 1, F.lit(0)))).alias("std"))
+    spread = each.join(whole, "column_name").groupBy("column_name")
+    spread = spread.agg(F.sqrt(F.try_divide(F.sum((x - F.col("mean")) * (x - F.col("mean")) * times), F.nullif(F.max("numbers") - 1, F.lit(0)))).alias("std"))
+    ranked = ranks.before(each.filter("x IS NOT NULL"), ["x"], times, ["column_name"]).join(whole, "column_name")
+    last = F.col("numbers") - 1
+    holds = lambda rank: F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + times), x))
+    at = {k: holds(F.floor(last * k / 4)) for k in QUARTERS} | {-k: holds(F.ceil(last * k / 4)) for k in QUARTERS}
+    picked = ranked.groupBy("column_name").agg(*[v.alias(f"q{k}") for k, v in at.items()])
     named = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
-    found = named.join(F.broadcast(one.join(spread, "column_name", "left")), "column_name", "left").fillna(0, ["present_n", "numbers"])
+    found = one.join(spread, "column_name", "left").join(picked, "column_name", "left")
+    found = named.join(F.broadcast(found), "column_name", "left").fillna(0, ["present_n", "numbers"])
     found = found.withColumn("numeric_fraction", F.coalesce(F.try_divide("numbers", "present_n"), F.lit(0.0)))
     enough = F.col("numeric_fraction") >= NUMERIC_SHARE
-    shown = {"min": F.col("min"), "q25": F.get("q", F.lit(0)), "median": F.get("q", F.lit(1)), "q75": F.get("q", F.lit(2)), "max": F.col("max"), "mean": F.col("mean"), "std": F.coalesce("std", F.lit(0.0))}
+    between = {k: F.col(f"q{k}") + (F.col(f"q-{k}") - F.col(f"q{k}")) * (last * k / 4 - F.floor(last * k / 4)) for k in QUARTERS}
+    shown = {"min": F.col("min"), "q25": between[1], "median": between[2], "q75": between[3], "max": F.col("max"), "mean": F.col("mean"), "std": F.coalesce("std", F.lit(0.0))}
     return found.select("column_name", "present_n", "numeric_fraction", *[F.when(enough, c).alias(k) for k, c in shown.items()])
 
 
@@ -106,23 +118,35 @@ def unique_fraction(df: DataFrame, name: str) -> DataFrame:
     )
 
 
-def fingerprint(df: DataFrame, name: str, order: str, block: int = 4096) -> DataFrame:
-    """Digest of a column's values in order: blocks of rows are hashed where they are, then their hashes.
+def fingerprints(df: DataFrame, columns: list[str], order: str, fan: int = FAN) -> DataFrame:
+    """(column_name, fingerprint) of all columns in one pass: the root of a tree of digests over a column's values in order.
 
-    Small columns are one block, whose digest is that of the name and all values on lines of their own.
+    A leaf is the digest of a value and how often it stands at a place of the order, values of one place by their text; a
+    node is the digest of up to `fan` children, level by level until one is left. This is the definition for every
+    size. What meets in one place are the digests of `fan` children.
     """
-    value = F.when(_present(df, name), _text(df, name)).otherwise("<NA>")
-    rows = df.select(F.col(order).cast("bigint").alias("at"), value.alias("v")).withColumn("block", F.floor(F.col("at") / block))
-    lines = rows.groupBy("block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda s: s["v"]), "\n").alias("text"))
-    hashed = lines.select("block", "text", F.sha2("text", 256).alias("h"))
-    # one hash of 4,096 rows each: what meets here is a few bytes a block
-    whole = hashed.agg(
-        F.count("*").alias("blocks"),
-        F.max("text").alias("only"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda s: s["h"]), "\n").alias("hashes"),
-    )
-    body = F.when(F.col("blocks") <= 1, F.coalesce("only", F.lit(""))).otherwise(F.col("hashes"))
-    return whole.select(F.lit(name).alias("column_name"), F.substring(F.sha2(F.concat(F.lit(name + "\n"), body), 256), 1, 24).alias("fingerprint"))
+    def value(c: str) -> Column:
+        return F.when(_present(df, c), _text(df, c)).otherwise("<NA>")
+
+    each = [F.struct(F.lit(c).alias("column_name"), value(c).alias("v")) for c in columns]
+    rows = df.select(F.col(order).alias("at"), F.explode(F.array(*each)).alias("x")).select("x.column_name", "at", "x.v")
+    runs = ranks.placed(rows.groupBy("column_name", "at", "v").agg(F.count("*").alias("times")), ["at", "v"], ["column_name"])
+    leaves = ranks.before(runs, ["at", "v"], by=["column_name"], name="p")
+    nodes = leaves.select("column_name", "p", F.sha2(F.concat("v", F.lit("\t"), F.col("times").cast("string")), 256).alias("h"))
+    n = runs.groupBy("column_name").count().agg(F.max("count")).first()[0] or 0
+    while n > 1:
+        children = F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda s: s["h"])
+        above = nodes.groupBy("column_name", F.floor(F.col("p") / fan).alias("q")).agg(children.alias("c"), F.max("p").alias("most"))
+        # a column that has come to its root keeps it
+        nodes = above.select("column_name", F.col("q").alias("p"), F.when((F.col("q") == 0) & (F.col("most") == 0), F.get("c", F.lit(0))).otherwise(F.sha2(F.array_join("c", ""), 256)).alias("h"))
+        n = -(-n // fan)
+    named = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    root = F.coalesce("h", F.sha2(F.lit("").cast("binary"), 256))  # of no rows
+    return named.join(F.broadcast(nodes), "column_name", "left").select("column_name", F.substring(F.sha2(F.concat("column_name", F.lit("\n"), root), 256), 1, 24).alias("fingerprint"))
+
+
+def fingerprint(df: DataFrame, name: str, order: str, fan: int = FAN) -> DataFrame:
+    return fingerprints(df, [name], order, fan)
 
 
 def existing_columns(df: DataFrame, wanted: list[str]) -> tuple[list[str], list[str]]:
@@ -130,9 +154,11 @@ def existing_columns(df: DataFrame, wanted: list[str]) -> tuple[list[str], list[
     return [c for c in wanted if c in df.columns], [c for c in wanted if c not in df.columns]
 
 
-def signature(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row a column with its counts and, unless identifier-like, its numeric summary."""
+def signature(df: DataFrame, columns: list[str], order: str | None = None) -> DataFrame:
+    """One row a column with its counts and, unless identifier-like, its numeric summary; with an order, its fingerprint."""
     base = counts(df, columns)
+    if order is not None:
+        base = base.join(fingerprints(df, columns, order), "column_name")
     plain = [r["c"] for r in df.sparkSession.createDataFrame([(c,) for c in columns], "c string").filter(~S.is_identifier_name("c")).collect()]
     if not plain:
         return base

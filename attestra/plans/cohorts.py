@@ -78,7 +78,7 @@ def adjusted_coefficient(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cv_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(effects.auc(effects.cross_validated(cohort(spark, sf_dir), 101)))
+    return _r(effects.auc(effects.cross_validated(cohort(spark, sf_dir), F.lit(101))))
 
 
 @query()
@@ -87,6 +87,13 @@ def sensitivity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(effects.summarize(found, ["family", "rate"], ["changed_n", *effects.METRICS, "adjusted_correlation", "adjusted_rmse"]))
 
 
+@query()
+def downstream_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What metadata corruption costs a classifier: all models of the whole grid are fitted together."""
+    found = effects.sensitivity(cohort(spark, sf_dir), _GRID, aucs=True)
+    return _r(effects.downstream_report(effects.summarize(found, ["family", "rate"], ["altered_auc", "auc_delta"])))
+
+
 @query()
 def bundle_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels 1 and 2 as a bundle's diagnoses against the reference, with the AUC of the labelled rows."""

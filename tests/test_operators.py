@@ -141,7 +141,7 @@ def test_effects(spark, sf):
 
 def test_cross_validated_auc_is_a_probability(spark):
     rows = spark.range(80).select(F.col("id").alias("pos"), F.when(F.col("id") % 2 == 0, 1).otherwise(2).alias("diagnosis"), F.array((F.col("id") % 2 + F.col("id") % 5).cast("double"), (F.col("id") % 7).cast("double")).alias("features"))
-    assert 0.5 < effects.auc(effects.cross_validated(rows, 1)).first()["auc"] <= 1.0
+    assert 0.5 < effects.auc(effects.cross_validated(rows, F.lit(1))).first()["auc"] <= 1.0
 
 
 def test_bundle_conserves_subjects(spark, sf):
