@@ -6,7 +6,7 @@ import sys
 
 from .plans import catalogue
 from .session import session
-from .sources import files
+from .sources import cards, files
 
 
 def main(args: list[str]) -> int:
@@ -18,9 +18,11 @@ def main(args: list[str]) -> int:
         case ["run", name, folder, out]:
             catalogue.QUERIES[name](session(), folder).write.parquet(out)
         case ["cards", manifest, out]:
-            files.write_jsonl(files.cards(session(), files.read_manifest(manifest)["artifacts"]), out)
+            entries = [(e["artifact_id"], e["path"], e.get("selected_columns")) for e in files.read_manifest(manifest)["artifacts"]]
+            asked = session().createDataFrame(entries, "artifact_id string, path string, selected_columns array<string>")
+            files.write_jsonl(cards.file_cards(asked), out)
         case ["hashes", folder, out]:
-            files.write_jsonl(files.file_hashes(session(), folder), out)
+            files.write_jsonl(cards.file_hashes(session(), folder), out)
         case _:
             print(__doc__)
             return 2

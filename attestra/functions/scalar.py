@@ -182,19 +182,6 @@ def infer_column_concept(name: Column | str) -> Column:
     return first_match(rules, "unknown_or_study_specific")
 
 
-def linkage_relationship(left_n: Column, right_n: Column, overlap: Column, left_dup: Column, right_dup: Column) -> Column:
-    """Kind of overlap of two key sets, by counts of distinct keys, of common ones and of repeats."""
-    complete = overlap == left_n
-    return first_match(
-        [
-            (complete & (right_dup > 0), "left_complete_with_right_duplicates"),
-            (complete & (left_n < right_n), "left_complete_subset"),
-            (complete & (left_n == right_n) & (left_dup == 0), "one_to_one_technical_overlap"),
-        ],
-        "partial_overlap",
-    )
-
-
 def redacted_locator(c: Column | str, root: str, scheme: str = "source:") -> Column:
     """A path below the root under a scheme name; other paths as they are."""
     return F.when(col(c).startswith(root), F.concat(F.lit(scheme), F.substring(col(c), len(root) + 1, 1 << 30))).otherwise(col(c))

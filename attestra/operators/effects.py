@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import materialize
 from . import ranks
 from .crossval import cross_validated
 from .panel import chosen_rows, rotate
@@ -159,6 +160,7 @@ def sensitivity(cohort: DataFrame, grid: Sequence[tuple[float, int]], aucs: bool
     every = every.unionByName(control("global_diagnosis_inversion_control", diagnosis=inverted("diagnosis")))
     every = every.unionByName(control("global_sex_recode_control", sex=inverted("sex")))
     keys = ["family", *by]
+    every = materialize(every, "sensitivity-scenarios")
     sizes = every.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("changed").alias("changed_n"))
     effect = compare(smd(cohort), smd(every, keys), keys)
     adjusted = lambda df, k: adjusted_coefficient(df, k).withColumnRenamed("coefficient", "effect")

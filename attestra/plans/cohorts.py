@@ -38,8 +38,10 @@ def smd_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_X} SELECT feature, round(effect, 6) AS effect FROM ({_smd(1, '-')})")
 def label_inversion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All labels inverted: every effect changes its sign."""
-    return _r(effects.smd(cohort(spark, sf_dir).withColumn("diagnosis", effects.inverted("diagnosis"))))
+    """Label inversion of all rows: every effect changes its sign."""
+    rows = cohort(spark, sf_dir).withColumns({"rate": F.lit(1.0), "seed": F.lit(7)})
+    turned = effects.label_inversion(rows, ["rate", "seed"]).drop("diagnosis").withColumnRenamed("new_diagnosis", "diagnosis")
+    return _r(effects.smd(turned))
 
 
 @query(f"""WITH {_X}, r AS (SELECT feature, x, label = 1 AS y, (rank() OVER (PARTITION BY feature ORDER BY x) + rank() OVER (PARTITION BY feature ORDER BY x) + count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS rk FROM x)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import agent, linkage, profile
 from ..session import scratch, table
-from ..sources import files
+from ..sources import cards, files
 from ..streaming import stream
 from . import audit
 from .registry import query
@@ -28,15 +28,45 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_table(spark, path, schema="p_partkey bigint, p_name string, p_brand string, p_size int")
 
 
-@query("SELECT c_custkey, 'match' AS status FROM customer")
+_FILES = {"customer": "csv", "part": "json", "supplier": "parquet"}
+_ASKED = {"customer": ["c_name", "c_site"], "part": ["p_partkey"], "supplier": ["zz", "age"]}
+
+
+@query(""" UNION ALL """.join(
+    f"SELECT '{t}' AS artifact, (SELECT count(*) FROM {t}) AS rows, (SELECT list_sort(list(column_name)) FROM (DESCRIBE {t})) AS column_names, true AS parsed, {missing} AS missing"
+    for t, missing in (("customer", ["c_site"]), ("part", "[]::VARCHAR[]"), ("supplier", ["age", "zz"]))
+))
+def file_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three tables as files of three kinds; the cards of all files are made in one job and summed by table."""
+    folder = scratch(spark, "artifacts")
+    for name, kind in _FILES.items():
+        rows, path = table(spark, sf_dir, name), f"{folder}/{name}.{kind}"
+        if kind == "csv":
+            files.write_csv(rows, path)
+        elif kind == "jsonl":
+            rows.write.json(path)
+        else:
+            rows.write.parquet(path)
+    found = cards.listed(spark, folder, "part-*").select("path", F.regexp_extract("path", r"/(\w+)\.[a-z]+/part-", 1).alias("name"))
+    asked = F.create_map(*[x for n, c in _ASKED.items() for x in (F.lit(n), F.array(*map(F.lit, c)))])
+    manifest = found.select("path", "name", F.concat_ws(":", "name", F.sha2("path", 256)).alias("artifact_id"), F.get(F.array(asked), F.lit(0))[F.col("name")].alias("selected_columns"))
+    told = cards.file_cards(manifest)
+    first = F.get("structure", F.lit(0))
+    return told.groupBy(F.col("name").alias("artifact")).agg(
+        F.sum(first["rows"]).alias("rows"), F.max(F.array_sort(first["column_names"])).alias("column_names"), F.every(F.col("parser_status") == "parsed").alias("parsed"), F.max("missing_requested_columns").alias("missing")
+    )
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'missing' WHEN c_custkey % 7 = 0 THEN 'mismatch' ELSE 'match' END AS status FROM customer")
 def source_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every customer's row as a stored artifact, its hash kept beside it and computed again from the table."""
+    """Every customer's row as a stored artifact with its hash beside it; since then some rows have changed and some are gone."""
     rows = table(spark, sf_dir, "customer")
-    digest = F.sha2(F.concat_ws("|", *rows.columns), 256)
-    stored = rows.select(F.col("c_custkey").cast("string").alias("artifact_id"), F.col("c_custkey").cast("string").alias("path"), digest.alias("sha256"))
+    digest, key = F.sha2(F.concat_ws("|", *rows.columns), 256), F.col("c_custkey")
+    stored = rows.select(key.cast("string").alias("artifact_id"), key.cast("string").alias("path"), digest.alias("sha256"))
     path = scratch(spark, "cards")
     stored.write.parquet(path)
-    now = rows.select(F.col("c_custkey").cast("string").alias("path"), digest.alias("sha256"))
+    later = rows.withColumn("c_acctbal", F.when(key % 7 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))).filter(key % 11 != 0)
+    now = later.select(key.cast("string").alias("path"), digest.alias("sha256"))
     return profile.integrity(spark.read.parquet(path), now).select(F.col("artifact_id").cast("bigint").alias("c_custkey"), "status")
 
 

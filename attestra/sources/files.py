@@ -73,12 +73,6 @@ def read_manifest(path: str, roots: dict[str, str] | None = None) -> list[dict]:
     return yaml.safe_load(content)
 
 
-def file_hashes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(path, length, sha256) of whole files."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
-
-
 def structure(df: DataFrame, artifact: str, sheet: str | None = None) -> DataFrame:
     """(artifact_id, sheet_name, rows, columns, column_names) of one table."""
     return df.agg(F.count("*").alias("rows")).select(
@@ -86,19 +80,6 @@ def structure(df: DataFrame, artifact: str, sheet: str | None = None) -> DataFra
     )
 
 
-def cards(spark: SparkSession, entries: Sequence[dict]) -> DataFrame:
-    """A card for each entry (artifact_id, path): its structure, or the error that reading it gave."""
-    schema = "artifact_id string, path string, parser_status string, error string, n_rows bigint, column_names array<string>"
-    rows = []
-    for e in entries:
-        try:
-            got = structure(read_table(spark, e["path"]), e["artifact_id"]).first()
-            rows.append((e["artifact_id"], e["path"], "parsed", None, got["rows"], got["column_names"]))
-        except Exception as error:  # a file that can't be read is data about the file
-            rows.append((e["artifact_id"], e["path"], "failed", f"{type(error).__name__}: {error}"[:200], None, None))
-    return spark.createDataFrame(rows, schema)
-
-
 def sorted_json(df: DataFrame) -> DataFrame:
     """One JSON text a row, keys sorted at every depth, nulls kept."""
     return df.select(F.to_json(F.parse_json(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})), {"ignoreNullFields": "false"}).alias("value"))

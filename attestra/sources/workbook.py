@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zipfile
 from collections.abc import Iterator
+from typing import BinaryIO
 from xml.etree import ElementTree
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -14,7 +15,11 @@ _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
-def sheets(path: str) -> list[tuple[str, str]]:
+#: What a file that is no workbook raises.
+BadBook = (zipfile.BadZipFile, ElementTree.ParseError)
+
+
+def sheets(path: str | BinaryIO) -> list[tuple[str, str]]:
     """(name, part of the archive) of each sheet in order."""
     with zipfile.ZipFile(path) as book:
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
@@ -29,7 +34,7 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def rows(path: str, sheet: str | None = None) -> Iterator[list[str | None]]:
+def rows(path: str | BinaryIO, sheet: str | None = None) -> Iterator[list[str | None]]:
     """Rows of a sheet (the first by default) as texts; empty cells are null."""
     parts = dict(sheets(path))
     part = parts[sheet] if sheet else next(iter(parts.values()))

@@ -1,9 +1,10 @@
+import hashlib
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from attestra.sources import files, workbook
+from attestra.sources import cards, files, workbook
 from attestra.streaming import stream
 
 
@@ -34,9 +35,70 @@ def test_text_tables_hashes_and_cards(spark, tmp_path):
     assert files.read_table(spark, str(tmp_path / "a.csv")).columns == files.read_table(spark, str(tmp_path / "b.tsv")).columns == ["id", "v"]
     with pytest.raises(ValueError, match="unsupported"):
         files.read_table(spark, str(tmp_path / "c.bin"))
-    got = files.cards(spark, [{"artifact_id": n, "path": str(tmp_path / n)} for n in ("a.csv", "c.bin")])
-    assert {r["artifact_id"]: r["parser_status"] for r in got.collect()} == {"a.csv": "parsed", "c.bin": "failed"}
-    assert files.file_hashes(spark, str(tmp_path), "*.bin").first()["sha256"] == "2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881"
+    assert cards.file_hashes(spark, str(tmp_path), "*.bin").first()["sha256"] == "2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881"
+
+
+def test_cards_of_all_kinds_of_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,v\n1,"two\nlines"\n\n3,4\n')
+    (tmp_path / "b.tsv").write_text("id\tv\n1\t2\n")
+    (tmp_path / "d.jsonl").write_text('{"k": 1}\n\n{"k": 2}\n')
+    (tmp_path / "e.jsonl").write_text("{broken\n")
+    (tmp_path / "f.xlsx").write_bytes(b"no zip")
+    (tmp_path / "g.csv").write_text("")
+    (tmp_path / "h.csv").write_bytes(b"a\xff\n1\n")
+    (tmp_path / "c.bin").write_bytes(b"x")
+    book(str(tmp_path / "w.xlsx"))
+    spark.range(7).coalesce(1).write.parquet(str(tmp_path / "p"))
+    part = next(str(f) for f in (tmp_path / "p").iterdir() if f.suffix == ".parquet")
+    names = ["a.csv", "b.tsv", "c.bin", "d.jsonl", "e.jsonl", "f.xlsx", "g.csv", "h.csv", "w.xlsx", "gone.csv"]
+    rows = [(n, f"file://{tmp_path}/{n}" if n == "a.csv" else str(tmp_path / n), ["id", "age", "zz"]) for n in names] + [("p", part, None)]
+    got = {r["artifact_id"]: r for r in cards.file_cards(spark.createDataFrame(rows, "artifact_id string, path string, selected_columns array<string>")).collect()}
+    shape = lambda n: [(t["sheet_name"], t["rows"], t["columns"], t["column_names"]) for t in got[n]["structure"]]
+    assert shape("a.csv") == [(None, 2, 2, ["id", "v"])] and shape("b.tsv") == [(None, 1, 2, ["id", "v"])] and shape("d.jsonl") == [(None, 2, 1, ["k"])]
+    assert shape("w.xlsx") == [("One", 2, 2, ["id", "age"]), ("Two", 0, 2, ["id", "age"])] and shape("p") == [(None, 7, 1, ["id"])] and shape("g.csv") == [(None, 0, 0, [])]
+    failed = {n: r["error_type"] for n, r in got.items() if r["parser_status"] == "failed"}
+    assert failed == {"c.bin": "ValueError", "e.jsonl": "JSONDecodeError", "f.xlsx": "BadZipFile", "h.csv": "UnicodeDecodeError", "gone.csv": "FileNotFoundError"}
+    assert got["w.xlsx"]["missing_requested_columns"] == ["zz"] and got["a.csv"]["missing_requested_columns"] == ["age", "zz"] and got["p"]["missing_requested_columns"] == []
+    for n in ("a.csv", "f.xlsx", "c.bin"):
+        data = (tmp_path / n).read_bytes()
+        assert (got[n]["source_sha256"], got[n]["source_size"], got[n]["card_id"]) == (hashlib.sha256(data).hexdigest(), len(data), f"file:{n}")
+    assert got["gone.csv"]["source_sha256"] is None
+
+
+def test_a_manifest_of_a_thousand_files_is_one_job(spark, tmp_path):
+    for i in range(1000):
+        (tmp_path / f"t{i}.csv").write_text("a,b\n" + "1,2\n" * (i % 7))
+    manifest = spark.createDataFrame([(f"t{i}", str(tmp_path / f"t{i}.csv")) for i in range(1000)], "artifact_id string, path string")
+    spark.sparkContext.setJobGroup("manifest", "cards")
+    try:
+        found = cards.structures(manifest).collect()
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("manifest")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r["artifact_id"]: r["rows"] for r in found} == {f"t{i}": i % 7 for i in range(1000)}
+    # adaptive execution runs the exchange and what follows as two jobs
+    assert len(jobs) <= 2
+
+
+def test_a_file_beyond_two_gigabytes_is_hashed_in_chunks(spark, tmp_path):
+    size = 3 * 1024**3
+    with open(tmp_path / "sparse.bin", "wb") as f:
+        f.truncate(size)
+    want = hashlib.sha256()
+    zeros = bytes(1 << 24)
+    for _ in range(size >> 24):
+        want.update(zeros)
+    got = cards.file_hashes(spark, str(tmp_path)).first()
+    assert (got["length"], got["sha256"]) == (size, want.hexdigest())
+
+
+def test_shards_and_summaries(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"shard_{k:03d}.jsonl").write_text("".join(f'{{"case_id": "c{i}"}}\n' for i in range(k, 9, 3)))
+    (tmp_path / "other.jsonl").write_text('{"case_id": "no"}\n')
+    got = files.read_shards(spark, str(tmp_path), "case_id string").collect()
+    assert {(r["case_id"], r["shard"]) for r in got} == {(f"c{i}", f"shard_{i % 3:03d}") for i in range(9)}
+    assert files.summary_json(spark.createDataFrame([(2, "x")], "b int, a string")) == '{\n  "a": "x",\n  "b": 2\n}'
 
 
 def test_jsonl_keeps_nulls_and_sorts_keys(spark, tmp_path):
