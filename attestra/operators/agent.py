@@ -89,7 +89,7 @@ def parsed(raw: Column) -> dict[str, Column]:
     }
 
 
-def _allowed(cases: DataFrame) -> DataFrame:
+def allowed(cases: DataFrame) -> DataFrame:
     """A commit to a label outside the vocabulary becomes an abstention."""
     outside = F.col("task").isin("T-FILE", "T-COL") & F.col("action").isin(*V.COMMITS) & ~F.coalesce(F.array_contains(gate.allowed_labels(), F.col("label")), F.lit(False))
     none = F.lit(None).cast("string")
@@ -102,7 +102,7 @@ def _turn(cases: DataFrame, budget: int) -> DataFrame:
     """One raw output applied to every open case."""
     cases = cases.withColumns({f"p_{k}": c for k, c in parsed(F.col("raw")).items()})
     names = {"raw_action": F.col("p_raw_action"), "raw_label": F.col("p_raw_label"), "raw_repair": F.col("p_raw_repair")}
-    cases = _allowed(gate.normalized(cases.withColumns(names), "observed"))
+    cases = allowed(gate.normalized(cases.withColumns(names), "observed"))
     cases = cases.withColumn("violation", gate.violation(F.col("action"), F.col("label"), F.col("observed")))
     open_, valid, tool = ~F.col("done"), F.col("p_obj").isNotNull(), F.coalesce(F.col("p_is_tool"), F.lit(False))
     spent, again = F.size("called") >= budget, F.array_contains("called", F.col("p_tool"))

@@ -10,7 +10,7 @@ from ..operators import cec, gate, panel, score, statistics
 from ..session import table
 from .registry import query
 
-_PANEL = """d AS (SELECT d.*, l.doc_id IS NOT NULL AS labelled, l.quality, l.toxic, ['T-FILE', 'T-COL', 'T-VAL', 'T-ID', 'T-GOV'][(d.doc_id % 5 + 1)::INT] AS task FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+PANEL = """d AS (SELECT d.*, l.doc_id IS NOT NULL AS labelled, l.quality, l.toxic, ['T-FILE', 'T-COL', 'T-VAL', 'T-ID', 'T-GOV'][(d.doc_id % 5 + 1)::INT] AS task FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
 t AS (SELECT *, CASE task WHEN 'T-FILE' THEN CASE WHEN quality = 0 THEN 'mixed' ELSE 'demographics' END WHEN 'T-COL' THEN CASE WHEN quality = 0 THEN 'panss_item' ELSE 'diagnosis' END WHEN 'T-VAL' THEN 'value_encoding' WHEN 'T-ID' THEN 'identifier_linkage' ELSE 'release_policy' END AS true_label,
  CASE task WHEN 'T-FILE' THEN CASE WHEN quality = 0 THEN 'demographics' ELSE 'mixed' END WHEN 'T-COL' THEN CASE WHEN quality = 0 THEN 'diagnosis' ELSE 'panss_item' END ELSE 'unknown' END AS other_label, doc_id % 4 = 1 AND labelled AS gold_corruption FROM d),
 g AS (SELECT *, substr(sha256('doc|' || doc_id::VARCHAR), 1, 24) AS case_id, lang AS study, source AS lineage_group, CASE WHEN gold_corruption THEN 'corrupted_' ELSE 'clean_' END || task AS error_family, CASE WHEN labelled THEN 'curated' ELSE 'procedural_missing_evidence' END AS oracle_status,
@@ -90,8 +90,8 @@ def _metrics_sql(arm: str, visible: bool) -> str:
 {arm} AS (SELECT *, NOT evidence_required OR decisive_evidence_acquired AS evidence_supported, action_correct AND label_correct AND exact_repair AND (NOT evidence_required OR decisive_evidence_acquired) AS case_success, committed AND NOT (action_correct AND label_correct AND exact_repair AND (NOT evidence_required OR decisive_evidence_acquired)) AS unsafe_commit FROM {arm}e)"""
 
 
-_H, _V = f"WITH {_PANEL}, {_metrics_sql('h', False)} ", f"WITH {_PANEL}, {_metrics_sql('v', True)} "
-_HV = f"WITH {_PANEL}, {_metrics_sql('h', False)}, {_metrics_sql('v', True)} "
+_H, _V = f"WITH {PANEL}, {_metrics_sql('h', False)} ", f"WITH {PANEL}, {_metrics_sql('v', True)} "
+_HV = f"WITH {PANEL}, {_metrics_sql('h', False)}, {_metrics_sql('v', True)} "
 
 
 def _r(df: DataFrame) -> DataFrame:
@@ -101,12 +101,12 @@ def _r(df: DataFrame) -> DataFrame:
 _CASE_COLUMNS = ["case_id", "study", "task", "error_family", "lineage_group", "oracle_status", "gold_corruption", "proposal", "gold_action", "gold_label", "gold_repair"]
 
 
-@query(f"WITH {_PANEL} SELECT {', '.join(_CASE_COLUMNS)}, len(required)::INT AS required_sets FROM p")
+@query(f"WITH {PANEL} SELECT {', '.join(_CASE_COLUMNS)}, len(required)::INT AS required_sets FROM p")
 def panel_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel_cases_of(spark, sf_dir).select(*_CASE_COLUMNS, F.size("required").alias("required_sets"))
 
 
-@query(f"WITH {_PANEL} SELECT 'task' AS dimension, task AS value, count(*) AS n FROM p GROUP BY task UNION ALL SELECT 'study', study, count(*) FROM p GROUP BY study UNION ALL SELECT 'error_family', error_family, count(*) FROM p GROUP BY error_family")
+@query(f"WITH {PANEL} SELECT 'task' AS dimension, task AS value, count(*) AS n FROM p GROUP BY task UNION ALL SELECT 'study', study, count(*) FROM p GROUP BY study UNION ALL SELECT 'error_family', error_family, count(*) FROM p GROUP BY error_family")
 def panel_task_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.counts(panel_cases_of(spark, sf_dir), ["task", "study", "error_family"])
 
@@ -265,7 +265,7 @@ def typed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LIST = lambda w: "[" + ", ".join(f"'{x}'" for x in w) + "]"
-_RULES = f"""c AS (SELECT p.*, (doc_id // 5) AS k FROM p),
+RULES = f"""c AS (SELECT p.*, (doc_id // 5) AS k FROM p),
 f AS (SELECT *, CASE WHEN k % 3 = 0 THEN 'clinical_scale' WHEN k % 3 = 1 THEN 'demographics' ELSE 'dictionary_or_codebook' END AS role, {_LIST(_CONCEPTS)}[(k % 8 + 1)::INT] AS concept, [NULL, 'identifier_linkage', 'source_independence'][(k % 3 + 1)::INT] AS scope,
  CASE WHEN n_chars % 2 = 0 THEN '{{"1":"SZ","2":"HC"}}' ELSE '{{"1":"HC","2":"SZ"}}' END AS mapping, CASE WHEN n_chars % 3 = 0 THEN 'left_complete_subset' ELSE 'partial_overlap' END AS relation, CASE WHEN n_chars % 4 <> 0 THEN 'nonindependent_same_lineage' ELSE 'independent_distinct_lineage' END AS status FROM c),
 r AS (SELECT *, CASE task WHEN 'T-FILE' THEN role WHEN 'T-COL' THEN concept WHEN 'T-VAL' THEN 'value_encoding' WHEN 'T-ID' THEN coalesce(scope, 'imaging_row_alignment') ELSE 'release_policy' END AS rule_label,
@@ -277,13 +277,13 @@ r AS (SELECT *, CASE task WHEN 'T-FILE' THEN role WHEN 'T-COL' THEN concept WHEN
  CASE WHEN task <> 'T-COL' THEN 1 WHEN concept IN ('diagnosis', 'current_age', 'medication_dose') OR (concept = 'unknown_or_study_specific' AND k % 2 = 0) THEN 1 ELSE 0 END AS calls FROM f)"""
 
 
-@query(f"WITH {_PANEL}, {_RULES} SELECT case_id, rule_action AS action, rule_label AS label, CASE WHEN rule_action = 'recover' THEN fix END AS repair, calls::BIGINT AS calls FROM r")
+@query(f"WITH {PANEL}, {RULES} SELECT case_id, rule_action AS action, rule_label AS label, CASE WHEN rule_action = 'recover' THEN fix END AS repair, calls::BIGINT AS calls FROM r")
 def deterministic_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = gate.rule_system(typed_cases(spark, sf_dir))
     return found.select("case_id", "action", "label", "repair", F.size("called").cast("bigint").alias("calls"))
 
 
-def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw decisions to be gated: an action by length, a fixed label, and tools by id."""
     n, d = F.col("n_chars"), F.col("doc_id")
     words = lambda *w: F.array(*map(F.lit, w)).cast("array<string>")
@@ -297,7 +297,7 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {_PANEL}, {_RULES},
+@query(f"""WITH {PANEL}, {RULES},
 n AS (SELECT *, doc_id % 2 = 1 AS tooled, CASE n_chars % 5 WHEN 0 THEN 'recover' WHEN 1 THEN 'accept_provisionally' WHEN 3 THEN 'escalate' ELSE 'abstain' END AS a, CASE WHEN task IN ('T-FILE', 'T-COL') THEN CASE WHEN n_chars % 2 = 0 THEN 'diagnosis' ELSE 'mixed' END ELSE rule_label END AS l FROM r),
 w AS (SELECT *, CASE WHEN task = 'T-GOV' THEN CASE WHEN a <> 'escalate' THEN 'governance must be escalated' WHEN NOT tooled THEN 'escalation without escalate_to_human' END WHEN a NOT IN ('recover', 'accept_provisionally') THEN NULL
  WHEN task = 'T-FILE' AND NOT tooled THEN 'file role without reparse_artifact' WHEN task = 'T-COL' AND l = 'diagnosis' AND NOT tooled THEN 'sensitive concept without profile_values' WHEN task = 'T-VAL' AND NOT tooled THEN 'value encoding without a verifier'
@@ -305,10 +305,10 @@ w AS (SELECT *, CASE WHEN task = 'T-GOV' THEN CASE WHEN a <> 'escalate' THEN 'go
 SELECT case_id, violation, violation IS NULL AS authorized, CASE WHEN violation IS NULL THEN a WHEN task = 'T-GOV' THEN 'escalate' ELSE 'abstain' END AS action, CASE WHEN violation IS NULL OR task NOT IN ('T-FILE', 'T-COL') THEN l END AS label,
  CASE WHEN violation IS NULL AND a = 'recover' THEN CASE task WHEN 'T-FILE' THEN CASE WHEN k % 6 = 0 AND tooled THEN '{{"parser_status":"parsed","primary_role":"' || l || '"}}' ELSE '{{"primary_role":"' || l || '"}}' END WHEN 'T-COL' THEN '{{"concept":"' || l || '"}}' WHEN 'T-ID' THEN CASE WHEN scope = 'source_independence' THEN '{{"x":1}}' ELSE fix END ELSE '{{"x":1}}' END END AS repair FROM w""")
 def gate_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gate.gated(_raw(spark, sf_dir)).select("case_id", "violation", "authorized", "action", "label", "repair")
+    return gate.gated(raw_decisions(spark, sf_dir)).select("case_id", "violation", "authorized", "action", "label", "repair")
 
 
-@query(f"""WITH {_PANEL}, {_RULES},
+@query(f"""WITH {PANEL}, {RULES},
 m AS (SELECT *, CASE WHEN task = 'T-ID' AND scope IS NULL THEN 'T-ID:imaging_order' WHEN task = 'T-ID' AND scope = 'identifier_linkage' THEN 'T-ID:linkage' WHEN task = 'T-ID' THEN 'T-ID:lineage' WHEN task = 'T-VAL' AND k % 3 <> 0 THEN 'T-VAL:encoding' WHEN task = 'T-FILE' AND k % 6 = 0 THEN 'T-FILE:parser' END AS family,
  CASE WHEN relation = 'partial_overlap' THEN 'left_complete_subset' ELSE 'partial_overlap' END AS relation2 FROM r),
 q AS (SELECT *, CASE family WHEN 'T-ID:imaging_order' THEN (n_chars % 2 = 0) = false WHEN 'T-ID:linkage' THEN relation2 = 'partial_overlap' AND k % 2 = 0 WHEN 'T-ID:lineage' THEN n_chars % 4 = 0 WHEN 'T-VAL:encoding' THEN n_chars % 2 = 1 ELSE false END AS ok2 FROM m WHERE family IS NOT NULL),
@@ -333,7 +333,7 @@ def order_corruption_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query(f"""WITH {_PANEL}, {_RULES}, w AS (SELECT *, CASE task WHEN 'T-FILE' THEN 'reparse_artifact' WHEN 'T-VAL' THEN CASE WHEN k % 3 <> 0 THEN 'get_dictionary_entry' ELSE 'profile_values' END
+@query(f"""WITH {PANEL}, {RULES}, w AS (SELECT *, CASE task WHEN 'T-FILE' THEN 'reparse_artifact' WHEN 'T-VAL' THEN CASE WHEN k % 3 <> 0 THEN 'get_dictionary_entry' ELSE 'profile_values' END
  WHEN 'T-ID' THEN CASE WHEN scope = 'identifier_linkage' THEN 'check_id_overlap' WHEN scope = 'source_independence' THEN 'check_lineage' ELSE 'check_imaging_order' END WHEN 'T-GOV' THEN 'escalate_to_human' ELSE 'profile_values' END AS tool FROM r)
 SELECT case_id, '{{"action":"' || rule_action || '","evidence_tools":[' || CASE WHEN calls = 1 THEN '"' || tool || '"' ELSE '' END || '],"label":"' || rule_label || '","unresolved":[]}}' AS decision FROM w""")
 def decision_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:

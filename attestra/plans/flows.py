@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import agent, linkage, profile
-from ..session import scratch, table
+from ..session import materialize, scratch, table
 from ..sources import cards, files
-from ..streaming import stream
+from ..streaming import loop, stream
 from . import audit
 from .registry import query
 
@@ -96,15 +96,46 @@ def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).filter("event_type <> '__close__'").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query()
-def agent_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The decision loop over scripted outputs that documents' lengths choose: prose, tools, candidates."""
+#: The turns of _scripted, one after another: an offer or prose, a tool twice, an offer, and nothing any more.
+_TURNS = f"""WITH {audit.PANEL}, {audit.RULES},
+told AS (SELECT *, CASE WHEN task = 'T-FILE' THEN 'abstain' WHEN n_chars % 2 = 0 THEN 'recover' ELSE 'accept_provisionally' END AS offered, task = 'T-FILE' AS free,
+ (task = 'T-COL' AND k % 2 = 0) OR (task = 'T-VAL' AND k % 3 <> 0) AS there FROM r),
+ends AS (SELECT *, n_chars % 5 <> 0 AND free AS at_once, n_chars % 5 = 0 AND free OR there AS later FROM told),
+all_turns AS (SELECT *, at_once OR later AS taken, CASE WHEN at_once THEN [] ELSE list_concat([CASE WHEN n_chars % 5 = 0 THEN 'invalid_json' ELSE 'rejected' END, CASE WHEN there THEN 'ok' ELSE 'unavailable' END, 'duplicate_tool'],
+ CASE WHEN later THEN [] ELSE ['rejected', 'invalid_json', 'invalid_json'] END) END AS events FROM ends)
+SELECT case_id, task, CASE WHEN taken THEN offered WHEN task = 'T-GOV' THEN 'escalate' ELSE 'abstain' END AS action, CASE WHEN task IN ('T-VAL', 'T-ID', 'T-GOV') THEN rule_label WHEN taken AND task = 'T-COL' THEN 'diagnosis' END AS label,
+ taken AS resolved, (CASE WHEN at_once THEN 1 WHEN later THEN 4 ELSE 6 END)::INTEGER AS turns, array_to_string(events, ',') AS history, (CASE WHEN there AND NOT at_once THEN 1 ELSE 0 END)::INTEGER AS observed_n FROM all_turns"""
+
+
+def _scripted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases with four raw outputs that documents' lengths choose: prose or a candidate, a tool, the tool again, a candidate."""
     cases = audit.typed_cases(spark, sf_dir)
     n = F.col("n_chars")
     tool = lambda t: F.lit(f'{{"type":"tool","tool_name":"{t}"}}')
     offer = F.concat(F.lit('Here it is: ```json\n{"candidate":{"action":"'), F.when(n % 2 == 0, "recover").otherwise("accept_provisionally"), F.lit('","label":"diagnosis","repair":null}}'))
     first = F.when(n % 5 == 0, F.lit("no json here")).otherwise(offer)
     need = F.when(F.col("task") == "T-FILE", tool("reparse_artifact")).when(F.col("task") == "T-VAL", tool("get_dictionary_entry")).when(F.col("task") == "T-GOV", tool("escalate_to_human")).otherwise(tool("profile_values"))
-    script = F.array(first, need, need, offer)
-    done = agent.play(cases.withColumn("script", script), agent.scripted())
+    return cases.withColumn("script", F.array(first, need, need, offer))
+
+
+def _shown(done: DataFrame) -> DataFrame:
     return done.select("case_id", "task", "action", "label", "resolved", "turns", F.array_join("history", ",").alias("history"), F.size("observed").alias("observed_n"))
+
+
+@query(_TURNS)
+def agent_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decision loop over scripted outputs, turn by turn over all cases."""
+    return _shown(agent.play(_scripted(spark, sf_dir), agent.scripted()))
+
+
+@query(_TURNS)
+def agent_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same outputs as a stream, later turns first and some of them twice; the query stops and goes on in between."""
+    cases = materialize(_scripted(spark, sf_dir), "agent-cases")
+    silence = F.array(F.lit(None).cast("string"))
+    outputs = cases.select("*", F.posexplode(F.concat("script", silence, silence)).alias("turn", "raw")).drop("script")
+    inbox, log = scratch(spark, "agent-outputs"), scratch(spark, "agent-log")
+    for part in ("turn >= 2 OR turn = 1 AND n_chars % 2 = 0", "turn <= 1 OR turn = 3"):
+        outputs.filter(part).write.mode("append").parquet(inbox)
+        loop.run_turns(loop.loop_session(spark).readStream.schema(outputs.schema).parquet(inbox), log, f"{log}-checkpoint")
+    return _shown(loop.decided(spark.read.schema(loop.LOG).parquet(log), cases))
