@@ -1,4 +1,4 @@
-"""The bounded decision loop: a predictor proposes, tools answer, the gate decides; and its evidence cards.
+"""The bounded decision loop: a predictor proposes, tools answer, the gate decides.
 
 A turn is a column expression over one row a case, so that the loop is budget + 2 narrow steps and no
 shuffle. Each turn's state is written to the shared folder: a lost executor repeats one turn, and a
@@ -46,28 +46,6 @@ def first_object(raw: Column) -> Column:
     return F.pandas_udf(work, "string")(raw)
 
 
-def _without(value: object, keys: tuple[str, ...]) -> object:
-    if isinstance(value, dict):
-        return {k: _without(v, keys) for k, v in value.items() if k not in keys}
-    return [_without(v, keys) for v in value] if isinstance(value, list) else value
-
-
-def redacted_text(text: str | None) -> str | None:
-    try:
-        return None if text is None else json.dumps(_without(json.loads(text), V.PROVISIONAL_KEYS), sort_keys=True)
-    except json.JSONDecodeError:
-        return None
-
-
-def redacted(document: Column) -> Column:
-    """JSON documents without the provisional keys, at any depth; what isn't JSON becomes null."""
-
-    def work(texts: pd.Series) -> pd.Series:
-        return texts.map(redacted_text)
-
-    return F.pandas_udf(work, "string")(document)
-
-
 def parsed(raw: Column) -> dict[str, Column]:
     """Columns of a raw output: obj, tool, is_tool, action, label, repair, flag, unresolved."""
     whole = first_object(raw)
@@ -171,17 +149,6 @@ def shard(cases: DataFrame, pos: str, shards: int, shard_id: int) -> DataFrame:
     return cases.filter(F.pmod(F.col(pos), F.lit(shards)) == shard_id)
 
 
-def evidence_card(interface: str) -> Column:
-    """What a predictor sees of a case as JSON: the observation without provisional answers, unless visible."""
-    if interface not in V.INTERFACES:
-        raise ValueError(f"unknown interface {interface}")
-    seen = F.to_json(F.struct(F.col("task"), F.col("obs").dropFields("proposed_role", "proposed_concept").alias("observation"), F.array_sort("tools").alias("tools")))
-    if interface == "hidden":
-        return seen
-    proposal = F.coalesce(F.col("obs.proposed_role"), F.col("obs.proposed_concept"))
-    return F.concat(F.regexp_replace(seen, r"\}$", ""), F.lit(',"under_review":'), F.coalesce(F.to_json(F.struct(proposal.alias("proposal"))), F.lit("null")), F.lit("}"))
-
-
 def instructions(interface: str) -> Column:
     """The text that goes with a card: what is asked, in which form, and which labels there are."""
     more = ""

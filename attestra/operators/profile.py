@@ -165,10 +165,6 @@ def signature(df: DataFrame, columns: list[str], order: str | None = None) -> Da
     return base.join(numeric(df, plain).drop("present_n"), "column_name", "left")
 
 
-def compact_structure(names: Column, most: int = 80) -> Column:
-    return F.slice(names, 1, most)
-
-
 def missing_required(required: Column, names: Column) -> Column:
     """Headers that a reference sheet must have and doesn't."""
     return F.array_except(required, names)

@@ -32,45 +32,62 @@ def cluster_se(diffs: DataFrame, cluster: str) -> DataFrame:
     return got.select(F.col("all_n").alias("n"), "clusters", "estimate", F.sqrt(F.try_divide(g, g - 1) * F.col("ss") / (F.col("all_n") * F.col("all_n"))).alias("se"))
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function, by Lentz's method."""
-    tiny, c, d = 1e-300, 1.0, 1.0 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 400):
-        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + top * d
-            c = 1 + top / c
-            d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
-            h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return h
-
-
-def t_upper(t: float, df: float) -> float:
-    """P(T > t) for t >= 0."""
-    x = df / (df + t * t)
-    a, b = df / 2, 0.5
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) if 0 < x < 1 else 0.0
-    if x >= 1:
-        return 0.5
-    part = front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
-    return part / 2
-
-
-def t_quantile(p: float, df: float) -> float:
-    lo, hi = 0.0, 1e4
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if 1 - t_upper(mid, df) < p else (lo, mid)
-    return (lo + hi) / 2
-
-
-def interval(estimate: float, se: float, clusters: int, level: float = 0.95) -> tuple[float, float]:
-    """Interval with Student's t on clusters - 1 degrees; the one row of totals is on the driver."""
-    t = t_quantile(1 - (1 - level) / 2, clusters - 1)
-    return estimate - t * se, estimate + t * se
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x > 0: Stirling's series eight steps further on."""
+    y = x + 8
+    series = (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, 5)) - 1 / (1680 * F.pow(y, 7))
+    for k in range(8):
+        series = series - F.ln(x + k)
+    return series
+
+
+def _beta_fraction(a: Column, b: Column, x: Column, steps: int = 300) -> Column:
+    """Continued fraction of the incomplete beta function, by Lentz's method; steps beyond its end change nothing."""
+    safe = lambda v: F.when(F.abs(v) > 1e-300, v).otherwise(1e-300)
+    d0 = 1 / safe(1 - (a + b) * x / (a + 1))
+    start = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"))
+
+    def turn(acc: Column, top: Column) -> Column:
+        d, c = 1 / safe(1 + top * acc["d"]), safe(1 + top / acc["c"])
+        return F.struct(c.alias("c"), d.alias("d"), (acc["h"] * d * c).alias("h"))
+
+    def step(acc: Column, i: Column) -> Column:
+        m = F.floor(i / 2).cast("double")
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return turn(acc, F.when(i % 2 == 0, even).otherwise(odd))
+
+    return F.aggregate(F.sequence(F.lit(2), F.lit(2 * steps)), start, step, lambda acc: acc["h"])
+
+
+def t_upper(t: Column, df: Column) -> Column:
+    """P(T > t) of Student's t for t >= 0."""
+    df = df.cast("double")
+    a, b, x = df / 2, F.lit(0.5), df / (df + t * t)
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.ln(x) + b * F.log1p(-x))
+    low = front * _beta_fraction(a, b, x) / a
+    high = 1 - front * _beta_fraction(b, a, 1 - x) / b
+    return F.when(x >= 1, 0.5).otherwise(F.when(x < (a + 1) / (a + b + 2), low).otherwise(high) / 2)
+
+
+def t_quantile(p: float, df: Column, most: float = 1e6, halvings: int = 80) -> Column:
+    """The t that a share p >= 1/2 of Student's distribution lies below, by halving an interval; null without a degree of freedom."""
+    start = F.struct(F.lit(0.0).alias("lo"), F.lit(most).alias("hi"))
+
+    def step(acc: Column, _: Column) -> Column:
+        mid = (acc["lo"] + acc["hi"]) / 2
+        below = t_upper(mid, df) > 1 - p
+        return F.struct(F.when(below, mid).otherwise(acc["lo"]).alias("lo"), F.when(below, acc["hi"]).otherwise(mid).alias("hi"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(halvings)), start, step, lambda acc: (acc["lo"] + acc["hi"]) / 2)
+    return F.when(df >= 1, found)
+
+
+def interval(found: DataFrame, level: float = 0.95) -> DataFrame:
+    """Adds df, ci_low and ci_high to rows with estimate, se and clusters: Student's t on clusters - 1 degrees of freedom."""
+    df = F.col("clusters") - 1
+    half = t_quantile(0.5 + level / 2, df) * F.col("se")
+    return found.withColumns({"df": df, "ci_low": F.col("estimate") - half, "ci_high": F.col("estimate") + half})
 
 
 def binomial_two_sided(left: Column, right: Column) -> Column:

@@ -202,10 +202,25 @@ def _contrast(spark: SparkSession, sf_dir: str, metric: str = "action_correct")
 _DIFF = _HV + ", x AS (SELECT h.lineage_group, h.action_correct::INT AS a, v.action_correct::INT AS b, v.action_correct::INT - h.action_correct::INT AS d FROM h JOIN v USING (case_id)) "
 
 
-@query(_DIFF + """, s AS (SELECT lineage_group, count(*) AS n, sum(d) AS t FROM x GROUP BY 1), w AS (SELECT sum(n) AS n, count(*) AS g, sum(t) / sum(n)::DOUBLE AS m FROM s)
-SELECT w.n::BIGINT AS n, g AS clusters, round(m, 6) AS estimate, round(sqrt(g / (g - 1)::DOUBLE * sum((s.t - s.n * m) ^ 2) / w.n::DOUBLE ^ 2), 6) AS se FROM s, w GROUP BY w.n, g, m""")
+_MEASURES = ("action_correct", "label_correct", "case_success")
+#: P(|T| < mid) for df degrees of freedom, a whole number: a finite sum over powers of the cosine of atan(mid / sqrt(df)).
+_WITHIN = """CASE WHEN df % 2 = 1 THEN 2 / pi() * (atan(mid / sqrt(df)) + CASE WHEN df = 1 THEN 0 ELSE sin(atan(mid / sqrt(df))) * list_sum(list_transform(range(0, (df - 1) // 2), lambda j: exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5)) * cos(atan(mid / sqrt(df))) ^ (2 * j + 1))) END)
+ ELSE sin(atan(mid / sqrt(df))) * list_sum(list_transform(range(0, df // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1)) * cos(atan(mid / sqrt(df))) ^ (2 * j))) END"""
+_T = f"list_reduce(list_transform(range(0, 61), lambda i: {{'lo': 0.0::DOUBLE, 'hi': 1000.0::DOUBLE}}), lambda s, i: CASE WHEN {_WITHIN.replace('mid', '((s.lo + s.hi) / 2)')} < 0.95 THEN {{'lo': (s.lo + s.hi) / 2, 'hi': s.hi}} ELSE {{'lo': s.lo, 'hi': (s.lo + s.hi) / 2}} END).lo"
+
+
+@query(_HV + ", x AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, h.lineage_group, v.{m}::INT - h.{m}::INT AS d FROM h JOIN v USING (case_id)" for m in _MEASURES) + f""" ),
+s AS (SELECT metric, lineage_group, count(*) AS n, sum(d) AS t FROM x GROUP BY 1, 2), w AS (SELECT metric, sum(n) AS n, count(*) AS g, sum(t) / sum(n)::DOUBLE AS m FROM s GROUP BY 1),
+e AS (SELECT metric, w.n::BIGINT AS n, g AS clusters, g - 1 AS df, m AS estimate, sqrt(g / (g - 1)::DOUBLE * sum((s.t - s.n * m) ^ 2) / w.n::DOUBLE ^ 2) AS se FROM s JOIN w USING (metric) GROUP BY metric, w.n, g, m),
+q AS (SELECT *, {_T} AS t FROM e)
+SELECT metric, n, clusters, round(estimate, 6) AS estimate, round(se, 6) AS se, df, round(estimate - t * se, 6) AS ci_low, round(estimate + t * se, 6) AS ci_high FROM q""")
 def paired_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(statistics.cluster_se(_contrast(spark, sf_dir), "lineage_group"))
+    """Three metrics of two arms compared case by case, with intervals over clusters."""
+    found = None
+    for m in _MEASURES:
+        one = statistics.cluster_se(_contrast(spark, sf_dir, m), "lineage_group").withColumn("metric", F.lit(m))
+        found = one if found is None else found.unionByName(one)
+    return _r(statistics.interval(found))
 
 
 @query(_DIFF + "SELECT lineage_group, count(*) AS n, sum(d)::DOUBLE AS total FROM x GROUP BY 1")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..operators import panel
+from ..operators import evidence, panel
 from ..session import table
 from .registry import query
 
@@ -152,3 +152,31 @@ def panel_build_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_brand AS artifact_id, p_size::VARCHAR AS sheet, p_type AS study, count(*) AS n, CASE WHEN count(*) > 1 THEN 'duplicate' ELSE 'unique' END AS state FROM part GROUP BY ALL")
 def card_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.card_index(columns_of(spark, sf_dir), ["artifact_id", "sheet", "study"])
+
+
+def _file_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    name = F.concat(F.lit("doc_"), d.cast("string"), F.lit(".csv"))
+    structure = F.array(F.struct(F.lit(None).cast("string").alias("sheet_name"), F.col("n_chars").alias("rows"), F.lit(2).alias("columns"), F.array("lang", "source").alias("column_names")))
+    return table(spark, sf_dir, "documents").select(
+        d.cast("string").alias("artifact_id"), name.alias("artifact_name"), F.concat("lang", F.lit("/Data_info/"), name).alias("path_context"), F.array("source").alias("component_hints"),
+        evidence.compact_structure(structure).alias("structure"), F.col("source").alias("lineage_family"), F.lit("observed").alias("validity_status"),
+    )
+
+
+_BASE = """'"artifact_name":"doc_' || a || '.csv"'"""
+_PATH = """'"path_context":"' || study || '/Data_info/doc_' || a || '.csv"'"""
+_SHAPE = """CASE WHEN bad THEN '"withheld_until_reparse"' ELSE '{"column_names":["' || lang || '","' || source || '"],"columns":2,"rows":' || n_chars || '}' END"""
+_CARD_SQL = f"""WITH {_FILES}, w AS (SELECT files.*, base_artifact AS a, parser_status = 'injected_parser_failure' AS bad, lang, source, n_chars, CASE WHEN parser_status = 'injected_parser_failure' THEN parser_status ELSE 'not_yet_requested' END AS shown FROM files JOIN documents ON doc_id::VARCHAR = base_artifact),
+b AS (SELECT *, '{{' || {_BASE} || ',"parser_status":"' || shown || '",' || {_PATH} || '}}' AS context, '{{' || {_BASE} || ',"parser_status":"' || shown || '",' || {_PATH} || ',"structure":' || {_SHAPE} || '}}' AS shape FROM w),
+v AS (SELECT *, CASE WHEN bad THEN context ELSE '{{' || {_BASE} || '}}' END AS names_only, CASE WHEN bad THEN shape ELSE '{{' || {_BASE} || ',"lineage_family":"' || source || '","parser_status":"' || shown || '",' || {_PATH} || ',"structure":' || {_SHAPE} || ',"validity_status":"observed"}}' END AS whole FROM b),
+s AS (SELECT *, '{{"available_tools":["check_lineage","reparse_artifact"],"initial_observation":' || context AS head, ',"views":{{"names_only":' || names_only || ',"context":' || context || ',"structure":' || shape || ',"full":' || whole || '}}}}' AS tail FROM v)
+SELECT case_id, head || tail AS hidden, head || ',"proposal_under_review":{{"primary_role":"' || proposal || '"}}' || tail AS visible FROM s"""
+
+
+@query(_CARD_SQL)
+def evidence_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four views of every file case as predictors see them, with and without the proposal."""
+    cases = evidence.file_views(panel.file_cases(files_of(spark, sf_dir)), _file_facts(spark, sf_dir))
+    tools = F.array(F.lit("reparse_artifact"), F.lit("check_lineage"))
+    return cases.select("case_id", evidence.card(cases, tools).alias("hidden"), evidence.card(cases, tools, "visible").alias("visible"))

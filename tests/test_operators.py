@@ -107,9 +107,18 @@ def test_mcnemar_and_interval_give_the_published_values(spark):
     pairs = spark.range(230).select((F.col("id") < 20).cast("int").alias("a"), F.col("id").between(20, 136).cast("int").alias("b"))
     got = statistics.mcnemar(pairs).first()
     assert (got["left_only"], got["right_only"]) == (20, 117) and got["p"] == pytest.approx(7.157152153718532e-18, rel=1e-9)
-    assert statistics.t_quantile(0.975, 15) == pytest.approx(2.131449545559323, abs=1e-7)
-    low, high = statistics.interval(0.4217, 0.04304, 16)
-    assert (round(low, 3), round(high, 3)) == (0.33, 0.513)
+    row = statistics.interval(spark.createDataFrame([(0.4217, 0.04304, 16), (0.5, 0.1, 1)], "estimate double, se double, clusters bigint")).collect()
+    assert (row[0]["df"], round(row[0]["ci_low"], 3), round(row[0]["ci_high"], 3)) == (15, 0.33, 0.513) and row[1]["ci_low"] is None
+
+
+def test_quantiles_of_student(spark):
+    """Against a table of t values."""
+    table = {1: (6.3137515, 12.7062047, 63.6567412), 2: (2.9199856, 4.3026527, 9.9248432), 5: (2.0150484, 2.5705818, 4.0321430), 15: (1.7530504, 2.1314495, 2.9467129), 30: (1.6972609, 2.0422725, 2.7499957),
+             120: (1.6576509, 1.9799304, 2.6174211), 1_000_000: (1.6448551, 1.9599668, 2.5758345)}
+    df = spark.createDataFrame([(k,) for k in table], "k int")
+    got = {r["k"]: tuple(r)[1:] for r in df.select("k", *[statistics.t_quantile(p, F.col("k")) for p in (0.95, 0.975, 0.995)]).collect()}
+    for k, want in table.items():
+        assert got[k] == pytest.approx(want, abs=5e-7 * max(want))
 
 
 def test_cluster_error_is_the_closed_form(spark):
@@ -160,10 +169,9 @@ def test_loop_rejects_then_takes_a_tool_then_accepts(spark):
     assert got["action"] == "abstain" and got["history"][0] == "unavailable" and not got["parse_success"]
 
 
-def test_text_parsing_and_redaction():
+def test_text_parsing():
     assert agent.first_object_text('so {bad} then {"a": {"b": 1}} end') == '{"a": {"b": 1}}'
     assert agent.first_object_text("none") is None
-    assert agent.redacted_text('{"x":[{"proposed_concept":1,"y":2}],"component_hints":3}') == '{"x": [{"y": 2}]}'
 
 
 def test_adjusted_coefficients_and_controls_by_brute_force(spark, sf):
