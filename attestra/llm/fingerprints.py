@@ -8,8 +8,8 @@ hexadecimal digit. Of equal digits a sixteenth agrees by chance, which the liken
 
 Null texts are empty; a text of fewer than five words is one shingle of them, a text without words
 has the fingerprint of empty bins, all digits f, which is like its equals only. Rows of equal ids
-follow one another in the order of their texts; null ids come first. Repeated rows are rows like
-others. An empty table gives an empty result. Columns besides doc_id and text are not read.
+follow one another in the order of their texts; null ids come first. Ids that are no whole numbers are
+ordered by their own type. Repeated rows are rows like others; those of one id meet in one bucket. An empty table gives an empty result. Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..operators import ranks
 from .common import WORD_GAP, materialize, text_of
 
 SHINGLE, BINS, BITS, PROBES = 5, 256, 4, 8
@@ -136,10 +138,29 @@ def successors(keys: DataFrame, depth: int = 0) -> DataFrame:
     return inside.join(follow, "g").select("k", F.coalesce("inside", "opening").alias("next"))
 
 
+def placed(documents: DataFrame) -> DataFrame:
+    """doc_id, text and at, a long in the order of the ids, whatever their type.
+
+    Whole numbers stand for themselves, other ids for their rank. Rows without an id come first, at the ranks of their
+    texts, so that many of them do not meet in one bucket.
+    """
+    rows = documents.select("doc_id", text_of().alias("text"))
+    if isinstance(documents.schema["doc_id"].dataType, T.ByteType | T.ShortType | T.IntegerType | T.LongType):
+        numbered = rows.withColumn("at", F.col("doc_id").cast("bigint"))
+    else:
+        ids = documents.select("doc_id").filter("doc_id IS NOT NULL").distinct()
+        numbered = rows.join(ranks.before(ranks.placed(ids, ["doc_id"]), ["doc_id"], name="at"), "doc_id", "left")
+    bare = documents.filter("doc_id IS NULL")
+    if bare.isEmpty():
+        return numbered
+    texts = ranks.before(ranks.placed(bare.select(text_of().alias("text")).distinct(), ["text"]), ["text"], name="rank")
+    without = numbered.filter("doc_id IS NULL").join(texts, "text").select("doc_id", "text", (F.lit(LEAST) + F.col("rank")).alias("at"))
+    return numbered.filter("doc_id IS NOT NULL").unionByName(without)
+
+
 def fingerprints(documents: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited text, signatures of the text, the edited text and the next document's text."""
-    at = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LEAST))
-    rows = documents.select("doc_id", text_of().alias("text"), at.alias("at"), F.shiftright(at, BUCKET_BITS).alias("bucket"))
+    rows = placed(documents).withColumn("bucket", F.shiftright("at", BUCKET_BITS))
     signed = rows.select("*", signature(F.col("text")).alias("sig"))
     order = Window.partitionBy("bucket").orderBy("at", "text")
     near = signed.select(

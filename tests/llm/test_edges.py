@@ -1,7 +1,9 @@
 """Nulls, empty and very long texts, repeated rows, empty tables and clashing columns, for every operator."""
 
-import pytest
+import hashlib
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from attestra.llm import decontamination, extraction, fingerprints, jaccard, language_model, pii, quality, sentencepiece, token_counts, toxicity
@@ -94,3 +96,36 @@ def test_articles_comments_and_forms(spark):
     rows = [(i, f"http://h{i}/", html) for i, (html, _) in enumerate(PAGES.values())]
     got = {r["page_id"]: r["text"] for r in extraction.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert {name: got[i] for i, name in enumerate(PAGES)} == {name: want for name, (_, want) in PAGES.items()}
+
+
+def edited(rows, order):
+    """n_chars and the digest of the edited text of each row, rows in the order of their ids, then of their texts."""
+    rows = sorted(rows, key=lambda r: ((r[0] is not None, order(r[0])) if r[0] is not None else (False, order(None)), r[1]))
+    out = []
+    for k, (i, text) in enumerate(rows):
+        cut = len(text) // 4
+        out.append((i, len(text), hashlib.sha256((text[: len(text) - cut] + rows[(k + 1) % len(rows)][1][:cut]).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(25,2)", "double", "date", "int", "bigint"])
+def test_fingerprints_follow_ids_of_any_type(spark, kind):
+    rng = random.Random(9)
+    numbers = rng.sample(range(-50, 900), 40)
+    rows = [(n, " ".join(rng.choices(["one", "two", "été", "four", "x"], k=rng.randrange(30)))) for n in numbers]
+    df = spark.createDataFrame(rows, "n int, text string")
+    made = {"string": "concat('a-', n)", "decimal(25,2)": "cast(n * 10000000000000000000.25BD AS decimal(25,2))", "double": "n / 7D", "date": "date_add(date'2020-01-01', n)"}
+    df = df.selectExpr(f"{made.get(kind, f'cast(n AS {kind})')} AS doc_id", "text")
+    got = fingerprints.digest(fingerprints.fingerprints(df)).collect()
+    want = edited([(r["doc_id"], r["text"]) for r in df.collect()], lambda v: v)
+    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got), key=str) == want
+
+
+def test_many_rows_without_an_id_are_spread(spark):
+    texts = [f"text number {k} of those without an id" for k in range(3000)]
+    df = spark.createDataFrame([(None, t) for t in texts] + [(5, "five words stand in here"), (6, "x")], "doc_id bigint, text string")
+    buckets = fingerprints.placed(df).groupBy(F.shiftright("at", fingerprints.BUCKET_BITS)).count().agg(F.max("count")).first()[0]
+    assert buckets <= 1 << fingerprints.BUCKET_BITS
+    got = fingerprints.digest(fingerprints.fingerprints(df)).collect()
+    want = edited([(None, t) for t in texts] + [(5, "five words stand in here"), (6, "x")], lambda v: v or 0)
+    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got), key=str) == want
