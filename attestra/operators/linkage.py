@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scalar as S
 
@@ -124,13 +125,13 @@ def inconsistent_metadata(public: DataFrame, oracle: DataFrame, fields: list[str
 
 
 def paired(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Inner join one to one; a key that repeats on either side is an error."""
-    for side in (left, right):
-        if not duplicate_keys(side, key).isEmpty():
-            raise ValueError(f"{key} repeats")
-    names = [c for c in right.columns if c in left.columns and c != key]
-    right = right.select(key, *[F.col(c).alias(f"{c}_right" if c in names else c) for c in right.columns if c != key])
-    return left.join(right, key)
+    """Inner join one to one; a key that repeats on either side is an error, found while the rows are read."""
+
+    def once(df: DataFrame) -> DataFrame:
+        n = F.count("*").over(Window.partitionBy(key))
+        return df.withColumn(key, F.when(n == 1, F.col(key)).otherwise(F.raise_error(F.concat(F.lit(f"{key} repeats: "), F.col(key).cast("string"))).cast(df.schema[key].dataType)))
+
+    return once(left).join(once(right), key)
 
 
 def lineage_pairs(df: DataFrame, family: str, member: str) -> DataFrame:

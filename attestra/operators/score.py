@@ -50,12 +50,38 @@ def scored(rows: DataFrame) -> DataFrame:
     return third.withColumn("unsafe_commit", F.col("committed") & ~F.col("case_success"))
 
 
+#: What a run may tell of a case, and what stands if it doesn't.
+RUN = {
+    "parse_success": ("boolean", True), "model_path": ("string", None), "condition": ("string", None), "run_seed": ("bigint", None), "excluded_tools": ("array<string>", None),
+    "unresolved": ("array<string>", None), "inference_seconds": ("double", 0.0), "input_tokens": ("bigint", 0), "output_tokens": ("bigint", 0),
+}
+#: Columns of a table of cases, in order.
+CASE_COLUMNS = (
+    "case_id", "study", "task", "error_family", "base_artifact", "lineage_group", "oracle_status", "gold_corruption", "gold_action", "pred_action", "gold_label", "pred_label", "pred_label_missing",
+    "action_correct", "label_correct", "exact_repair", "evidence_supported", "case_success", "committed", "unsafe_commit", "decisive_evidence_acquired", "evidence_required", "calls", "observed_evidence_n",
+    "nonminimal_calls", "parse_success", "predicted_intervention", "relevant_tool_precision", *EVENTS, "model_path", "condition", "run_seed", "excluded_tools", "unresolved_n",
+    "inference_seconds", "input_tokens", "output_tokens",
+)
+
+
+def case_table(metrics: DataFrame) -> DataFrame:
+    """All columns of scored cases and of the run, in a fixed order; what a run doesn't tell has its default."""
+    rows = metrics.withColumns({k: F.coalesce(F.col(k), F.lit(v)) if k in metrics.columns else F.lit(v).cast(kind) for k, (kind, v) in RUN.items()})
+    none = F.array().cast("array<string>")
+    rows = rows.withColumns({
+        "pred_action": F.col("action"), "pred_label": F.col("label"), "oracle_status": F.coalesce("oracle_status", F.lit("unspecified")), "unresolved_n": F.size(F.coalesce("unresolved", none)).cast("bigint"),
+        "excluded_tools": F.to_json(F.coalesce("excluded_tools", none)),
+    })
+    return rows.select(*CASE_COLUMNS)
+
+
 def share(c: str | Column, where: Column | None = None) -> Column:
     x = (F.col(c) if isinstance(c, str) else c).cast("int")
     return F.avg(x if where is None else F.when(where, x))
 
 
-def summary_columns() -> list[Column]:
+def summary_columns(runs: bool = False) -> list[Column]:
+    """Metrics of a summary; with runs, also the means of time and tokens."""
     return [
         F.count("*").alias("n"),
         share("case_success").alias("case_success"),
@@ -69,13 +95,14 @@ def summary_columns() -> list[Column]:
         share("decisive_evidence_acquired", F.col("evidence_required")).alias("decisive_evidence_rate_required"),
         F.avg("calls").alias("mean_calls"),
         F.avg("nonminimal_calls").alias("mean_nonminimal_calls"),
+        *[F.avg(c).alias(f"mean_{c}") for c in ("inference_seconds", "input_tokens", "output_tokens") if runs],
     ]
 
 
-def grouped_summaries(metrics: DataFrame, keys: list[str]) -> DataFrame:
+def grouped_summaries(metrics: DataFrame, keys: list[str], runs: bool = False) -> DataFrame:
     """The summary by each key and over all, in one pass: (dimension, value, ...). Null keys make no group."""
     sets = [[F.col(k)] for k in keys] + [[]]
-    found = metrics.groupingSets(sets, *[F.col(k) for k in keys]).agg(F.grouping_id().alias("__g"), *summary_columns())
+    found = metrics.groupingSets(sets, *[F.col(k) for k in keys]).agg(F.grouping_id().alias("__g"), *summary_columns(runs))
     full = (1 << len(keys)) - 1
     by = [(full ^ (1 << (len(keys) - 1 - i)), k) for i, k in enumerate(keys)]
     dimension = S.first_match([(F.col("__g") == g, k) for g, k in by], "all")

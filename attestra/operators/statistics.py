@@ -7,12 +7,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .linkage import paired
+
 
 def contrast(left: DataFrame, right: DataFrame, metric: str, keep: list[str]) -> DataFrame:
-    """right minus left of a metric, case by case."""
+    """right minus left of a metric, case by case; a case that occurs twice in an arm is an error."""
     a = left.select("case_id", *keep, F.col(metric).cast("double").alias("a"))
     b = right.select("case_id", F.col(metric).cast("double").alias("b"))
-    return a.join(b, "case_id").select("case_id", *keep, "a", "b", (F.col("b") - F.col("a")).alias("d"))
+    return paired(a, b, "case_id").select("case_id", *keep, "a", "b", (F.col("b") - F.col("a")).alias("d"))
 
 
 def cluster_scores(diffs: DataFrame, cluster: str) -> DataFrame:

@@ -223,6 +223,40 @@ def paired_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(statistics.interval(found))
 
 
+def case_table_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns of the visible arm's cases, with what its run tells."""
+    d, n = F.col("doc_id"), F.col("n_chars")
+    words = lambda w: F.array(*map(F.lit, w)).cast("array<string>")
+    run = {
+        "base_artifact": F.concat(F.lit("doc_"), d.cast("string")), "model_path": F.lit("model"), "condition": F.lit("visible"), "run_seed": d % 3, "excluded_tools": F.when(d % 5 == 0, words(["check_lineage"])),
+        "unresolved": F.when(n % 2 == 0, words(["a", "b"])), "inference_seconds": F.when(d % 4 != 0, n / 1000), "input_tokens": n, "output_tokens": F.when(d % 3 != 0, d),
+    }
+    return score.case_table(metrics_of(spark, sf_dir, True).withColumns(run))
+
+
+_EVENT = lambda e: f"len(list_filter(history, lambda x: x = '{e}'))"
+_RUN_SQL = {
+    "base_artifact": "'doc_' || doc_id", "pred_action": "action", "pred_label": "label", "model_path": "'model'", "condition": "'visible'", "run_seed": "doc_id % 3", "excluded_tools": """CASE WHEN doc_id % 5 = 0 THEN '["check_lineage"]' ELSE '[]' END""",
+    "unresolved_n": "CASE WHEN n_chars % 2 = 0 THEN 2 ELSE 0 END::BIGINT", "inference_seconds": "CASE WHEN doc_id % 4 <> 0 THEN n_chars / 1000 ELSE 0 END::DOUBLE", "input_tokens": "n_chars", "output_tokens": "CASE WHEN doc_id % 3 <> 0 THEN doc_id ELSE 0 END::BIGINT",
+    **{k: _EVENT(e) for k, e in score.EVENTS.items()},
+}
+_TABLE = _V + ", full_table AS (SELECT " + ", ".join(f"{_RUN_SQL[c]} AS {c}" if c in _RUN_SQL else c for c in score.CASE_COLUMNS) + " FROM v) "
+
+
+@query(_TABLE + "SELECT * FROM full_table")
+def case_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return case_table_of(spark, sf_dir)
+
+
+_MEANS = ", ".join(f"round(avg({c}), 6) AS mean_{c}" for c in ("inference_seconds", "input_tokens", "output_tokens"))
+
+
+@query(_TABLE + " UNION ALL ".join(f"SELECT {d} AS dimension, {v} AS value, {_SUMMARY}, {_MEANS} FROM full_table GROUP BY 1, 2" for d, v in (("'all'", "NULL"), *((f"'{k}'", k) for k in ("condition", "task", "base_artifact")))))
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fifteen metrics over all cases, by condition, by task and by artifact."""
+    return _r(score.grouped_summaries(case_table_of(spark, sf_dir), ["condition", "task", "base_artifact"], runs=True))
+
+
 @query(_DIFF + "SELECT lineage_group, count(*) AS n, sum(d)::DOUBLE AS total FROM x GROUP BY 1")
 def cluster_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.cluster_scores(_contrast(spark, sf_dir), "lineage_group")

@@ -111,6 +111,15 @@ def test_mcnemar_and_interval_give_the_published_values(spark):
     assert (row[0]["df"], round(row[0]["ci_low"], 3), round(row[0]["ci_high"], 3)) == (15, 0.33, 0.513) and row[1]["ci_low"] is None
 
 
+def test_arms_are_paired_one_to_one(spark):
+    arm = lambda *rows: spark.createDataFrame(rows, "case_id string, g int, m int")
+    a, b = arm(("x", 1, 0), ("y", 2, 1)), arm(("y", 2, 0), ("x", 1, 1), ("z", 3, 1))
+    assert {(r["case_id"], r["d"]) for r in statistics.contrast(a, b, "m", ["g"]).collect()} == {("x", 1.0), ("y", -1.0)}
+    for left, right in ((a.union(a), b), (a, b.union(b))):
+        with pytest.raises(Exception, match="case_id repeats"):
+            statistics.contrast(left, right, "m", ["g"]).collect()
+
+
 def test_quantiles_of_student(spark):
     """Against a table of t values."""
     table = {1: (6.3137515, 12.7062047, 63.6567412), 2: (2.9199856, 4.3026527, 9.9248432), 5: (2.0150484, 2.5705818, 4.0321430), 15: (1.7530504, 2.1314495, 2.9467129), 30: (1.6972609, 2.0422725, 2.7499957),
