@@ -41,6 +41,43 @@ def canonical(subjects: DataFrame, source: DataFrame, study: str, salt: str, cod
     )
 
 
+#: Columns of a whole bundle, in order.
+FULL_COLUMNS = (
+    "cohort", "subject_key", "age", "sex", "diagnosis", "site", "bridge_status", "imaging_order_status", "sfnc_available", "clinical_source_artifact", "clinical_source_join_status",
+    "source_age", "source_sex", "source_diagnosis", "source_panss_total", "source_cminds_composite",
+)
+
+
+def whole(subjects: DataFrame, source: DataFrame, bridge: DataFrame, columns: dict[str, str], study: str, artifact: str, salt: str, codes: dict[str, dict[str, str]]) -> DataFrame:
+    """A row for each subject (pos, analysis_id, age, sex, diagnosis, site, features) with the values of its one source row.
+
+    columns names the source's columns: key, age, sex, diagnosis and, if it has them, panss_total and cminds_composite.
+    The bridge (pos, analysis_id) must have the subjects' identifiers in their order; a difference is an error that shows
+    when rows are read. A value that is null is an empty text.
+    """
+    extra = [c for c in ("panss_total", "cminds_composite") if c in columns]
+    taken = source.select(F.col(columns["key"]).alias("key"), *[F.col(columns[f]).alias(f) for f in FIELDS], *[F.col(columns[c]).alias(c) for c in extra])
+    found = taken.groupBy(S.normalized_identifier("key").alias("__k")).agg(F.count("*").alias("__n"), *[F.first(c).alias(f"__{c}") for c in (*FIELDS, *extra)]).filter("__k <> ''")
+    there = bridge.select(F.col("pos").alias("__p"), F.col("analysis_id").alias("__id"))
+    rows = subjects.join(there, F.col("pos") == F.col("__p"), "full").withColumn("__same", F.col("analysis_id").eqNullSafe(F.col("__id")))
+    rows = rows.withColumn("bridge_status", F.when(F.col("__same"), "exact_id_order").otherwise(F.raise_error(F.lit(f"{study}: identifiers of bridge and features differ in order")).cast("string")))
+    rows = rows.withColumn("__k", S.normalized_identifier("analysis_id")).join(found, "__k", "left")
+    once = F.col("__n") == 1
+    same = {f: S.same_value(F.col(f), F.col(f"__{f}"), "age" if f == "age" else "code", codes.get(f, {})) for f in FIELDS}
+    conflict = S.any_of(*[F.coalesce(~c, F.lit(False)) for c in same.values()])
+    status = F.when(F.col("__n").isNull(), "not_in_source_table").when(~once, "ambiguous_duplicate_source_key").when(conflict, "matched_source_conflict_review").otherwise("matched_verified")
+    number = lambda c: S.output_number(S.as_number(c))
+    code = lambda c, f: S.canonical_code(F.col(c), codes.get(f, {}))
+    filled = {
+        "cohort": F.lit(study), "subject_key": S.masked_key(study, "analysis_id", salt), "age": number("age"), "sex": code("sex", "sex"), "diagnosis": code("diagnosis", "diagnosis"), "site": number("site"),
+        "bridge_status": F.col("bridge_status"), "imaging_order_status": F.col("bridge_status"), "sfnc_available": F.when(S.finite_vector("features"), "yes").otherwise("no"),
+        "clinical_source_artifact": F.lit(artifact), "clinical_source_join_status": status, "source_age": F.when(once, number("__age")),
+        "source_sex": F.when(once, code("__sex", "sex")), "source_diagnosis": F.when(once, code("__diagnosis", "diagnosis")),
+        **{f"source_{c}": F.when(once, number(f"__{c}")) for c in extra},
+    }
+    return rows.select(*[F.coalesce(filled.get(c, F.lit("")), F.lit("")).alias(c) for c in FULL_COLUMNS])
+
+
 def study_summary(bundle: DataFrame) -> DataFrame:
     status = lambda s: F.count_if(F.col("source_join_status") == s)
     return bundle.groupBy("study").agg(
@@ -78,12 +115,26 @@ def unresolved(summary: DataFrame, sites: bool = False, semantics: Sequence[str]
 
 
 def selected_decisions(decisions: DataFrame, gated: bool) -> DataFrame:
-    """Decisions that a bundle may follow: gated ones must parse, commit, have a label and leave nothing open."""
-    if not gated:
-        last = F.element_at(F.filter("candidates", lambda c: c["label"].isNotNull()), -1)
-        return decisions.select("*", F.coalesce(F.when(F.size("candidates") > 0, last["label"]), F.col("label")).alias("chosen_label"))
-    fit = F.col("parse_success") & F.col("action").isin("recover", "accept_provisionally") & F.col("label").isNotNull() & (F.size("unresolved") == 0)
-    return decisions.select("*", F.when(fit, F.col("label")).alias("chosen_label"))
+    """Adds chosen_label, which a bundle may follow, and selection, where it comes from.
+
+    Gated decisions must parse, commit, have a label and leave nothing open. Ungated ones are the last raw output
+    (raw_outputs, array of texts) that is a JSON candidate or decision with a label, or else the final label.
+    """
+    if gated:
+        fit = F.col("parse_success") & F.col("action").isin("recover", "accept_provisionally") & F.col("label").isNotNull() & (F.size("unresolved") == 0)
+        fit = F.coalesce(fit, F.lit(False))
+        return decisions.withColumns({"chosen_label": F.when(fit, F.col("label")), "selection": F.when(fit, "terminal_gated").otherwise("terminal_blocked")})
+
+    def read(raw: Column) -> Column:
+        label = S.first_truthy(F.get_json_object(raw, "$.label"))
+        kind = F.get_json_object(raw, "$.type").isin("candidate", "decision")
+        return F.when(F.try_parse_json(raw).isNotNull() & kind, label)
+
+    offered = F.array_compact(F.transform(F.coalesce("raw_outputs", F.array().cast("array<string>")), read))
+    last = F.get(offered, F.size(offered) - 1)
+    final = F.when(F.col("label") != "", F.col("label"))
+    source = F.when(last.isNotNull(), "raw_candidate_ungated").when(final.isNotNull(), "terminal_fallback_ungated").otherwise("no_candidate")
+    return decisions.withColumns({"chosen_label": F.coalesce(last, final), "selection": source})
 
 
 def derive_mappings(chosen: DataFrame, targets: Sequence[str]) -> DataFrame:

@@ -212,3 +212,42 @@ w AS (SELECT DISTINCT study, unnest(['current_age', 'diagnosis', 'sex_or_gender'
 SELECT study || '_' || target || '_mapping' AS issue_id, study AS cohort, target AS scope, (SELECT count(*) FROM customer) AS affected_n, 'documents' AS source_artifact, CASE WHEN target = 'diagnosis' THEN 'high' ELSE 'medium' END AS severity, 'human_review_or_add_evidence' AS action FROM w LEFT JOIN h USING (study, target) WHERE n IS DISTINCT FROM 1""")
 def agent_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bundle.agent_unresolved(mapping_ledger(spark, sf_dir), table(spark, sf_dir, "customer"), "documents")
+
+
+@query("""SELECT doc_id, CASE WHEN raw THEN 'diagnosis' WHEN final IS NOT NULL THEN final END AS chosen_label, CASE WHEN raw THEN 'raw_candidate_ungated' WHEN final IS NOT NULL THEN 'terminal_fallback_ungated' ELSE 'no_candidate' END AS selection,
+ CASE WHEN n_chars % 2 = 0 THEN final END AS gated_label FROM (SELECT doc_id, n_chars, doc_id % 4 = 1 AS raw, CASE WHEN doc_id % 3 <> 0 THEN 'current_age' END AS final FROM documents)""")
+def ungated_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What bundles would follow with and without the gate: raw outputs of prose, tools, candidates with and without a label, broken JSON."""
+    k = F.col("doc_id")
+    told = F.array(F.lit('{"type":"candidate","label":"diagnosis"}'), F.lit("prose"), F.lit('{"type":"tool","label":"panss_total"}'), F.lit('{"type":"decision","label":""}'))
+    broken = F.array(F.lit('{"type":"candidate","label":"diagnosis"'), F.lit('{"label":"diagnosis"}'), F.lit(None).cast("string"))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", F.lit(True).alias("parse_success"), F.lit("recover").alias("action"), F.when(k % 3 != 0, "current_age").alias("label"),
+        F.when(F.col("n_chars") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("open"))).alias("unresolved"), F.when(k % 4 == 1, told).when(k % 4 == 2, broken).alias("raw_outputs"),
+    )
+    gated = bundle.selected_decisions(rows, True).select("doc_id", F.col("chosen_label").alias("gated_label"))
+    return bundle.selected_decisions(rows, False).select("doc_id", "chosen_label", "selection").join(gated, "doc_id")
+
+
+@query("""WITH q AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 10 = 0 THEN 2 ELSE 1 END AS n, floor(abs(s_acctbal))::BIGINT AS age, s_nationkey % 3 AS sex, CASE WHEN s_suppkey % 4 = 0 THEN '1' ELSE '2' END AS dx, CASE WHEN s_suppkey % 6 <> 0 THEN s_nationkey END AS panss FROM supplier),
+j AS (SELECT *, CASE WHEN k % 2 = 0 THEN age ELSE floor(abs(c_acctbal))::BIGINT END AS given, c_nationkey % 2 + 1 AS own_sex, CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN '1' ELSE '2' END AS own_dx FROM customer LEFT JOIN q ON k = c_custkey)
+SELECT 'ALPHA' AS cohort, 'alpha_' || substr(sha256('pepper|ALPHA|' || c_custkey::VARCHAR), 1, 20) AS subject_key, floor(abs(c_acctbal))::BIGINT::VARCHAR AS age, CASE own_sex WHEN 1 THEN 'male' ELSE 'female' END AS sex, CASE own_dx WHEN '1' THEN 'case' ELSE 'control' END AS diagnosis,
+ c_nationkey::VARCHAR AS site, 'exact_id_order' AS bridge_status, 'exact_id_order' AS imaging_order_status, CASE WHEN c_custkey % 7 <> 0 THEN 'yes' ELSE 'no' END AS sfnc_available, 'supplier' AS clinical_source_artifact,
+ CASE WHEN n IS NULL THEN 'not_in_source_table' WHEN n > 1 THEN 'ambiguous_duplicate_source_key' WHEN given <> floor(abs(c_acctbal))::BIGINT OR sex <> own_sex OR dx <> own_dx THEN 'matched_source_conflict_review' ELSE 'matched_verified' END AS clinical_source_join_status,
+ CASE WHEN n = 1 THEN given::VARCHAR ELSE '' END AS source_age, CASE WHEN n = 1 THEN CASE sex WHEN 0 THEN 'UNRESOLVED:0' WHEN 1 THEN 'male' ELSE 'female' END ELSE '' END AS source_sex, CASE WHEN n = 1 THEN CASE dx WHEN '1' THEN 'case' ELSE 'control' END ELSE '' END AS source_diagnosis,
+ CASE WHEN n = 1 THEN coalesce(panss::VARCHAR, '') ELSE '' END AS source_panss_total, '' AS source_cminds_composite FROM j""")
+def bundle_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sixteen columns of a bundle: customers as subjects in the order of a bridge, suppliers (some twice) as their clinical source."""
+    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    subjects = c.select(
+        F.col("c_custkey").alias("pos"), F.col("c_custkey").cast("string").alias("analysis_id"), F.floor(F.abs("c_acctbal")).alias("age"), (F.col("c_nationkey") % 2 + 1).cast("string").alias("sex"),
+        F.when(F.col("c_mktsegment") == "HOUSEHOLD", "1").otherwise("2").alias("diagnosis"), F.col("c_nationkey").alias("site"), F.array(F.col("c_acctbal"), F.when(F.col("c_custkey") % 7 != 0, F.lit(1.0)).otherwise(F.lit(float("nan")))).alias("features"),
+    )
+    k = F.col("s_suppkey")
+    copies = F.explode(F.sequence(F.lit(1), F.when(k % 10 == 0, 2).otherwise(1))).alias("copy")
+    source = s.join(c.select("c_custkey", "c_acctbal"), k == F.col("c_custkey"), "left").select(
+        F.concat(F.lit("00"), k.cast("string")).alias("URSI"), F.when(k % 2 == 0, F.floor(F.abs("s_acctbal"))).otherwise(F.floor(F.abs("c_acctbal"))).alias("AGE"), (F.col("s_nationkey") % 3).cast("string").alias("GENDER"),
+        F.when(k % 4 == 0, "1").otherwise("2").alias("DX"), F.when(k % 6 != 0, F.col("s_nationkey")).alias("PANSS"), copies,
+    )
+    names = {"key": "URSI", "age": "AGE", "sex": "GENDER", "diagnosis": "DX", "panss_total": "PANSS"}
+    return bundle.whole(subjects, source, subjects.select("pos", "analysis_id"), names, "ALPHA", "supplier", "pepper", _CODES)

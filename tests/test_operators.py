@@ -168,6 +168,18 @@ def test_bundle_conserves_subjects(spark, sf):
     assert "pepper" not in str(cohorts.bundle_of(spark, sf).limit(5).collect())
 
 
+def test_a_bridge_in_another_order_is_an_error(spark):
+    subjects = spark.createDataFrame([(1, "a", 30, "1", "2", 1, [1.0]), (2, "b", 31, "1", "1", 1, [float("nan")])], "pos int, analysis_id string, age int, sex string, diagnosis string, site int, features array<double>")
+    source = spark.createDataFrame([("A", 30, "1", "2"), ("c", 1, "1", "1")], "id string, a int, s string, d string")
+    names = {"key": "id", "age": "a", "sex": "s", "diagnosis": "d"}
+    whole = lambda bridge: bundle.whole(subjects, source, spark.createDataFrame(bridge, "pos int, analysis_id string"), names, "X", "t", "salt", {})
+    got = {r["subject_key"]: r for r in whole([(1, "a"), (2, "b")]).collect()}
+    assert sorted((r["clinical_source_join_status"], r["sfnc_available"], r["source_age"]) for r in got.values()) == [("matched_verified", "yes", "30"), ("not_in_source_table", "no", "")]
+    for wrong in ([(1, "b"), (2, "a")], [(1, "a")], [(1, "a"), (2, "b"), (3, "c")]):
+        with pytest.raises(Exception, match="differ in order"):
+            whole(wrong).collect()
+
+
 def test_loop_rejects_then_takes_a_tool_then_accepts(spark):
     offer = '{"action":"accept_provisionally","label":"diagnosis"}'
     c = case(spark, "T-COL", {"proposed_concept": "diagnosis"}, tools=("profile_values",), script=["```json\n" + offer + "\n```", '{"type":"tool","tool_name":"profile_values"}', offer])
