@@ -77,6 +77,11 @@ def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
 
 
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op8: folds, tokens and the base score."""
+    return op8_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -93,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op12_simhash": op12_simhash,
         "op13_conversation_repair": op13_conversation_repair,
         "fingerprint_edits": fingerprint_edits,
+        "lm_base_scores": lm_base_scores,
         "pii_base_counts": pii_base_counts,
     }
 
@@ -134,6 +140,25 @@ SELECT doc_id, n_email, len(list_filter(ips, lambda x: len(list_filter(string_sp
 """
 
 
+#: The table of crc32 as a row, and the checksum of an ASCII text by it.
+_CRC_TABLE = "bytes AS (SELECT list(list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS crc FROM range(256) b(i))"
+
+
+def _crc(text: str) -> str:
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT)), lambda x, y: xor(x >> 8, crc[(xor(x, y) & 255) + 1])), 4294967295)"
+
+
+BASE_SCORE_SQL = rf"""
+WITH {_CRC_TABLE},
+d AS (SELECT doc_id, {_crc("doc_id::VARCHAR")} % 7 = 2 AS held_out, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents, bytes),
+t AS (SELECT doc_id, held_out, unnest(list_append(w, ' end')) AS token FROM d),
+c AS (SELECT token, count(*) AS n FROM t WHERE NOT held_out GROUP BY token),
+s AS (SELECT sum(n) AS total, count(*) AS kinds FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c.n) AS n_known, s.total::BIGINT AS train_tokens, round(sum(log10((coalesce(c.n, 0) + 1) / (s.total + 1 * (s.kinds + 1))::DOUBLE)), 6) AS base_score
+FROM t LEFT JOIN c ON t.token = c.token, s GROUP BY doc_id, held_out, s.total
+"""
+
+
 DIVERGENCE_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -173,10 +198,9 @@ def _repair_sql() -> str:
     }
     far = "{'c': 1000000000, 't': '', 'r': ''}"
     return rf"""
-WITH RECURSIVE bytes AS (SELECT list(list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS crc FROM range(256) b(i)),
+WITH RECURSIVE {_CRC_TABLE},
 k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
-    xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT)),
-      lambda x, y: xor(x >> 8, crc[(xor(x, y) & 255) + 1])), 4294967295) % 20 AS kind FROM conversations, bytes),
+    {_crc("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations, bytes),
 d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
     unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM k WHERE kind <> 0),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, substr(role, 1, 1) AS initial, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS shown FROM d),
@@ -204,5 +228,5 @@ REPAIR_SQL = _repair_sql()
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op2_decontamination": OP2_SQL, "fingerprint_edits": EDITS_SQL, "pii_base_counts": BASE_SQL, "op11_divergence": DIVERGENCE_SQL, "op13_conversation_repair": REPAIR_SQL,
+        "op2_decontamination": OP2_SQL, "fingerprint_edits": EDITS_SQL, "lm_base_scores": BASE_SCORE_SQL, "pii_base_counts": BASE_SQL, "op11_divergence": DIVERGENCE_SQL, "op13_conversation_repair": REPAIR_SQL,
     }

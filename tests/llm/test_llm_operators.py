@@ -40,7 +40,7 @@ def test_contamination_is_what_its_sql_says(spark, sf):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["fingerprint_edits", "pii_base_counts"])
+@pytest.mark.parametrize("name", ["fingerprint_edits", "lm_base_scores", "pii_base_counts"])
 def test_exact_columns_are_what_their_sql_says(spark, sf, name):
     got, want = plain(queries.queries()[name](spark, sf).toPandas()), plain(connect(sf).sql(queries.oracle_sql()[name]).df())
     assert got == want
