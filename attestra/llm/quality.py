@@ -6,7 +6,8 @@ of its own), each kind weighted by idf and scaled to
 length one. A truncated singular value decomposition of a bounded sample of labelled rows gives the
 latent directions. The sample's vectors are broadcast (SAMPLE rows of RANK numbers); every document's
 cosine with each of them is computed exactly, block by block, and the labels of its NEIGHBOURS nearest
-are averaged with their similarities as weights.
+are averaged with the fourth power of their similarities as weights, negative ones counting nothing: near
+neighbours outweigh many distant ones.
 
 Null and empty texts have the zero vector, no similarities, and the share of label 1 as their score;
 so has every text if the sample is empty (0.5 without labels). Ties between neighbours go to the
