@@ -129,3 +129,12 @@ def test_many_rows_without_an_id_are_spread(spark):
     got = fingerprints.digest(fingerprints.fingerprints(df)).collect()
     want = edited([(None, t) for t in texts] + [(5, "five words stand in here"), (6, "x")], lambda v: v or 0)
     assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got), key=str) == want
+
+
+def test_wrappers_find_the_articles_of_given_pages(spark, sf):
+    """Without article elements the hosts' wrappers decide; they find the same texts."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    bare = pages.withColumn("html", F.regexp_replace("html", r"<(/?)article\b", "<$1div"))
+    assert bare.filter(F.col("html").contains("<article")).count() == 0
+    of = lambda df: {r["page_id"]: r["text"] for r in extraction.extract(df).collect()}
+    assert of(bare) == of(pages)
