@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import scalar as S
 from ..session import materialize
 from . import ranks
 from .crossval import cross_validated
@@ -33,6 +34,38 @@ def valid(cohort: DataFrame) -> DataFrame:
     )
 
 
+#: Headers of the scores that a cohort takes, as (name, or what it begins with). Fixed values.
+HEADERS = {"diagnosis": "diagnosis(", "age": "age", "sex": "gender(1:male; 2:female)", "site": "Site"}
+
+
+def load_cohort(matrices: DataFrame, scores: DataFrame) -> DataFrame:
+    """A cohort from matrices (pos, i, j, value) and scores (pos, fields, values: two arrays of one length).
+
+    Features are the lower triangle of each matrix without its diagonal, in row order. A cohort without a site has site 1.
+    Subjects on one side only, matrices that are not square and of one size, values that are no finite numbers and codes
+    other than 1 and 2 are errors that show when rows are read.
+    """
+    size = matrices.groupBy("pos").agg(
+        (F.max("i") + 1).alias("k"), F.max("j").alias("j"), F.count("*").alias("n"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("i") > F.col("j"), F.struct("i", "j", "value")))), lambda c: c["value"]).alias("features"),
+    )
+    most = F.broadcast(size.agg(F.max("k").alias("most")))  # one row
+    size = size.crossJoin(most).withColumn("square", (F.col("j") == F.col("k") - 1) & (F.col("n") == F.col("k") * F.col("k")) & (F.col("k") == F.col("most")))
+    header = {c: S.field_lookup(F.col("fields"), h, h) if c == "diagnosis" else F.when(F.array_contains("fields", h), F.lit(h)) for c, h in HEADERS.items()}
+    at = lambda c: F.get("values", (F.array_position("fields", header[c]) - 1).cast("int"))
+    told = scores.select(F.col("pos").alias("p"), *[at(c).cast("double").alias(c) for c in ("diagnosis", "age", "sex")], F.when(header["site"].isNull(), F.lit(1.0)).otherwise(at("site").cast("double")).alias("site"))
+    both = size.join(told, F.col("pos") == F.col("p"), "full")
+    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    code = lambda c: F.coalesce(F.col(c).isin(1.0, 2.0), F.lit(False))
+    wrong = (
+        F.when(F.col("pos").isNull() | F.col("p").isNull(), "feature and score rows differ").when(~F.col("square"), "matrices are not square and of one size")
+        .when(~F.forall("features", fine), "features contain non-finite values").when(~code("diagnosis"), "diagnosis is neither 1 nor 2").when(~code("sex"), "sex is neither 1 nor 2")
+        .when(~fine(F.col("age")) | ~fine(F.col("site")), "age or site is no finite number")
+    )
+    checked = F.when(wrong.isNull(), F.col("pos")).otherwise(F.raise_error(wrong).cast(matrices.schema["pos"].dataType))
+    return both.select(checked.alias("pos"), "features", *[F.col(c).cast("int").alias(c) if c in ("diagnosis", "sex") else c for c in ("diagnosis", "age", "sex", "site")])
+
+
 def long(cohort: DataFrame, *keep: str) -> DataFrame:
     return cohort.select(*keep, F.posexplode("features").alias("feature", "x"))
 

@@ -19,6 +19,27 @@ def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""WITH x AS (SELECT vec_id, unnest(range(0, 64)) AS k, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE len(embedding) = 64)
+SELECT vec_id AS pos, count(*) AS features_n, round(sum(v), 6) AS total, round(sum(v * (k // 8) * 10 + v * (k % 8)), 6) AS weighted, CASE WHEN any_value(label) = 1 THEN 1 ELSE 2 END AS diagnosis, (20 + vec_id % 50)::DOUBLE AS age, (1 + vec_id % 2)::INTEGER AS sex,
+ CASE WHEN vec_id % 3 = 0 THEN 1.0 ELSE any_value(label) END::DOUBLE AS site FROM x JOIN embeddings USING (vec_id) WHERE k // 8 > k % 8 GROUP BY vec_id""")
+def cohort_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as matrices of 8 by 8, and scores under headers in an order of their own; some have no site."""
+    v = F.col("vec_id")
+    cells = table(spark, sf_dir, "embeddings").select(v.alias("pos"), F.posexplode("embedding").alias("k", "value"))
+    matrices = cells.select("pos", F.floor(F.col("k") / 8).cast("int").alias("i"), (F.col("k") % 8).alias("j"), F.col("value").cast("double").alias("value"))
+    h = effects.HEADERS
+    fields, values = [h["sex"], h["diagnosis"] + "1:SZ; 2:HC)", h["age"]], [1 + v % 2, F.when(F.col("label") == 1, 1).otherwise(2), 20 + v % 50]
+    some = v % 3 == 0
+    names, given = F.array(*map(F.lit, fields)), F.array(*[x.cast("double") for x in values])
+    scores = table(spark, sf_dir, "embeddings").select(
+        v.alias("pos"), F.when(some, names).otherwise(F.concat(F.array(F.lit(h["site"])), names)).alias("fields"), F.when(some, given).otherwise(F.concat(F.array(F.col("label").cast("double")), given)).alias("values")
+    )
+    found = effects.load_cohort(matrices, scores)
+    places = F.array(*[F.lit(10 * i + j) for i in range(8) for j in range(i)])
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
+    return _r(found.select("pos", F.size("features").cast("bigint").alias("features_n"), total(F.col("features")).alias("total"), total(F.zip_with("features", places, lambda x, w: x * w)).alias("weighted"), "diagnosis", "age", "sex", "site"))
+
+
 _X = "x AS (SELECT vec_id, label, unnest(range(0, len(embedding)))::INT AS feature, unnest(embedding)::DOUBLE AS x FROM embeddings)"
 
 

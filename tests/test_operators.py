@@ -180,6 +180,23 @@ def test_a_bridge_in_another_order_is_an_error(spark):
             whole(wrong).collect()
 
 
+def test_cohorts_are_checked_as_they_are_read(spark):
+    cells = [(p, i, j, float(10 * i + j)) for p in (0, 1) for i in range(3) for j in range(3)]
+    fields = ["Site", "age", "diagnosis(1:SZ)", "gender(1:male; 2:female)"]
+    scores = [(0, fields, [4.0, 30.0, 1.0, 2.0]), (1, fields[1:], [31.0, 2.0, 1.0])]
+
+    def load(cells=cells, scores=scores):
+        return effects.load_cohort(spark.createDataFrame(cells, "pos int, i int, j int, value double"), spark.createDataFrame(scores, "pos int, fields array<string>, values array<double>")).orderBy("pos").collect()
+
+    assert [tuple(r) for r in load()] == [(0, [10.0, 20.0, 21.0], 1, 30.0, 2, 4.0), (1, [10.0, 20.0, 21.0], 2, 31.0, 1, 1.0)]
+    for wrong, message in (
+        ({"cells": cells[:-1]}, "not square"), ({"cells": cells[:9]}, "rows differ"), ({"scores": scores[:1]}, "rows differ"), ({"scores": [scores[0], (1, fields[1:], [31.0, 3.0, 1.0])]}, "diagnosis"),
+        ({"cells": [*cells[:-2], (1, 2, 1, float("nan")), cells[-1]]}, "non-finite"), ({"scores": [scores[0], (1, ["age", "diagnosis(1)"], [31.0, 2.0])]}, "sex"),
+    ):
+        with pytest.raises(Exception, match=message):
+            load(**wrong)
+
+
 def test_loop_rejects_then_takes_a_tool_then_accepts(spark):
     offer = '{"action":"accept_provisionally","label":"diagnosis"}'
     c = case(spark, "T-COL", {"proposed_concept": "diagnosis"}, tools=("profile_values",), script=["```json\n" + offer + "\n```", '{"type":"tool","tool_name":"profile_values"}', offer])
