@@ -134,7 +134,7 @@ def cross_validated(cohort: DataFrame, seed: Column, by: Sequence[str] = (), n:
     rows = rows.select(*keys, "pos", "y", "fold", "features").join(F.broadcast(sizes), names)  # a row for each scenario
     rows = materialize(rows.withColumn("chunk", F.pmod(F.xxhash64("pos", F.lit(3)), F.col("chunks")).cast("int")), "crossval-rows")
     zero = F.transform(F.concat("chosen", F.array(F.struct(F.lit(0).alias("feature"), F.lit(0.0).alias("mean"), F.lit(1.0).alias("scale")))), lambda _: F.lit(0.0))
-    state = selections(rows, names, n, most).select("*", zero.alias("weights"), zero.alias("last"), F.lit(1e300).alias("loss"), F.lit(1.0).alias("moved"))
+    state = materialize(selections(rows, names, n, most), "crossval-selections").select("*", zero.alias("weights"), zero.alias("last"), F.lit(1e300).alias("loss"), F.lit(1.0).alias("moved"))
     chunks = materialize(rows.select(*names, "chunks").distinct(), "crossval-chunks")
     state = materialize(state.join(F.broadcast(chunks), names), "crossval-models")
     most_chunks = chunks.agg(F.max("chunks")).first()[0] or 0

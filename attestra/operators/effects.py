@@ -202,10 +202,13 @@ def sensitivity(cohort: DataFrame, grid: Sequence[tuple[float, int]], aucs: bool
     found = sizes.join(effect, keys).join(other, keys)
     if not aucs:
         return found
+    # each part is written, so that the driver never holds the plan of the whole grid at once
+    found = materialize(found, "sensitivity-effects")
     # the clean cohort is a family of its own; all models of all cells are fitted together, a recoded sex is in none
     untouched = control("clean")
     wanted = every.filter(F.col("family") != "global_sex_recode_control").unionByName(untouched).select(*keys, "pos", "features", "diagnosis")
-    scored = auc(cross_validated(wanted, F.col("seed"), keys), keys)
+    told = materialize(cross_validated(materialize(wanted, "sensitivity-wanted"), F.col("seed"), keys), "sensitivity-told")
+    scored = materialize(auc(told, keys), "sensitivity-aucs")
     clean = scored.filter("family = 'clean'").select("seed", F.col("auc").alias("clean_auc"))
     altered = scored.filter("family != 'clean'").withColumnRenamed("auc", "altered_auc")
     found = found.join(F.broadcast(clean), "seed").join(F.broadcast(altered), keys, "left")
