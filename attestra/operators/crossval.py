@@ -121,16 +121,24 @@ def _told(rows: pd.DataFrame, models: pd.DataFrame, names: list[str]) -> pd.Data
     return pd.concat(out) if out else pd.DataFrame(columns=[*names, "pos", "y", "fold", "x"])
 
 
-def cross_validated(cohort: DataFrame, seed: Column, by: Sequence[str] = (), n: int = FOLDS, most: int = MOST_FEATURES, strength: float = STRENGTH) -> DataFrame:
+def cross_validated(cohort: DataFrame, seed: Column, by: Sequence[str] = (), n: int = FOLDS, most: int = MOST_FEATURES, strength: float = STRENGTH, features: DataFrame | None = None) -> DataFrame:
     """(by, pos, y, fold, x): each row's probability of diagnosis 1 by the model of its scenario that has not seen its fold.
 
+    Scenarios that share their features (pos, features) can give them once, beside a cohort without them.
+
     A scenario that lacks a class is fitted all the same. An empty cohort gives an empty result.
     """
     kinds = {f.name: f.dataType.simpleString() for f in cohort.schema}
     names = list(by) or ["all_rows"]
     keys = [F.col(c) for c in by] or [F.lit(0).alias("all_rows")]
-    rows = folds(cohort.select(*by, "pos", "diagnosis", F.transform("features", lambda x: x.cast("double")).alias("features")), seed, by, n)
+    vector = F.transform("features", lambda x: x.cast("double")).alias("features")
+    if features is None:
+        rows = folds(cohort.select(*by, "pos", "diagnosis", vector), seed, by, n)
+    else:
+        rows = materialize(folds(cohort.select(*by, "pos", "diagnosis"), seed, by, n), "crossval-folds")
     sizes = rows.groupBy(*by).count().select(*keys, F.greatest(F.ceil(F.col("count") / CHUNK), F.lit(1)).cast("int").alias("chunks"))
+    if features is not None:
+        rows = rows.join(features.select("pos", vector), "pos")
     rows = rows.select(*keys, "pos", "y", "fold", "features").join(F.broadcast(sizes), names)  # a row for each scenario
     rows = materialize(rows.withColumn("chunk", F.pmod(F.xxhash64("pos", F.lit(3)), F.col("chunks")).cast("int")), "crossval-rows")
     zero = F.transform(F.concat("chosen", F.array(F.struct(F.lit(0).alias("feature"), F.lit(0.0).alias("mean"), F.lit(1.0).alias("scale")))), lambda _: F.lit(0.0))

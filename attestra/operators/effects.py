@@ -176,18 +176,19 @@ def sensitivity(cohort: DataFrame, grid: Sequence[tuple[float, int]], aucs: bool
     and site. With aucs come clean_auc, altered_auc and auc_delta, cross-validated anew for each cell of the grid.
     """
     cells = F.explode(F.array(*[F.struct(F.lit(r).alias("rate"), F.lit(s).alias("seed")) for r, s in grid])).alias("c")
-    rows = cohort.select("*", cells).select(*cohort.columns, "c.rate", "c.seed")
-    by, shared = ["rate", "seed"], ["pos", "features"]
-    covariates = ("diagnosis", "age", "sex", "site")
+    by, covariates = ["rate", "seed"], ("diagnosis", "age", "sex", "site")
+    # scenarios differ in what is told of a subject; the features stay one table
+    features, told = cohort.select("pos", "features"), cohort.select("pos", *covariates)
+    rows = told.select("*", cells).select(*told.columns, "c.rate", "c.seed")
     turned = label_inversion(rows, by)
-    turned = turned.select(F.lit("diagnosis_inversion").alias("family"), *by, *shared, F.col("new_diagnosis").alias("diagnosis"), "age", "sex", "site", F.col("chosen").cast("int").alias("changed"))
+    turned = turned.select(F.lit("diagnosis_inversion").alias("family"), *by, "pos", F.col("new_diagnosis").alias("diagnosis"), "age", "sex", "site", F.col("chosen").cast("int").alias("changed"))
     shifted = F.coalesce((F.col("chosen") & (F.col("k") > 1)), F.lit(False)).cast("int").alias("changed")
-    moved = row_order(rows, by).select(F.lit("row_order").alias("family"), *by, *shared, *[F.col(f"new_{c}").alias(c) for c in covariates], shifted)
+    moved = row_order(rows, by).select(F.lit("row_order").alias("family"), *by, "pos", *[F.col(f"new_{c}").alias(c) for c in covariates], shifted)
     seeds = sorted({s for _, s in grid})
-    every_seed = cohort.select("*", F.explode(F.array(*map(F.lit, seeds))).alias("seed")).withColumn("rate", F.lit(1.0))
+    every_seed = told.select("*", F.explode(F.array(*map(F.lit, seeds))).alias("seed")).withColumn("rate", F.lit(1.0))
 
     def control(family: str, **changed: Column) -> DataFrame:
-        return every_seed.select(F.lit(family).alias("family"), *by, *shared, *[changed.get(c, F.col(c)).alias(c) for c in covariates], F.lit(1).alias("changed"))
+        return every_seed.select(F.lit(family).alias("family"), *by, "pos", *[changed.get(c, F.col(c)).alias(c) for c in covariates], F.lit(1).alias("changed"))
 
     every = turned.unionByName(moved)
     every = every.unionByName(control("global_diagnosis_inversion_control", diagnosis=inverted("diagnosis")))
@@ -195,9 +196,10 @@ def sensitivity(cohort: DataFrame, grid: Sequence[tuple[float, int]], aucs: bool
     keys = ["family", *by]
     every = materialize(every, "sensitivity-scenarios")
     sizes = every.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("changed").alias("changed_n"))
-    effect = compare(smd(cohort), smd(every, keys), keys)
+    full = every.join(features, "pos")
+    effect = compare(smd(cohort), smd(full, keys), keys)
     adjusted = lambda df, k: adjusted_coefficient(df, k).withColumnRenamed("coefficient", "effect")
-    other = compare(adjusted(cohort, []), adjusted(every, keys), keys)
+    other = compare(adjusted(cohort, []), adjusted(full, keys), keys)
     other = other.select(*keys, *[F.col(m).alias(f"adjusted_{m}") for m in METRICS])
     found = sizes.join(effect, keys).join(other, keys)
     if not aucs:
@@ -206,9 +208,9 @@ def sensitivity(cohort: DataFrame, grid: Sequence[tuple[float, int]], aucs: bool
     found = materialize(found, "sensitivity-effects")
     # the clean cohort is a family of its own; all models of all cells are fitted together, a recoded sex is in none
     untouched = control("clean")
-    wanted = every.filter(F.col("family") != "global_sex_recode_control").unionByName(untouched).select(*keys, "pos", "features", "diagnosis")
-    told = materialize(cross_validated(materialize(wanted, "sensitivity-wanted"), F.col("seed"), keys), "sensitivity-told")
-    scored = materialize(auc(told, keys), "sensitivity-aucs")
+    wanted = every.filter(F.col("family") != "global_sex_recode_control").unionByName(untouched).select(*keys, "pos", "diagnosis")
+    probabilities = materialize(cross_validated(wanted, F.col("seed"), keys, features=features), "sensitivity-probabilities")
+    scored = materialize(auc(probabilities, keys), "sensitivity-aucs")
     clean = scored.filter("family = 'clean'").select("seed", F.col("auc").alias("clean_auc"))
     altered = scored.filter("family != 'clean'").withColumnRenamed("auc", "altered_auc")
     found = found.join(F.broadcast(clean), "seed").join(F.broadcast(altered), keys, "left")
