@@ -270,3 +270,16 @@ def test_row_counts_and_scalars(spark):
     assert got["b"] == "ab�" and got["x"] is None
     cards = linkage.overlap_cards([("none", df.limit(0), "id", df.limit(0), "id"), ("some", df, "id", df, "id")]).collect()
     assert {(r["card"], r["left_n"], r["relationship"]) for r in cards} == {("none", 0, "one_to_one_technical_overlap"), ("some", 5, "one_to_one_technical_overlap")}
+
+
+def test_columns_and_cards_that_are_asked_for(spark):
+    from attestra.functions import scalar as S
+
+    df = spark.createDataFrame([(["id", "age"], ["age", "sex"], 3, 4, 1), ([], None, 0, 0, None)], "required array<string>, names array<string>, a int, b int, diagnosis int")
+    assert profile.existing_columns(df, ["a", "zz", "b"]) == (["a", "b"], ["zz"])
+    got = df.select(profile.missing_required(F.col("required"), F.coalesce("names", F.array().cast("array<string>"))).alias("m"), S.fraction_text(F.col("a"), F.col("b")).alias("f"), S.is_case("diagnosis").alias("c")).collect()
+    assert [tuple(r) for r in got] == [(["id"], "3/4", 1), ([], "0/0", 0)]
+    cards = spark.createDataFrame([("f", "age", "c1"), ("f", "sex", "c2"), ("f", "sex", "c3")], "artifact_id string, column_name string, card_id string")
+    asked = spark.createDataFrame([("f", "age"), ("f", "sex"), ("f", "zz")], "artifact_id string, column_name string")
+    found = {r["column_name"]: (r["state"], r["card_id"]) for r in profile.resolve_column_cards(asked, cards).collect()}
+    assert found == {"age": ("resolved", "c1"), "sex": ("ambiguous", None), "zz": ("missing", None)}
