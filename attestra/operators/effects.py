@@ -132,19 +132,33 @@ def adjusted_coefficient(cohort: DataFrame, by: Sequence[str] = ()) -> DataFrame
     rows = cohort.select(*keys, "diagnosis", "age", "sex", "site", "features")
     moments = rows.groupBy(*names).agg(F.avg("age").alias("ma"), F.stddev_pop("age").alias("sa"), F.avg("sex").alias("ms"), F.stddev_pop("sex").alias("ss"))
     z = lambda c, m, d: F.coalesce(F.try_divide(F.col(c) - F.col(m), F.when(F.col(d) > 0, F.col(d))), F.lit(0.0))
-    design = [F.lit(1.0), F.coalesce((F.col("diagnosis") == 1).cast("double"), F.lit(0.0)), z("age", "ma", "sa"), z("sex", "ms", "ss")]
-    design += [F.coalesce((F.col("site") == v).cast("double"), F.lit(0.0)) for v in sites[1:]]
-    q = len(design)
-    rows = rows.join(F.broadcast(moments), names).select(*names, "features", F.array(*design).alias("d"))
-    products = F.flatten(F.transform("d", lambda x: F.transform(F.col("d"), lambda y: x * y)))
-    gram = rows.select(*names, F.posexplode(products).alias("at", "g")).groupBy(*names, "at").agg(F.sum("g").alias("g"))
-    gram = gram.groupBy(*names).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "g"))), lambda x: x["g"]).alias("gram"))
-    cross = rows.select(*names, "d", F.posexplode("features").alias("feature", "x")).groupBy(*names, "feature")
-    cross = cross.agg(F.array(*[F.sum(F.get("d", F.lit(i)) * F.col("x")) for i in range(q)]).alias("cross")).join(F.broadcast(gram), names)
+    base = [F.lit(1.0), F.coalesce((F.col("diagnosis") == 1).cast("double"), F.lit(0.0)), z("age", "ma", "sa"), z("sex", "ms", "ss")]
+    # sites are columns of ones and zeros: sums by site are all their products with the others
+    k, place = len(base), F.coalesce(*[F.when(F.col("site") == v, i) for i, v in enumerate(sites[1:], 1)], F.lit(0))
+    rows = rows.join(F.broadcast(moments), names).select(*names, "features", F.array(*base).alias("d"), place.cast("int").alias("place"))
+    products = F.array(*[F.get("d", F.lit(i)) * F.get("d", F.lit(j)) for i in range(k) for j in range(k)])
+    gram = rows.select(*names, "place", products.alias("p")).groupBy(*names, "place").agg(F.array(*[F.sum(F.get("p", F.lit(i))) for i in range(k * k)]).alias("g"))
+    gram = gram.groupBy(*names).agg(F.collect_list(F.struct("place", "g")).alias("gram"))
+    cross = rows.select(*names, "place", "d", F.posexplode("features").alias("feature", "x")).groupBy(*names, "feature", "place")
+    cross = cross.agg(F.array(*[F.sum(F.get("d", F.lit(i)) * F.col("x")) for i in range(k)]).alias("c"))
+    cross = cross.groupBy(*names, "feature").agg(F.collect_list(F.struct("place", "c")).alias("cross")).join(F.broadcast(gram), names)
+    q = k + max(0, len(sites) - 1)
 
     def solve(group):
-        inverse = np.linalg.pinv(np.array(group["gram"].iloc[0], float).reshape(q, q))
-        return group[[*names, "feature"]].assign(coefficient=np.stack(group["cross"].to_numpy()).astype(float) @ inverse[1])
+        whole = np.zeros((q, q))
+        for part in group["gram"].iloc[0]:
+            own, at = np.reshape(part["g"], (k, k)), k + part["place"] - 1
+            whole[:k, :k] += own
+            if part["place"]:
+                whole[at, :k] = whole[:k, at] = own[0]
+                whole[at, at] = own[0, 0]
+        right = np.zeros((len(group), q))
+        for row, parts in enumerate(group["cross"]):
+            for part in parts:
+                right[row, :k] += part["c"]
+                if part["place"]:
+                    right[row, k + part["place"] - 1] = part["c"][0]
+        return group[[*names, "feature"]].assign(coefficient=right @ np.linalg.pinv(whole)[1])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", feature int, coefficient double"
