@@ -3,13 +3,16 @@
 A page becomes a tree of block elements with a text slot where text stands. Wrappers are such trees
 whose nodes may be optional or repeated: neighbouring siblings of one name fold into a repeated group,
 and two trees are merged by aligning their children in order (longest common subsequence of names);
-children without a partner become optional groups, partners are merged in turn. Pages with an article
-or main element need no wrapper: their text is what stands below it. All other pages of a host are
+children without a partner become optional groups, partners are merged in turn. All pages of a host are
 merged, structure by distinct structure, first in salted parts and then together, and each structure is
 aligned with its host's wrapper, so that a place in the wrapper is a slot: the same path before and after
 another element is two. Over the host's distinct pages Spark counts what each slot holds, a repeated
 group as a whole. Slots that links or one constant text fill are the template; of the others, those count
 that stand in the element which holds most of the unlinked text of the pages of one structure.
+An article or main element tells a structure's content better: where there is one, the slots in it are the
+content, and the template among them is what both links fill and the host's pages share, unless that is all.
+Text slots know whether they stand in an article and whether names call them boilerplate, so that a slot is
+never both.
 Menus, headers, footers, sidebars, notices, adverts, forms, comments of readers, scripts and styles go
 by the names, roles and classes of their elements. Articles that are named comment or reply are comments, unless
 there is no other text. An article or main element inside a form is kept, the form is then the page's frame; the rest of
@@ -32,13 +35,15 @@ from html.parser import HTMLParser
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, slices
 
-#: Structures that are merged in one part of a host.
+#: Structures of a host that are merged at once; of more, the square root of their number makes a part.
 PART = 256
+#: Structures whose slots one file holds.
+ROWS = 4096
 #: Elements above a block that its path names; blocks below more of them stand in the slots of the last one. An
 #: article is seen at any depth.
 DEPTH = 64
@@ -190,15 +195,17 @@ def blocks(html: str | None) -> list[tuple[str, str, int, bool, bool]]:
     return page.done()
 
 
-# A wrapper node: [name, optional, repeated, children]; the name of a text slot is "#".
+# A wrapper node: [name, optional, repeated, children]; the name of a text slot is TEXT, of one in an article ARTICLE,
+# of one that names call boilerplate HINTED.
+TEXT, ARTICLE, HINTED = "#", "#+", "#-"
 
 
-def _tree(paths: list[str]) -> tuple[list, list[int]]:
+def _tree(paths: list[str], kinds: list[str] | None = None) -> tuple[list, list[int]]:
     """The wrapper of one page, and for each path the number of its text slot in page order."""
     root: list = ["", False, False, []]
     leaves: list[list] = []
-    for path in paths:
-        node, names = root, [*filter(None, path.split("/")), "#"]
+    for path, kind in zip(paths, kinds or [TEXT] * len(paths), strict=True):
+        node, names = root, [*filter(None, path.split("/")), kind]
         for at, name in enumerate(names):
             last = node[3][-1] if node[3] else None
             if last and last[0] == name:
@@ -224,7 +231,7 @@ def _tree(paths: list[str]) -> tuple[list, list[int]]:
 
 def _text_slots(node: list) -> Iterator[list]:
     for c in node[3]:
-        if c[0] == "#":
+        if c[0].startswith("#"):
             yield c
         else:
             yield from _text_slots(c)
@@ -320,8 +327,8 @@ def aligned(page: list, wrapper: list, path: str = "") -> list[str]:
     for i, c in enumerate(page[3]):
         at = partner_of.get(i, "-")
         partner = wrapper[3][at] if i in partner_of else ["", False, False, []]
-        if c[0] == "#":
-            found.append(f"{path}/#@{at}".lstrip("/"))
+        if c[0].startswith("#"):
+            found.append(f"{path}/{c[0]}@{at}".lstrip("/"))
         else:
             found += aligned(c, partner, f"{path}/{c[0]}@{at}".lstrip("/"))
     return found
@@ -363,7 +370,7 @@ def slots(node: list, path: str = "") -> set[str]:
     """Paths of the wrapper's text slots."""
     found = set()
     for c in node[3]:
-        if c[0] == "#":
+        if c[0].startswith("#"):
             found.add(path)
         else:
             found |= slots(c, f"{path}/{c[0]}" if path else c[0])
@@ -372,26 +379,28 @@ def slots(node: list, path: str = "") -> set[str]:
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pages as their text slots in order of first appearance, and all blocks in page order with their slots."""
-    kind = pa.list_(pa.struct([("text", pa.string()), ("chars", pa.int64()), ("linked", pa.int64()), ("hinted", pa.bool_())]))
-    block = pa.list_(pa.struct([("leaf", pa.int32()), ("text", pa.string()), ("within", pa.bool_())]))
+    kind = pa.list_(pa.struct([("text", pa.int64()), ("chars", pa.int64()), ("linked", pa.int64())]))
+    block = pa.list_(pa.struct([("leaf", pa.int32()), ("text", pa.string())]))
     for batch in slices(batches, 256):
         found, shapes, texts = [], [], []
         for html in batch.column("html").to_pylist():
             own = blocks(html)
-            shape, leaves = _tree([p for p, *_ in own])
-            slot: dict[int, dict] = {leaf: {"text": [], "chars": 0, "linked": 0, "hinted": True} for leaf in range(max(leaves, default=-1) + 1)}
-            for (_, text, linked, hinted, _), leaf in zip(own, leaves, strict=True):
+            shape, leaves = _tree([p for p, *_ in own], [HINTED if hinted else ARTICLE if within else TEXT for *_, hinted, within in own])
+            slot: dict[int, dict] = {leaf: {"text": [], "chars": 0, "linked": 0} for leaf in range(max(leaves, default=-1) + 1)}
+            for (_, text, linked, _, _), leaf in zip(own, leaves, strict=True):
                 slot[leaf]["text"].append(text)
                 slot[leaf]["chars"] += len(text)
                 slot[leaf]["linked"] += linked
-                slot[leaf]["hinted"] &= hinted
-            found.append([x | {"text": hashlib.md5("\n\n".join(x["text"]).encode("utf-8", "surrogatepass")).hexdigest()} for x in slot.values()])
-            texts.append([{"leaf": leaf, "text": text, "within": within and not hinted} for (_, text, _, hinted, within), leaf in zip(own, leaves, strict=True)])
+            found.append([x | {"text": _hash("\n\n".join(x["text"]))} for x in slot.values()])
+            texts.append([{"leaf": leaf, "text": text} for (_, text, *_), leaf in zip(own, leaves, strict=True)])
             shapes.append(json.dumps(shape))
-        cols = [batch.column(c) for c in ("page_id", "url", "host")]
-        marked = pa.array([any(x["within"] for x in t) for t in texts], pa.bool_())
-        arrays = [*cols, marked, pa.array(found, kind), pa.array(shapes, pa.string()), pa.array(texts, block)]
-        yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", "host", "marked", "slots", "shape", "blocks"])
+        arrays = [*[batch.column(c) for c in ("page_id", "url", "host")], pa.array(found, kind), pa.array(shapes, pa.string()), pa.array(texts, block)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", "host", "slots", "shape", "blocks"])
+
+
+def _hash(text: str) -> int:
+    """64 bits that tell whether pages hold the same in a slot."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def _merge_part(rows: pd.DataFrame) -> pd.DataFrame:
@@ -404,33 +413,35 @@ def _merge_part(rows: pd.DataFrame) -> pd.DataFrame:
 
 def wrappers(shapes: DataFrame) -> DataFrame:
     """(host, shape): one wrapper for each host of distinct (host, shape), merged part by part."""
-    size = shapes.groupBy("host").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    count = F.count("*")
+    size = shapes.groupBy("host").agg(F.when(count > PART, F.ceil(F.sqrt(count))).otherwise(1).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("shape"), F.col("parts")).cast("int").alias("part")
     shapes = shapes.join(size, "host").select("host", part, "shape")
     schema = "host string, part int, shape string"
     parts = shapes.groupBy("host", "part").applyInPandas(_merge_part, schema)
-    # wrappers of parts are few and alike; a second level keeps even these from meeting all at once
-    again = parts.select("host", F.pmod(F.xxhash64("shape"), F.lit(PART)).cast("int").alias("part"), "shape")
-    halves = again.groupBy("host", "part").applyInPandas(_merge_part, schema)
-    return halves.groupBy("host", "part").applyInPandas(_merge_part, schema).select("host", "shape")
+    return parts.groupBy("host").applyInPandas(_merge_part, schema).select("host", "shape")
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        pairs = zip(batch.column("shape").to_pylist(), batch.column("wrapper").to_pylist(), strict=True)
-        found = [aligned(json.loads(s), json.loads(w)) for s, w in pairs]
+        found, last, wrapper = [], None, []
+        for shape, whole in zip(batch.column("shape").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
+            if whole != last:
+                last, wrapper = whole, json.loads(whole)
+            found.append(aligned(json.loads(shape), wrapper))
         yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("key"), pa.array(found, pa.list_(pa.string()))], names=["host", "key", "paths"])
 
 
 def rules(parsed: DataFrame) -> DataFrame:
-    """(host, key, kept): numbers of the text slots that hold content, of each structure without an article or main."""
-    parsed = parsed.filter("NOT marked")
-    shapes = parsed.select("host", "key", "shape").distinct()
+    """(host, key, kept): numbers of the text slots that hold content, of each structure."""
+    shapes = materialize(parsed.select("host", "key", "shape").distinct(), "extraction-shapes")
+    # what there is of each structure is little: it is written in few files
+    files = -(-shapes.count() // ROWS) or 1
     whole = wrappers(shapes.select("host", "shape")).withColumnRenamed("shape", "wrapper")
     paths = shapes.join(whole, "host").mapInArrow(_align, "host string, key string, paths array<string>")
-    paths = materialize(paths, "extraction-wrappers")
+    paths = materialize(paths.repartition(files), "extraction-wrappers")
     # copies of a page are one page
-    filled = F.transform("slots", lambda x: F.struct(x["text"].alias("t"), x["chars"].alias("chars"), x["linked"].alias("linked"), x["hinted"].alias("hinted")))
+    filled = F.transform("slots", lambda x: F.struct(x["text"].alias("t"), x["chars"].alias("chars"), x["linked"].alias("linked")))
     pages = parsed.select("host", "key", filled.alias("filled")).distinct()
     numbered = F.posexplode(F.arrays_zip("paths", "filled")).alias("leaf", "x")
     each = pages.join(paths, ["host", "key"]).select("host", "key", numbered).select("host", "key", "leaf", F.col("x.paths").alias("path"), "x.filled.*")
@@ -440,24 +451,34 @@ def rules(parsed: DataFrame) -> DataFrame:
     )
     linked = F.col("linked") > LINKED * F.col("chars")
     constant = (F.col("n") >= CONSTANT_PAGES) & (F.col("same") >= CONSTANT * F.col("n"))
-    stats = stats.select("host", "path", (linked | constant).alias("template"))
+    stats = stats.select("host", "path", (linked | constant).alias("template"), (linked & constant).alias("shared"))
     plain = F.sum(F.greatest(F.col("chars") - F.col("linked"), F.lit(0))).alias("plain")
-    slot = each.groupBy("host", "key", "leaf", "path").agg(plain, F.min("hinted").alias("hinted")).join(stats, ["host", "path"])
-    # names hint at boilerplate, unless they would leave nothing of a structure's text
-    named = slot.groupBy("host", "key").agg((F.sum(F.when(~F.col("hinted") & ~F.col("template"), F.col("plain")).otherwise(0)) > 0).alias("trusted"))
-    slot = slot.join(named, ["host", "key"]).withColumn("template", F.col("template") | (F.col("hinted") & F.col("trusted"))).drop("hinted", "trusted")
+    slot = each.groupBy("host", "key", "leaf", "path").agg(plain).join(stats, ["host", "path"])
+    name = F.element_at(F.split("path", "/"), -1)
+    slot = slot.withColumn("hinted", name.startswith(f"{HINTED}@")).withColumn("article", name.startswith(f"{ARTICLE}@"))
+    # names hint at boilerplate and the host's pages at a menu in an article, unless they would leave nothing of a structure's text
+    own = Window.partitionBy("host", "key")
+    trusted = F.sum(F.when(~F.col("hinted") & ~F.col("template"), F.col("plain")).otherwise(0)).over(own) > 0
+    marked, told = F.max("article").over(own), F.max(F.col("article") & ~F.col("shared")).over(own)
+    slot = slot.withColumns({"trusted": trusted, "marked": marked, "told": told})
+    outside, template = ~F.col("article") | (F.col("shared") & F.col("told")), F.col("template") | (F.col("hinted") & F.col("trusted"))
+    slot = slot.withColumn("template", F.when(F.col("marked"), outside).otherwise(template))
     slot = slot.withColumn("plain", F.when(F.col("template"), F.lit(0)).otherwise(F.col("plain")))
-    # the deepest element that holds most of the unlinked text of a structure's pages
+    slot = slot.select("host", "key", "leaf", "path", "plain", "template", "marked", F.sum("plain").over(own).alias("all"))
+    slot = materialize(slot.repartition(files), "extraction-slots")
+    # the deepest element that holds most of the unlinked text of a structure's pages; an article is whole
     parts = F.split("path", "/")
     above = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/")))
-    boxes = slot.filter(F.size(parts) > 1).select("host", "key", "plain", above.alias("box")).groupBy("host", "key", "box").agg(F.sum("plain").alias("held"))
-    boxes = boxes.join(slot.groupBy("host", "key").agg(F.sum("plain").alias("all")), ["host", "key"])
+    inner = slot.filter((F.size(parts) > 1) & ~F.col("marked")).select("host", "key", "plain", "all", above.alias("box"))
+    boxes = inner.groupBy("host", "key", "box").agg(F.sum("plain").alias("held"), F.first("all").alias("all"))
     boxes = boxes.filter((F.col("held") >= MAIN_SHARE * F.col("all")) & ~F.element_at(F.split("box", "/"), -1).rlike("^(p|li|h[1-6]|td|dd)"))
     depth = F.size(F.split("box", "/"))
     box = boxes.groupBy("host", "key").agg(F.max_by("box", F.struct(depth.alias("d"), "held", "box")).alias("box"))
     found = slot.join(box, ["host", "key"], "left")
-    inside = F.col("box").isNull() | F.col("path").startswith(F.concat("box", F.lit("/")))
-    return found.filter(inside & ~F.col("template")).groupBy("host", "key").agg(F.collect_set("leaf").alias("kept"))
+    inside = F.col("marked") | F.col("box").isNull() | F.col("path").startswith(F.concat("box", F.lit("/")))
+    kept = found.filter(inside & ~F.col("template")).groupBy("host", "key").agg(F.collect_set("leaf").alias("kept"))
+    # a table of a few numbers a structure: Spark broadcasts it if its size allows
+    return materialize(kept.repartition(files), "extraction-rules")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -465,12 +486,11 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select("page_id", "url", host.alias("host"), "html")
     kind = pages.schema["page_id"].dataType.simpleString()
-    slot, block = "text: string, chars: bigint, linked: bigint, hinted: boolean", "leaf: int, text: string, within: boolean"
-    schema = f"page_id {kind}, url string, host string, marked boolean, slots array<struct<{slot}>>, shape string, blocks array<struct<{block}>>"
+    slot, block = "text: bigint, chars: bigint, linked: bigint", "leaf: int, text: string"
+    schema = f"page_id {kind}, url string, host string, slots array<struct<{slot}>>, shape string, blocks array<struct<{block}>>"
     parsed = rows.mapInArrow(_parse, schema)
     parsed = materialize(parsed.withColumn("key", F.md5("shape")), "extraction-blocks")
-    # a table of a few numbers a structure: Spark broadcasts it if its size allows
-    kept = materialize(rules(parsed), "extraction-rules")
-    main = F.filter("blocks", lambda x: F.when(F.col("marked"), x["within"]).otherwise(F.array_contains("kept", x["leaf"])))
+    kept = rules(parsed)
+    main = F.filter("blocks", lambda x: F.array_contains("kept", x["leaf"]))
     text = F.array_join(F.transform(main, lambda x: x["text"]), "\n\n")
     return parsed.join(kept, ["host", "key"], "left").select("page_id", "url", F.coalesce(text, F.lit("")).alias("text"))

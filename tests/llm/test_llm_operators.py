@@ -465,6 +465,26 @@ def test_without_its_wrapper_a_page_keeps_the_template(spark):
     assert many[2] == "cell 2\n\ntext 2 of the page" and one[0] == "About this site and its makers\n\n" + many[2]
 
 
+def test_wrappers_decide_on_pages_with_articles_too(spark):
+    """In articles, too, the host's wrapper tells the template: links that its pages share go, one page's links and shared text stay."""
+    page = "<nav><a href=/>Home</a></nav><article><h1>Title {0}</h1><p>as in all our reports</p><p class='go'><a href=1>Share</a> <a href=2>Print</a></p><p>story {0}</p></article><p>words outside {0}</p>"
+    own = "<article><p><a href=1>only a link</a></p></article>"
+    shared = [("http://s.com/", f"<article><p><a href=1>All that is here</a></p></article><p>beside {i}</p>") for i in range(6)]
+    got = extracted(spark, [*[("http://a.com/", page.format(i)) for i in range(6)], ("http://b.com/", own), *shared])
+    assert got[2] == "Title 2\n\nas in all our reports\n\nstory 2" and got[6] == "only a link" and got[9] == "All that is here"
+    mixed = extracted(spark, [("http://c.com/", "<article><p>one</p><p class='comment'>nice</p><p>two</p></article>")])
+    assert mixed[0] == "one\n\ntwo"
+
+
+def test_every_structure_has_its_rules(spark, sf, monkeypatch):
+    """The given pages all have an article; their slots are decided with their hosts' wrappers all the same."""
+    found, rules = [], extraction.rules
+    monkeypatch.setattr(extraction, "rules", lambda parsed: found.append((parsed, rules(parsed))) or found[0][1])
+    extraction.extract(spark.read.parquet(f"{sf}/pages.parquet"))
+    parsed, kept = found[0]
+    assert kept.count() == parsed.select("host", "key").distinct().count() > 0
+
+
 def test_pipeline_on_edge_rows(spark, docs, labels, tmp_path):
     """Nulls, empty and very long texts, ties and repeated rows, clashing columns; and empty tables."""
     import corpus_pipeline as p
