@@ -9,6 +9,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 from helpers import connect, plain
 
 from attestra.llm import decontamination, extraction, fingerprints, jaccard, language_model, pii, quality, queries, sentencepiece, token_counts, toxicity
@@ -394,6 +395,29 @@ def test_summaries_are_of_the_ids_of_whole_documents(docs):
             assert got[i]["round_trip"] == (model.decode(ids) == t) == ("▁" not in t)
 
 
+def test_whole_documents_are_decoded(docs, monkeypatch):
+    """The decoded texts are the library's; a segment in another's place is seen, though each decodes to its own unit."""
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=sentencepiece.MODEL)
+    texts = {1: "a plain text of words, é 漢", 2: "a literal ▁ is lost", 3: "  two  spaces ", 4: "", 5: "rarely zqxv wjkp meets zqxv", 6: " ", 7: None}
+    read = sentencepiece.text_digest
+    for kept in (0, 3, 1 << 18):
+        got = {r["doc_id"]: r for r in sentencepiece.summarize(docs(list(texts.items())), kept=kept).collect()}
+        assert {i: r["decoded_digest"] for i, r in got.items()} == {i: read(model.decode(model.encode(t or "")).encode()) for i, t in texts.items()}
+        assert {i for i, r in got.items() if not r["round_trip"]} == {2}
+    prepared = sentencepiece._prepared
+
+    def swapped(*args):
+        known, fill, shared = prepared(*args)
+        ids = lambda x, k: F.get(F.col("fill"), F.size("fill") - 1 - k)["ids"]
+        return known, fill.withColumn("fill", F.transform("fill", lambda x, k: x.withField("ids", ids(x, k)))), shared
+
+    monkeypatch.setattr(sentencepiece, "_prepared", swapped)
+    got = sentencepiece.summarize(docs([(1, "one two three four"), (2, "same")]), kept=0).collect()
+    assert {r["doc_id"]: r["round_trip"] for r in got} == {1: False, 2: True}
+
+
 def test_long_units_are_the_library_s(spark):
     from sentencepiece import SentencePieceProcessor
 
