@@ -29,6 +29,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 48, 12, 0.9995
 #: Texts of one block; a unit of work compares two.
 BLOCK = 192
+#: Words whose hashes a task remembers.
+WORDS = 100_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -43,7 +45,7 @@ class _Words(dict):
     """Word to 64-bit hash, forgotten when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) >= WORDS:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value

@@ -525,3 +525,46 @@ def test_pipeline_on_edge_rows(spark, docs, labels, tmp_path):
     for name, df in {"documents": docs([]), "labels": labels([]), "benchmark": items.limit(0)}.items():
         df.write.parquet(f"{empty}/{name}.parquet")
     assert p.run(spark, empty).count() == 0
+
+
+def test_pipeline_hands_texts_to_workers_in_small_batches(spark, docs, tmp_path, monkeypatch):
+    """However many rows a partition has: a batch is held by the JVM and by its Python worker at once."""
+    import corpus_pipeline as p
+
+    sets = jaccard._sets
+
+    def measured(batches):
+        def small(batches):
+            for batch in batches:
+                if batch.nbytes > 2 * most:
+                    raise ValueError(f"a batch of {batch.nbytes} bytes")
+                yield batch
+
+        return sets(small(batches))
+
+    most = p.BATCH
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit)
+    rows = [(2 * i + k, f"head {i} " + "a b c d e f g h i j " * 300 + "tail " * k) for i in range(1_500) for k in (0, 1)]
+    monkeypatch.setattr(jaccard, "_sets", measured)
+    shuffled = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert p.keep_one_of_a_kind(spark, docs(rows).coalesce(1), str(tmp_path)).count() == 1_500
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffled)
+        spark.conf.set(limit, before)
+
+
+def test_pieces_start_no_python_workers(spark):
+    """The piece table is a local table of the plan, not an RDD that Python workers pickle."""
+    pieces = sentencepiece.load()
+    for frame in (pieces.frame(spark), pieces.bytes_frame(spark)):
+        assert "LocalRelation" in frame._jdf.queryExecution().analyzed().toString()
+    assert [tuple(r) for r in pieces.frame(spark).collect()] == pieces.table
+
+
+def test_words_of_a_task_are_forgotten():
+    known = jaccard._Words()
+    got = [known[f"w{i}".encode()] for i in range(150_000)]
+    assert len(known) <= jaccard.WORDS and len(set(got)) == 150_000 and known[b"w7"] == got[7]
