@@ -8,13 +8,14 @@ the checkpoint, so that a query that stops and starts again goes on without losi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from ..functions import vocabulary as V
 from ..operators import agent, gate
@@ -24,6 +25,9 @@ from .stream import run_available
 GATE_TOOLS = ("reparse_artifact", "profile_values", *V.VERIFIERS, *V.SCOPE_TOOLS.values(), "escalate_to_human")
 LOG = "case_id string, turn int, event string, tool string, accepted boolean, closed boolean, called array<string>, observed array<string>, raw string"
 _READ = ("turn", "raw", "valid", "is_tool", "tool", "there", "refused", "satisfied_by")
+#: State is kept by buckets of cases, as a call and a state of its own for each case cost more than its turns. Fixed value: the keys of
+#: every checkpoint depend on it.
+_BUCKETS = 1 << 14
 
 
 def understood(outputs: DataFrame) -> DataFrame:
@@ -36,71 +40,78 @@ def understood(outputs: DataFrame) -> DataFrame:
     names = {f"raw_{k}": F.col(f"p_raw_{k}") for k in ("action", "label", "repair")}
     rows = agent.allowed(gate.normalized(rows.withColumns({**names, "__none": F.array().cast("array<string>")}), "__none"))
     asked = lambda tools: gate.violation(F.col("action"), F.col("label"), tools)
+    refused = asked(F.col("__none")).isNotNull()
     lifts = [F.when(asked(F.array(F.lit(t))).isNull(), F.lit(t)) for t in GATE_TOOLS]
     return rows.select(
         "case_id", F.col("turn").cast("int").alias("turn"), "raw", F.col("p_obj").isNotNull().alias("valid"), F.coalesce("p_is_tool", F.lit(False)).alias("is_tool"), F.col("p_tool").alias("tool"),
-        F.coalesce(F.array_contains("tools", F.col("p_tool")), F.lit(False)).alias("there"), asked(F.col("__none")).isNotNull().alias("refused"), F.array_compact(F.array(*lifts)).alias("satisfied_by"),
+        F.coalesce(F.array_contains("tools", F.col("p_tool")), F.lit(False)).alias("there"), refused.alias("refused"), F.when(refused, F.array_compact(F.array(*lifts))).otherwise(F.col("__none")).alias("satisfied_by"),
     )
 
 
-class _Loop(StatefulProcessor):
-    """One case: outputs in the order of their turns, until it is closed."""
-
-    def __init__(self, budget: int) -> None:
-        self.budget = budget
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.past = handle.getValueState("past", "turn int, closed boolean, called array<string>, observed array<string>")
-        early = "turn int, raw string, valid boolean, is_tool boolean, tool string, there boolean, refused boolean, satisfied_by array<string>"
-        self.early = handle.getMapState("early", "at int", early)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        turn, closed, called, observed = self.past.get() if self.past.exists() else (0, False, [], [])
-        called, observed = list(called), list(observed)
-        if closed:
-            return
-        waiting = {k[0]: tuple(v) for k, v in self.early.iterator()}
-        for frame in rows:
-            for row in frame[list(_READ)].itertuples(index=False, name=None):
-                if row[0] >= turn:
-                    waiting.setdefault(row[0], row)
+def _played(turn: int, called: list[str], observed: list[str], waiting: dict[int, list], budget: int) -> tuple[list[tuple], list | None]:
+    """The turns of one case that are complete now, as rows of the log without the case, and what is kept of it; None if it is closed."""
+    log, closed = [], False
+    while not closed and turn in waiting:
+        _, raw, valid, is_tool, tool, there, refused, satisfied_by = waiting.pop(turn)
+        event = accepted = None
+        if not valid:
+            event = "invalid_json"
+        elif is_tool:
+            if len(called) >= budget:
+                event, closed = "budget_exhausted", True
+            elif tool in called:
+                event = "duplicate_tool"
+            else:
+                event = "ok" if there else "unavailable"
+                called = [*called, tool]
+                observed = [*observed, tool] if there else observed
+        elif refused and not set(satisfied_by) & set(observed):
+            event = "rejected"
+        else:
+            accepted = closed = True
+        turn += 1
+        closed = bool(closed) or turn >= budget + 2
+        log.append((turn - 1, event, tool, bool(accepted), closed, called, observed, raw))
+    return log, None if closed else [turn, called, observed, [*waiting.values()]]
+
+
+def _loop(budget: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """One bucket of cases: outputs of each in the order of their turns, until it is closed; of a closed case only its id is kept."""
+
+    def work(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        closed, past = json.loads(state.get[0]) if state.exists else ([], [])
+        done, cases, touched = dict.fromkeys(closed), {case: kept for case, *kept in past}, {}
+        for frame in frames:
+            for case, *row in (json.loads(text).values() for text in frame["output"]):
+                if case in done:
+                    continue
+                if case not in touched:
+                    turn, called, observed, early = cases.get(case, (0, [], [], []))
+                    touched[case] = turn, called, observed, {at[0]: at for at in early}
+                if row[0] >= touched[case][0]:
+                    touched[case][3].setdefault(row[0], row)
         log = []
-        while not closed and turn in waiting:
-            _, raw, valid, is_tool, tool, there, refused, satisfied_by = waiting.pop(turn)
-            event = accepted = None
-            if not valid:
-                event = "invalid_json"
-            elif is_tool:
-                if len(called) >= self.budget:
-                    event, closed = "budget_exhausted", True
-                elif tool in called:
-                    event = "duplicate_tool"
-                else:
-                    event = "ok" if there else "unavailable"
-                    called = [*called, tool]
-                    observed = [*observed, tool] if there else observed
-            elif refused and not set(satisfied_by) & set(observed):
-                event = "rejected"
+        for case, known in touched.items():
+            told, kept = _played(*known, budget)
+            log += [(case, *row) for row in told]
+            if kept is None:
+                done[case] = cases.pop(case, None)
             else:
-                accepted = closed = True
-            turn += 1
-            closed = bool(closed) or turn >= self.budget + 2
-            log.append((key[0], turn - 1, event, tool, bool(accepted), closed, called, observed, raw))
-        self.past.update((turn, closed, called, observed))
-        self.early.clear()
-        if not closed:
-            for at, row in waiting.items():
-                self.early.updateValue((at,), tuple(list(v) if k == "satisfied_by" else v for k, v in zip(_READ, row, strict=True)))
+                cases[case] = kept
+        if touched:
+            state.update((json.dumps([list(done), [(case, *kept) for case, kept in cases.items()]]),))
         if log:
             yield pd.DataFrame(log, columns=[c.split(" ")[0] for c in LOG.split(", ")])
 
-    def close(self) -> None:
-        pass
+    return work
 
 
 def turn_log(outputs: DataFrame, budget: int = 4) -> DataFrame:
     """The log of turns (see LOG) of a stream of outputs; a case is closed by a decision, by its last turn or by its budget."""
-    return understood(outputs).groupBy("case_id").transformWithStateInPandas(_Loop(budget), LOG, "Append", "None")
+    rows = understood(outputs).filter((F.col("turn") >= 0) & (F.col("turn") < budget + 2))
+    bucket = F.pmod(F.xxhash64("case_id"), F.lit(_BUCKETS)).alias("bucket")
+    dealt = rows.select(bucket, F.to_json(F.struct("case_id", *_READ), {"ignoreNullFields": "false"}).alias("output"))
+    return dealt.groupBy("bucket").applyInPandasWithState(_loop(budget), LOG, "told string", "append", "NoTimeout")
 
 
 def loop_session(spark: SparkSession) -> SparkSession:
@@ -109,6 +120,7 @@ def loop_session(spark: SparkSession) -> SparkSession:
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # each may bring a bucket's state
     return own
 
 

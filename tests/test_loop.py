@@ -43,6 +43,32 @@ def test_a_restarted_stream_gives_the_decisions_of_the_batch_loop(spark, sf, tmp
     assert spark.read.schema(loop.LOG).parquet(log).count() == found.count()
 
 
+def test_cases_share_states_and_calls(spark, sf, tmp_path, monkeypatch):
+    """Three buckets: a state and a call hold many cases, and give each the turns that the batch loop gives it."""
+    monkeypatch.setattr(loop, "_BUCKETS", 3, raising=False)
+    rng = random.Random(5)
+    cases = audit.typed_cases(spark, sf).withColumn("tools", F.array(*map(F.lit, TOOLS[:6])))
+    ids = sorted(r["case_id"] for r in cases.select("case_id").collect())
+    prose = 'said: "é\u2028\\n{\n\t'  # no object; what JSON has to escape
+    scripts = spark.createDataFrame([(i, [prose, *outputs(rng)[1:]]) for i in ids], "case_id string, script array<string>")
+    scripted = cases.join(scripts, "case_id")
+    scripted.write.parquet(str(tmp_path / "cases"))
+    scripted = spark.read.parquet(str(tmp_path / "cases"))
+    turns = scripted.select("*", F.posexplode("script").alias("turn", "raw")).drop("script")
+    astray = turns.filter("turn = 0").withColumn("turn", F.explode(F.array(F.lit(-1), F.lit(6), F.lit(None).cast("int"))))
+    inbox, log, check = (str(tmp_path / n) for n in ("in", "log", "check"))
+    seen = []
+    for part in (turns.filter("turn = 2 OR turn >= 4").unionByName(astray), turns.filter("turn = 3 OR turn = 0"), turns):
+        part.write.mode("append").parquet(inbox)
+        seen.append(loop.run_turns(loop.loop_session(spark).readStream.schema(turns.schema).parquet(inbox), log, check).lastProgress)
+    assert all(sum(o["numRowsTotal"] for o in p["stateOperators"]) == 3 for p in seen)
+    found = spark.read.schema(loop.LOG).parquet(log)
+    assert found.count() == found.select("case_id", "turn").distinct().count()
+    assert {r["raw"] for r in found.filter("turn = 0").collect()} == {prose} and found.filter("turn = 0").count() == len(ids)
+    got = sorted(tuple(r) for r in loop.decided(found, scripted.drop("script")).select(COLUMNS).collect())
+    assert got == sorted(tuple(r) for r in agent.play(scripted, agent.scripted()).select(COLUMNS).collect())
+
+
 def test_cases_without_outputs_fall_back(spark, sf):
     cases = audit.typed_cases(spark, sf)
     done = loop.decided(spark.createDataFrame([], loop.LOG), cases)
