@@ -117,7 +117,10 @@ def turn_log(outputs: DataFrame, budget: int = 4) -> DataFrame:
 def loop_session(spark: SparkSession) -> SparkSession:
     """A session of its own for these queries, whose state store other queries need not share."""
     own = spark.newSession()
-    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    store = "spark.sql.streaming.stateStore"
+    own.conf.set(f"{store}.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own.conf.set(f"{store}.rocksdb.changelogCheckpointing.enabled", "true")  # a partition's commit writes its changes, not its files
+    own.conf.set(f"{store}.rocksdb.boundedMemoryUsage", "true")  # of all partitions in an executor
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
     own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # each may bring a bucket's state
